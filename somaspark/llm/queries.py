@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_chat
+from . import q_chat, q_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat_format": q_chat.op1_chat_format}
+    return {
+        "op1_chat_format": q_chat.op1_chat_format,
+        "op10_quality_rules": q_quality.op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": q_chat.OP1_SQL}
+    return {
+        "op1_chat_format": q_chat.OP1_SQL,
+        "op10_quality_rules": q_quality.OP10_SQL,
+    }
