@@ -28,7 +28,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 #: Metric -> (numerator, denominator, slack above the fence, whether a lower fence holds as well).
 METRICS = {
     "symbol_rate": ("n_symbols", "n_words", 0.1, False),
-    "dup_line_rate": ("n_dup_lines", "n_lines", 0.3, False),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 0.5, False),
     "repeat_rate": ("n_repeat_words", "n_words", 0.3, False),
     "upper_rate": ("n_upper_words", "n_words", 0.4, False),
     "mean_word": ("word_chars", "n_words", 1.5, True),

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_chat, q_quality
+from . import q_chat, q_quality, q_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": q_chat.op1_chat_format,
+        "op4_warc": q_warc.op4_warc,
         "op10_quality_rules": q_quality.op10_quality_rules,
     }
 
@@ -19,5 +20,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": q_chat.OP1_SQL,
+        "op4_warc": q_warc.OP4_SQL,
         "op10_quality_rules": q_quality.OP10_SQL,
     }
