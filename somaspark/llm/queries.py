@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_chat, q_quality, q_warc
+from . import q_chat, q_quality, q_url, q_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": q_chat.op1_chat_format,
         "op4_warc": q_warc.op4_warc,
+        "op9_url_filter": q_url.op9_url_filter,
         "op10_quality_rules": q_quality.op10_quality_rules,
     }
 
