@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_chat, q_quality, q_url, q_warc
+from . import q_chat, q_lines, q_quality, q_url, q_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": q_chat.op1_chat_format,
         "op4_warc": q_warc.op4_warc,
+        "op5_line_dedup": q_lines.op5_line_dedup,
         "op9_url_filter": q_url.op9_url_filter,
         "op10_quality_rules": q_quality.op10_quality_rules,
     }
@@ -22,5 +23,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": q_chat.OP1_SQL,
         "op4_warc": q_warc.OP4_SQL,
+        "op5_line_dedup": q_lines.OP5_SQL,
         "op10_quality_rules": q_quality.OP10_SQL,
     }
