@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_chat, q_lang, q_lines, q_pack, q_quality, q_url, q_warc
+from . import q_chat, q_lang, q_lines, q_near, q_pack, q_quality, q_url, q_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": q_chat.op1_chat_format,
+        "op2_near_dedup": q_near.op2_near_dedup,
         "op4_warc": q_warc.op4_warc,
         "op5_line_dedup": q_lines.op5_line_dedup,
         "op7_language_id": q_lang.op7_language_id,
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": q_chat.OP1_SQL,
+        "op2_near_dedup": q_near.OP2_SQL,
         "op4_warc": q_warc.OP4_SQL,
         "op5_line_dedup": q_lines.OP5_SQL,
         "op10_quality_rules": q_quality.OP10_SQL,
