@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_chat, q_lang, q_lines, q_near, q_pack, q_quality, q_url, q_warc
+from . import q_chat, q_lang, q_lines, q_near, q_pack, q_pieces, q_quality, q_url, q_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": q_chat.op1_chat_format,
         "op2_near_dedup": q_near.op2_near_dedup,
+        "op3_sentencepiece": q_pieces.op3_sentencepiece,
         "op4_warc": q_warc.op4_warc,
         "op5_line_dedup": q_lines.op5_line_dedup,
         "op7_language_id": q_lang.op7_language_id,
