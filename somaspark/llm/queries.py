@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_chat, q_lang, q_lines, q_near, q_pack, q_pieces, q_quality, q_url, q_warc
+from . import q_chat, q_lang, q_lines, q_media, q_near, q_pack, q_pieces, q_quality, q_url, q_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": q_pieces.op3_sentencepiece,
         "op4_warc": q_warc.op4_warc,
         "op5_line_dedup": q_lines.op5_line_dedup,
+        "op6_media_columns": q_media.op6_media_columns,
         "op7_language_id": q_lang.op7_language_id,
         "op8_packing": q_pack.op8_packing,
         "op9_url_filter": q_url.op9_url_filter,
