@@ -1,9 +1,19 @@
-"""Registry of the library's own queries."""
+"""Registry of the library's own queries and their oracle SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+from . import q_intervals
+
+MODULES = (q_intervals,)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for m in MODULES for name, f in m.Q.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
