@@ -7,19 +7,9 @@ from pyspark.sql import functions as F
 from somaspark.fixtures import ctes, view
 from somaspark.operators import intervals as I  # noqa: E741
 
-Q, SQL = {}, {}
-
-
-def q(name, sql=None):
-    def put(f):
-        Q[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return put
-
+from .registry import Registry
 
+q = Registry()
 IV, BOTH = ctes("iv"), ctes("iv", "jv")
 MEET = "iv.contig = jv.contig AND iv.s - {k} < jv.e AND jv.s < iv.e + {k}"
 
