@@ -7,9 +7,13 @@ and only unseen pieces meet the tokenizer; any other text goes to it word by wor
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 import struct
 
+import numpy as np
+
 PLAIN = re.compile("[ \n\t\ra-zà-öø-ÿA-ZÀ-ÖØ-Þ0-9!-&(-/:-@\\[-`{-~]*")
 PIECE = re.compile("[a-zà-öø-ÿ]+|[0-9]|[^ \n\t\ra-zà-öø-ÿ0-9]+")
 
@@ -17,32 +21,41 @@ PIECE = re.compile("[a-zà-öø-ÿ]+|[0-9]|[^ \n\t\ra-zà-öø-ÿ0-9]+")
 class WordTokenizer:
     """ids(texts): the ids of each text as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.pieces, self.words = most, {}, {}
-
-    def _learn(self, cache: dict[str, bytes], new: set[str]) -> None:
-        if len(cache) + len(new) > self.most:
-            cache.clear()
-        words = list(new)
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        self.most, self.known, self.before = most, {}, {}  # before: what was known until the last turnover
+
+    def _learn(self, new: list[str]) -> None:
+        """Plain pieces go in one line, told apart by the tokens' places in it; others go one by one."""
+        plain = [w for w in new if w and PLAIN.fullmatch(w) and not w.isspace()]
+        for i in range(0, len(plain), 2048):
+            part = plain[i : i + 2048]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            sizes = np.array([len(w) + 1 for w in part])
+            begin = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
+            at = np.searchsorted(begin, np.cumsum(sizes) - sizes).tolist() + [len(begin)]
+            raw = np.array(e.ids, "<u4").tobytes()
+            self.known.update((w, raw[4 * at[k] : 4 * at[k + 1]]) for k, w in enumerate(part))
+        rest = [w for w in new if w not in self.known]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split, cache = [], []
-        for x in texts:
-            plain = PLAIN.fullmatch(x) is not None
-            split.append(PIECE.findall(x.lower()) if plain else x.replace("\n", " ").split(" "))
-            cache.append(self.pieces if plain else self.words)
-        for c in (self.pieces, self.words):
-            wanted = set().union(*(s for s, of in zip(split, cache, strict=True) if of is c))
-            if new := wanted - c.keys():
-                self._learn(c, new)
-                if not wanted <= c.keys():  # the cache was full and is new now
-                    self._learn(c, wanted - c.keys())
-        return [b"".join(map(c.__getitem__, s)) for s, c in zip(split, cache, strict=True)]
+        split = [PIECE.findall(x.lower()) if PLAIN.fullmatch(x) else x.replace("\n", " ").split(" ") for x in texts]
+        wanted = set().union(*split)
+        new = wanted - self.known.keys()
+        if new and len(self.known) + len(new) > self.most:
+            self.known, self.before, new = {}, self.known, wanted
+        self.known.update((w, self.before[w]) for w in new & self.before.keys())
+        self._learn(list(new - self.before.keys()))
+        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+
+
+@functools.lru_cache(1)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One tokenizer and cache for all tasks of a Python worker."""
+    return WordTokenizer(path)

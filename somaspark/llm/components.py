@@ -25,7 +25,7 @@ def labels_of(edges: DataFrame) -> DataFrame:
         if labels is None:
             labels = step
         else:
-            moved = step.withColumnsRenamed({"node": "label", "label": "next"})
+            moved = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
             labels = stored(labels.join(moved, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
     if labels is None:
         labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))

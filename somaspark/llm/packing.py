@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_tokens import WordTokenizer
+from .bpe_tokens import tokenizer_of
 from .common import stored, text_or_empty, tokenizer_path
 
 WINDOW, END_ID, SALTS = 4096, 2, 256
@@ -35,7 +35,7 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = end_id.to_bytes(4, "little")
-        tok = WordTokenizer(path)
+        tok = tokenizer_of(path)
         for whole in batches:
             for b in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
                 ids = [x + end for x in tok.ids(b.column("text").to_pylist())]

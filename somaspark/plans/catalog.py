@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_calling, q_intervals
+from . import q_calling, q_intervals, q_reads
 
-MODULES = (q_intervals, q_calling)
+MODULES = (q_intervals, q_calling, q_reads)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
