@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_calling, q_intervals, q_reads
+from . import q_calling, q_calls, q_intervals, q_reads
 
-MODULES = (q_intervals, q_calling, q_reads)
+MODULES = (q_intervals, q_calling, q_reads, q_calls)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
