@@ -1,0 +1,210 @@
+"""Near-duplicate detection: SetSketch registers, banded, estimated jointly, verified on full sets.
+
+1. ``sketched``: the shingle set's size, a 128-bit key of the set and the registers of every text.
+   Texts of equal sets form a class at once; one document of each class goes on.
+2. Bands of registers bring candidates together. Every member of a bucket meets the bucket's first
+   member; pairs whose likelihood estimate (five standard errors of slack) or sizes rule the
+   threshold out are dropped; the others are verified on their full sets. A member's likeliest
+   pair comes first, its other pairs only if they still join two components.
+3. Members of a bucket that are not of one component by then meet each other as well, so that no
+   link between texts of one bucket is lost. Two texts can only be linked if they share a shingle
+   that few of these members have, which names the pair, or have enough shingles that many have;
+   the latter bound rules out nearly all pairs of a group of loose copies, so that thousands of
+   copies cost a few pairs a member and not their square.
+
+With 32 bands of 5 registers a pair at the threshold of 0.8 misses all buckets with a probability
+of 3e-6, a likelier pair with less.
+
+Defined results: a null or empty text and one of white space alone has an empty set and is linked
+with nothing; texts under four words have one shingle; rows that repeat a doc_id and text are one
+document; a null doc_id is never linked; an empty table gives an empty table; extra columns are
+ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
+from .components import labels_of
+from .setsketch import REGISTERS, likely_jaccard, mix, registers, shingles
+
+BANDS, ROWS, SALTS = 32, 5, 16
+PERCENT, SLACK, RARE = 80, 0.16, 40
+BATCH_SHINGLES = 1 << 16
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """doc_ids and sets, in groups of about BATCH_SHINGLES shingles."""
+    for b in batches:
+        sets, held, first = [], 0, 0
+        for i, text in enumerate(b.column("text")):
+            sets.append(shingles(text.as_py()))
+            held += len(sets[-1])
+            if held >= BATCH_SHINGLES:
+                yield b.column("doc_id").slice(first, len(sets)), sets
+                sets, held, first = [], 0, i + 1
+        if sets:
+            yield b.column("doc_id").slice(first, len(sets)), sets
+
+
+def sketched(docs: DataFrame) -> DataFrame:
+    """doc_id, n (set size), k1, k2 (key of the set), regs (binary; null for an empty set). Stored."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in _sets(batches):
+            n = np.array([len(s) for s in sets], np.int64)
+            full = np.flatnonzero(n)
+            k1, k2, regs = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64), [None] * len(n)
+            if len(full):
+                values = np.concatenate([sets[i] for i in full])
+                starts = np.cumsum(n[full]) - n[full]
+                k1[full], k2[full] = np.add.reduceat(mix(values), starts), np.add.reduceat(mix(~values), starts)
+                for i, r in zip(full, registers(values, starts), strict=True):
+                    regs[i] = r.tobytes()
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(regs, pa.binary())], ["doc_id", "n", "k1", "k2", "regs"])
+
+    return stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, regs binary"), "sketches")
+
+
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, items (array of shingle hashes) of the documents in ids. Stored."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got, sets in _sets(batches):
+            values = np.concatenate(sets).view(np.int64)
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([got, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["id", "items"])
+
+    wanted = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
+    return stored(wanted.mapInArrow(run, f"id {kind}, items array<long>").dropDuplicates(["id"]), "sets", "lz4")
+
+
+def salted(df: DataFrame, groups: DataFrame, keys: list[str], by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """df joined with groups (one row a key), with a hot key's rows dealt over salts by the column by."""
+    many = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(many, [*keys, "salt"], how).drop("salt")
+
+
+def estimated(pairs: DataFrame, reps: DataFrame, percent: int = PERCENT, slack: float = SLACK) -> DataFrame:
+    """a, b, est: the pairs that sizes and likelihood leave over. Stored."""
+    kind = dict(pairs.dtypes)["a"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
+                regs = [np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("ra", "rb")]
+                est = likely_jaccard(*regs, *(b.column(c).to_numpy().astype(float) for c in ("na", "nb")))
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(est)], ["a", "b", "est"])
+
+    side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n").alias("n" + c), F.col("regs").alias("r" + c))
+    sizes = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n").alias("n" + c))
+    fit = pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    df = fit.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
+    return stored(df.mapInArrow(run, f"a {kind}, b {kind}, est double").where(F.col("est") >= percent / 100 - slack), "pairs")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose full sets meet the threshold: 100 * intersection >= percent * union."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("items").alias("s" + c))
+    df = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
+    both = F.size(F.array_intersect("sa", "sb"))
+    df = df.select("a", "b", both.cast("long").alias("both"), (F.size("sa") + F.size("sb")).cast("long").alias("all"))
+    return stored(df.where(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b"), "links")
+
+
+def several(members: DataFrame) -> DataFrame:
+    """The rows (bucket, b, label, ...) of buckets with more than one label. Stored."""
+    hits = members.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("bucket")
+    return stored(salted(members, hits, ["bucket"], "b"), "bucket-mixed")
+
+
+def rare_shingles(sets: DataFrame, most: int = RARE) -> tuple[DataFrame, DataFrame]:
+    """For each set its size n and how many of its shingles are in more than ``most`` of the sets
+    (common); and the pairs a < b of sets that share a rarer one. Both stored.
+
+    A rare shingle names ``most`` sets at most, and equal lists of sets are taken once, so the pairs
+    grow with the sets and not with the square of a group of copies."""
+    items = sets.select("id", F.explode("items").alias("item"))
+    n = items.groupBy("item").agg(F.count("*").alias("k"), F.min("id").alias("id"))
+    own = n.where("k = 1").groupBy("id").agg(F.count("*").alias("own"))
+    few = stored(n.where(F.col("k").between(2, most)).select("item"), "rare-items", "lz4")
+    rare = stored(items.join(few, "item"), "rare-places", "lz4")
+    counts = sets.select("id", F.size("items").cast("long").alias("n")).join(own, "id", "left").join(rare.groupBy("id").agg(F.count("*").alias("rare")), "id", "left")
+    counts = counts.selectExpr("id", "n", "n - coalesce(own, 0) - coalesce(rare, 0) as common")
+    lists = rare.groupBy("item").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
+    pairs = lists.select("ids", F.posexplode("ids").alias("i", "a")).select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b")).distinct()
+    return stored(counts, "set-counts"), stored(pairs, "rare-pairs")
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id: a row for each row of docs."""
+    sketch = sketched(docs)
+    named = sketch.where("doc_id is not null and n > 0")
+    first = named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
+    first = stored(first, "classes")
+    reps = stored(named.join(first.select(F.col("first").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "regs"), "class-firsts")
+
+    width = ROWS * 2
+    band = lambda i: F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width))
+    members = reps.select("doc_id", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("bucket"))
+    buckets = stored(members.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("size")).where("size > 1"), "buckets")
+    shared = stored(salted(members, buckets, ["bucket"], "doc_id").select("bucket", "a", F.col("doc_id").alias("b"), "size"), "bucket-members")
+    pairs = estimated(shared.where("a <> b").select("a", "b").distinct(), reps, percent)
+
+    ids = lambda p: p.select(F.col("a").alias("id")).union(p.select("b")).distinct()
+    sets = full_sets(docs, ids(pairs))
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("est", F.xxhash64("a"))).alias("a")).select("a", "b")
+    links = verified(best, sets, percent)
+    labels = labels_of(links)
+
+    def apart(p: DataFrame) -> DataFrame:
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias("l" + c))
+        df = p.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        return df.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+    more = stored(apart(pairs.join(best, ["a", "b"], "left_anti")), "pairs-left")
+    if not more.isEmpty():
+        links = stored(links.union(verified(more, sets, percent)), "links")
+        labels = labels_of(links)
+
+    # buckets of three and more that still hold several components: their members meet each other,
+    # as far as rare shingles allow
+    of = labels.select(F.col("node").alias("b"), "label")
+    mixed = several(shared.where("size > 2").join(of, "b", "left").select("bucket", "b", F.coalesce("label", "b").alias("label")))
+    if not mixed.isEmpty():
+        people = stored(mixed.select(F.col("b").alias("id")).distinct(), "mixed-ids")
+        new = stored(people.join(sets.select("id"), "id", "left_anti"), "ids")
+        sets = stored(sets.select("id", "items").join(people, "id", "left_semi").union(full_sets(docs, new)), "mixed-sets", "lz4")
+        counts, sharers = rare_shingles(sets)
+        able = counts.where(100 * F.col("common") >= percent * F.col("n")).select(F.col("id").alias("b"), "n", "common")
+        mixed = several(mixed.join(able, "b"))
+        left, right = mixed.select("bucket", F.col("b").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("common").alias("ca")), mixed.select("bucket", "b", F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("common").alias("cb"))
+        most = F.least("ca", "cb")  # of the intersection, if no rare shingle is shared
+        rest = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most)))
+        print("JOINROWS", rest.count(), flush=True)
+        rest = rest.select("a", "b").union(apart(sharers))
+        known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        rest = stored(estimated(rest.select("a", "b").distinct(), reps, percent).join(known, ["a", "b"], "left_anti"), "pairs-rest")
+        if not rest.isEmpty():
+            links = links.union(verified(rest, sets, percent))
+            labels = labels_of(links)
+
+    lowest = labels.groupBy("label").agg(F.min("node").alias("component"))
+    parts = labels.join(lowest, "label").select(F.col("node").alias("first"), "component")
+    classes = first.join(parts, "first", "left").select("k1", "k2", "n", F.coalesce("component", "first").alias("component"))
+    df = salted(sketch, stored(classes, "class-components"), ["k1", "k2", "n"], "doc_id", "left")
+    return df.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs without the documents that another of smaller doc_id stands for; the same columns."""
+    gone = near_duplicates(docs, percent).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -31,7 +31,8 @@ FRAME, RATE = 192, 8000
 LEAST, MOST, MASK_BITS = 1024, 16384, 12
 DIGEST = 16  # bytes of a chunk's SHA-256
 GEAR = np.random.Generator(np.random.PCG64(6)).integers(0, 1 << 32, 256, dtype=np.uint32)
-LEVEL, PARTS = 9, 16
+SHUFFLE_LEVEL, STORE_LEVEL, PARTS = 9, 15, 16
+DICT_ROWS, DICT_CHARS, DICT_BYTES = 800, 8192, 112640  # bound of the sample that the compression dictionary is made of
 
 
 def payload_of(text: bytes) -> bytes:
@@ -108,24 +109,43 @@ def shared_chunks(files: DataFrame) -> DataFrame:
     return found.groupBy("mid").agg(F.sort_array(F.collect_list(F.struct("idx", (F.struct("mid", "idx") == F.col("owner")).alias("writes")))).alias("shared"))
 
 
-def write_store(docs: DataFrame, manifest: DataFrame, folder: str | None = None) -> str:
-    """Writes the store's two tables (kind=pack, kind=chunk) and returns its folder."""
+def dictionary_of(docs: DataFrame) -> bytes:
+    """A zstd dictionary from the DICT_ROWS texts of least id hash, of each at most DICT_CHARS characters."""
+    import zstandard
+
+    picked = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICT_ROWS)
+    rows = docs.join(F.broadcast(picked), "doc_id").select(F.left("text", F.lit(DICT_CHARS)).alias("x")).where("x <> ''")  # DICT_ROWS ids
+    texts = sorted(r["x"] for r in rows.collect())[: 2 * DICT_ROWS]
+    try:
+        return zstandard.train_dictionary(DICT_BYTES, [x.encode() for x in texts]).as_bytes()
+    except (zstandard.ZstdError, ValueError):  # too few texts for one
+        return b""
+
+
+def _codec(level: int, dictionary: bytes):
     import zstandard
 
+    d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    return zstandard.ZstdCompressor(level=level, dict_data=d), zstandard.ZstdDecompressor(dict_data=d)
+
+
+def write_store(docs: DataFrame, manifest: DataFrame, folder: str | None = None) -> str:
+    """Writes the store's tables (kind=pack, chunk and dict, the compression dictionary); returns its folder."""
     folder = folder or scratch_path(docs.sparkSession, "media-store")
+    dictionary = dictionary_of(docs)
     files = manifest.groupBy("mid").agg(F.min("doc_id").alias("doc_id"), F.first("digests").alias("digests"), F.first("sizes").alias("sizes"))
     files = stored(files, "media-files")
     files = files.join(shared_chunks(files), "mid", "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=LEVEL)
+        z, _ = _codec(SHUFFLE_LEVEL, dictionary)
         for ids, texts, _ in _files(batches):
             mids = [hashlib.sha256(wav_of(payload_of(t))).digest() for t in texts]
             yield pa.RecordBatch.from_arrays([ids, pa.array(mids), pa.array([z.compress(t) for t in texts])], ["doc_id", "mid", "packed"])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, unz = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
+        (z, _), (_, unz) = _codec(STORE_LEVEL, dictionary), _codec(1, dictionary)
         names = ["kind", "key", "digests", "sizes", "shared", "data"]
         types = [pa.string(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
         for b in batches:
@@ -150,6 +170,8 @@ def write_store(docs: DataFrame, manifest: DataFrame, folder: str | None = None)
     df = rows.join(files, rows["doc_id"].eqNullSafe(files["owner"]) & (rows["mid"] == files["file"])).select("mid", "packed", "digests", "sizes", "shared")
     made = df.mapInArrow(lay, "kind string, key binary, digests array<binary>, sizes array<int>, shared array<int>, data binary")
     made.write.partitionBy("kind").option("compression", "uncompressed").parquet(folder)
+    one = docs.sparkSession.createDataFrame([(bytearray(dictionary),)], "data binary").selectExpr("cast('' as binary) as key", "cast(null as array<binary>) as digests", "cast(null as array<int>) as sizes", "cast(null as array<int>) as shared", "data", "'dict' as kind")
+    one.write.mode("append").partitionBy("kind").parquet(folder)
     return folder
 
 
@@ -159,18 +181,18 @@ STORE = "key binary, digests array<binary>, sizes array<int>, shared array<int>,
 def read_store(spark, folder: str) -> DataFrame:
     """mid, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every
     file of the store, put together from its chunks and verified; a row a file. Stored."""
-    import zstandard
-
     store = spark.read.schema(STORE).parquet(folder)
     packs, chunks = store.where("kind = 'pack'"), store.where("kind = 'chunk'").select(F.col("key").alias("digest"), "data")
 
+    dictionary = bytes(store.where("kind = 'dict'").first()["data"])  # DICT_BYTES at most
+
     def feature(x: np.ndarray) -> str:
         v = x.astype(np.int64)
         turns = int((np.diff(np.sign(np.diff(v))) != 0).sum())
         return f"mean={v.sum() * 1000 // len(v)};power={(v * v).sum() // len(v)};peak={v.max()};turns={turns};distinct={len(np.unique(x))}"
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unz = zstandard.ZstdDecompressor()
+        _, unz = _codec(1, dictionary)
         for b in batches:
             out = []
             for r in b.to_pylist():

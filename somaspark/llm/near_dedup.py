@@ -7,8 +7,10 @@
    threshold out are dropped; the others are verified on their full sets. A member's likeliest
    pair comes first, its other pairs only if they still join two components.
 3. Members of a bucket that are not of one component by then meet each other as well, so that no
-   link between texts of one bucket is lost, while a group of thousands of copies costs a few pairs
-   a member and not its square.
+   link between texts of one bucket is lost. Two texts can only be linked if they share a shingle
+   that few of these members have, which names the pair, or have enough shingles that many have;
+   the latter bound rules out nearly all pairs of a group of loose copies, so that thousands of
+   copies cost a few pairs a member and not their square.
 
 With 32 bands of 5 registers a pair at the threshold of 0.8 misses all buckets with a probability
 of 3e-6, a likelier pair with less.
@@ -33,7 +35,7 @@ from .components import labels_of
 from .setsketch import REGISTERS, likely_jaccard, mix, registers, shingles
 
 BANDS, ROWS, SALTS = 32, 5, 16
-PERCENT, SLACK = 80, 0.16
+PERCENT, SLACK, RARE = 80, 0.16, 40
 BATCH_SHINGLES = 1 << 16
 
 
@@ -118,6 +120,30 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return stored(df.where(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b"), "links")
 
 
+def several(members: DataFrame) -> DataFrame:
+    """The rows (bucket, b, label, ...) of buckets with more than one label. Stored."""
+    hits = members.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("bucket")
+    return stored(salted(members, hits, ["bucket"], "b"), "bucket-mixed")
+
+
+def rare_shingles(sets: DataFrame, most: int = RARE) -> tuple[DataFrame, DataFrame]:
+    """For each set its size n and how many of its shingles are in more than ``most`` of the sets
+    (common); and the pairs a < b of sets that share a rarer one. Both stored.
+
+    A rare shingle names ``most`` sets at most, and equal lists of sets are taken once, so the pairs
+    grow with the sets and not with the square of a group of copies."""
+    items = sets.select("id", F.explode("items").alias("item"))
+    n = items.groupBy("item").agg(F.count("*").alias("k"), F.min("id").alias("id"))
+    own = n.where("k = 1").groupBy("id").agg(F.count("*").alias("own"))
+    few = stored(n.where(F.col("k").between(2, most)).select("item"), "rare-items", "lz4")
+    rare = stored(items.join(few, "item"), "rare-places", "lz4")
+    counts = sets.select("id", F.size("items").cast("long").alias("n")).join(own, "id", "left").join(rare.groupBy("id").agg(F.count("*").alias("rare")), "id", "left")
+    counts = counts.selectExpr("id", "n", "n - coalesce(own, 0) - coalesce(rare, 0) as common")
+    lists = rare.groupBy("item").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
+    pairs = lists.select("ids", F.posexplode("ids").alias("i", "a")).select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b")).distinct()
+    return stored(counts, "set-counts"), stored(pairs, "rare-pairs")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of docs."""
     sketch = sketched(docs)
@@ -149,20 +175,26 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         links = stored(links.union(verified(more, sets, percent)), "links")
         labels = labels_of(links)
 
-    # buckets of three and more that still hold several components: their members meet each other
+    # buckets of three and more that still hold several components: their members meet each other,
+    # as far as rare shingles allow
     of = labels.select(F.col("node").alias("b"), "label")
-    mixed = shared.where("size > 2").join(of, "b", "left").select("bucket", "b", F.coalesce("label", "b").alias("label"))
-    several = mixed.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("bucket")
-    mixed = stored(salted(mixed, several, ["bucket"], "b"), "bucket-mixed")
-    left, right = mixed.toDF("bucket", "a", "la"), mixed.toDF("bucket", "b", "lb")
-    rest = left.join(right, "bucket").where("a < b and la <> lb").select("a", "b").distinct()
-    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = estimated(rest, reps, percent).join(known, ["a", "b"], "left_anti")
-    rest = stored(rest, "pairs-rest")
-    if not rest.isEmpty():
-        new = ids(rest).join(sets.select("id"), "id", "left_anti")
-        links = links.union(verified(rest, sets.union(full_sets(docs, stored(new, "ids"))), percent))
-        labels = labels_of(links)
+    mixed = several(shared.where("size > 2").join(of, "b", "left").select("bucket", "b", F.coalesce("label", "b").alias("label")))
+    if not mixed.isEmpty():
+        people = stored(mixed.select(F.col("b").alias("id")).distinct(), "mixed-ids")
+        new = stored(people.join(sets.select("id"), "id", "left_anti"), "ids")
+        sets = stored(sets.select("id", "items").join(people, "id", "left_semi").union(full_sets(docs, new)), "mixed-sets", "lz4")
+        counts, sharers = rare_shingles(sets)
+        able = counts.where(100 * F.col("common") >= percent * F.col("n")).select(F.col("id").alias("b"), "n", "common")
+        mixed = several(mixed.join(able, "b"))
+        left, right = mixed.select("bucket", F.col("b").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("common").alias("ca")), mixed.select("bucket", "b", F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("common").alias("cb"))
+        most = F.least("ca", "cb")  # of the intersection, if no rare shingle is shared
+        rest = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most)))
+        rest = rest.select("a", "b").union(apart(sharers))
+        known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        rest = stored(estimated(rest.select("a", "b").distinct(), reps, percent).join(known, ["a", "b"], "left_anti"), "pairs-rest")
+        if not rest.isEmpty():
+            links = links.union(verified(rest, sets, percent))
+            labels = labels_of(links)
 
     lowest = labels.groupBy("label").agg(F.min("node").alias("component"))
     parts = labels.join(lowest, "label").select(F.col("node").alias("first"), "component")
