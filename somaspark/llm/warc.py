@@ -3,8 +3,9 @@
 ``mark_revisits`` finds equal payloads by digest, ``write_archives`` writes gzip members (one record
 each) to files of bounded size through the file system that the folder's URI names, and
 ``read_archives`` reads them back by byte ranges. The reader checks every member (gzip CRC, version
-line, lengths, block and payload digests). After a failed check it searches for the next member or
-version line that passes, goes on from there and logs the bytes between as a quarantined gap.
+line, mandatory fields, lengths, block and payload digests). After a failed check it searches for the next
+member or version line that passes, goes on from there and logs the bytes between as a quarantined
+gap.
 
 Defined results: a null payload is empty; a null url leaves the target header out; of equal payloads
 of at least ``min_bytes`` the record with the largest page_id is the response (all of them, if rows
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,8 +32,11 @@ from .common import scratch_path, stored, text_or_empty
 
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
+#: Header fields that every record has by the format's standard.
+MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
+HTTP_LENGTH = re.compile(rb"content-length:[ \t]*([0-9]+)[ \t]*$")
 DATE = "2024-01-01T00:00:00Z"
-FILE_BYTES, RANGE_BYTES, SALTS = 16 << 20, 32 << 20, 16
+FILE_BYTES, RANGE_BYTES, READ_BYTES, SALTS = 16 << 20, 32 << 20, 4 << 20, 16
 RECORD = "kind string, path string, at long, length long, reason string, page_id long, record_type string, refers_to long, target_uri string, payload_bytes long, payload_digest string, payload binary"
 
 
@@ -116,7 +121,8 @@ def write_archives(marked: DataFrame, folder: str | None = None, file_bytes: int
 
 
 def parse_record(data: bytes | memoryview, p: int) -> tuple[str, int, dict]:
-    """('ok', next position, record), ('more', 0, {}) if data ends too soon, or ('bad', 0, reason)."""
+    """('ok', next position, record), ('more', the bytes needed or 0, {}) if data ends too soon, or
+    ('bad', 0, reason)."""
     bad = lambda why: ("bad", 0, {"reason": why})
     head = bytes(data[p : p + 65536])
     if not head.startswith(b"WARC/1."[: len(head)]):
@@ -127,21 +133,23 @@ def parse_record(data: bytes | memoryview, p: int) -> tuple[str, int, dict]:
     fields = {}
     for line in head[:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
-        if not colon:
+        if not colon or not name.isascii():
             return bad("header")
         fields[name.strip().lower().decode("ascii", "replace")] = value.strip().decode("utf-8", "replace")
-    if not fields.get("content-length", "").isdigit():
+    if missing := [name for name in MANDATORY if name not in fields]:
+        return bad(f"no {missing[0]}")
+    if not re.fullmatch("[0-9]+", fields["content-length"]):
         return bad("length")
     start, size = p + end + 4, int(fields["content-length"])
     if start + size + 4 > len(data):
-        return "more", 0, {}
+        return "more", start + size + 4 - p, {}
     block = bytes(data[start : start + size])
     if bytes(data[start + size : start + size + 4]) != b"\r\n\r\n":
         return bad("record end")
     if fields.get("warc-block-digest", sha1_header(block)) != sha1_header(block):
         return bad("block digest")
     http, _, payload = block.partition(b"\r\n\r\n")
-    length = next((int(x[15:]) for x in http.lower().split(b"\r\n") if x.startswith(b"content-length:")), len(payload))
+    length = next((int(m[1]) for m in map(HTTP_LENGTH.match, http.lower().split(b"\r\n")) if m), len(payload))
     kind = fields.get("warc-type", "")
     if kind == "response" and (length != len(payload) or fields.get("warc-payload-digest", sha1_header(payload)) != sha1_header(payload)):
         return bad("payload digest")
@@ -182,49 +190,62 @@ def parse_member(data: bytes | memoryview, p: int) -> tuple[str, int, list[dict]
 
 
 def salvage(f, size: int, lo: int, hi: int) -> Iterator[dict]:
-    """Records that start in [lo, hi) of the file f, and the gaps behind them up to the next good start.
+    """Records that start in [lo, hi) of the file f, each with the gap that follows it, if one does.
 
     A range that begins inside a record skips to the first start that passes all checks; the range
-    before it reads that record to its end, so each record and each gap belongs to one range."""
-    end = min(size, hi + (1 << 20))
-    data = f.read_at(end - lo, lo)
+    before it reads that record to its end. A gap belongs to the range of the record before it, the
+    file's first one to the first range, so each record and each gap is found once. Of the file no
+    more is held than the record at hand and a few blocks."""
+    base, data = lo, b""
+
+    def load(until: int) -> bool:
+        """Holds the bytes up to ``until``, or a block more; whether there were any."""
+        nonlocal data
+        held = base + len(data)
+        more = min(size, max(until, held + READ_BYTES)) - held
+        data += f.read_at(more, held) if more else b""
+        return more > 0
 
     def at(p: int) -> tuple[str, int, list[dict]]:
-        nonlocal data, end
+        """As parse_member, with the position in the file that follows."""
+        nonlocal base, data
+        if p - base > READ_BYTES:
+            base, data = p, data[p - base :]
         while True:
-            got = parse_member(memoryview(data), p)
-            if got[0] != "more":
-                return got
-            if end == size:
+            got, n, recs = parse_member(memoryview(data), p - base)
+            if got != "more":
+                return got, base + n, recs
+            if p + n > size or not load(p + max(n, 2 * (base + len(data) - p))):
                 return "bad", 0, [{"reason": "cut off"}]
-            grow = min(size - end, max(1 << 20, len(data)))
-            data, end = data + f.read_at(grow, end), end + grow
 
-    def next_start(p: int) -> int:
-        """The first position from p on that passes all checks; the file's end if none does."""
-        nonlocal data, end
-        while True:
-            found = [x for x in (data.find(MAGIC, p), data.find(b"WARC/1.", p)) if x >= 0]
+    def next_start(p: int, stop: int) -> int:
+        """The first position in [p, stop) that passes all checks; stop if none does."""
+        while p < stop:
+            found = [x for x in (data.find(MAGIC, p - base), data.find(b"WARC/1.", p - base)) if x >= 0]
             if found:
-                if at(min(found))[0] == "ok":
-                    return min(found)
-                p = min(found) + 1
-            elif end == size:
-                return len(data)
+                p = base + min(found)
+                if p < stop and at(p)[0] == "ok":
+                    return p
+                p += 1
             else:
-                p, grow = max(p, len(data) - 6), min(size - end, 1 << 20)
-                data, end = data + f.read_at(grow, end), end + grow
-
-    p = next_start(0) if lo else 0
-    while lo + p < min(hi, size):
+                p = max(p, base + len(data) - 6)
+                if not load(0):
+                    break
+        return stop
+
+    stop, good = min(hi, size), False
+    p = next_start(lo, stop) if lo else 0
+    while p < stop or good and p < size:
         got, after, recs = at(p)
-        if got == "ok":
-            yield from ({"kind": "record", "at": lo + p, "length": after - p, "reason": None, **r} for r in recs)
-            p = after
+        good = got == "ok"
+        if good and p >= stop:
+            return
+        if good:
+            yield from ({"kind": "record", "at": p, "length": after - p, "reason": None, **r} for r in recs)
         else:
-            after = next_start(p + 1)
-            yield {"kind": "gap", "at": lo + p, "length": after - p, "reason": recs[0]["reason"]}
-            p = after
+            after = next_start(p + 1, size)
+            yield {"kind": "gap", "at": p, "length": after - p, "reason": recs[0]["reason"]}
+        p = after
 
 
 def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = True, partitions: int | None = None) -> DataFrame:
