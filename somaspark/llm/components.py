@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def labels_of(edges: DataFrame) -> DataFrame:
+#: Edges up to this number are contracted further in one task a round; the tables stay stored ones.
+FEW = 10_000
+
+
+def labels_of(edges: DataFrame, few: int = FEW) -> DataFrame:
     """node, label: nodes of one component share a label (some node of it). edges: a, b.
 
     Each round every node moves to the neighbour (or itself) of least hash, which at least halves
     the nodes of a component on average; edges inside a label go. Nodes without an edge have no row."""
     edges = stored(edges.where("a <> b").selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct(), "edges")
     labels = None
-    while not edges.isEmpty():
+    while n := edges.count():
+        edges = edges.coalesce(1) if n <= few else edges
         both = edges.union(edges.select("b", "a")).toDF("node", "other")
+        both = both.coalesce(1) if n <= few else both
         order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
         step = both.groupBy("node").agg(F.min(order("other")).alias("m")).select("node", F.least(F.col("m"), order("node"))["id"].alias("label"))
         step = stored(step, "labels")
@@ -30,3 +36,12 @@ def labels_of(edges: DataFrame) -> DataFrame:
     if labels is None:
         labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels
+
+
+def more_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels with more edges (a, b), which only join components of the former ones."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias("l" + c))
+    between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    moved = labels_of(between)
+    old = labels.join(moved.toDF("label", "next"), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+    return stored(old.union(moved.join(labels, "node", "left_anti").select("node", "label")), "labels")

@@ -16,8 +16,8 @@ With 32 bands of 5 registers a pair at the threshold of 0.8 misses all buckets w
 of 3e-6, a likelier pair with less.
 
 Defined results: a null or empty text and one of white space alone has an empty set and is linked
-with nothing; texts under four words have one shingle; rows that repeat a doc_id and text are one
-document; a null doc_id is never linked; an empty table gives an empty table; extra columns are
+with nothing; texts under four words have one shingle; rows that repeat a doc_id are one
+document (its least text is compared); a null doc_id is never linked; an empty table gives an empty table; extra columns are
 ignored.
 """
 
@@ -27,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .components import labels_of
+from .components import labels_of, more_labels
 from .setsketch import REGISTERS, likely_jaccard, mix, registers, shingles
 
 BANDS, ROWS, SALTS = 32, 5, 16
@@ -83,8 +83,9 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([got, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["id", "items"])
 
-    wanted = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
-    return stored(wanted.mapInArrow(run, f"id {kind}, items array<long>").dropDuplicates(["id"]), "sets", "lz4")
+    # one text an id, as dealt by the join: repeated rows go before the larger sets are made
+    wanted = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return stored(wanted.mapInArrow(run, f"id {kind}, items array<long>"), "sets", "lz4")
 
 
 def salted(df: DataFrame, groups: DataFrame, keys: list[str], by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
@@ -93,8 +94,13 @@ def salted(df: DataFrame, groups: DataFrame, keys: list[str], by: str, how: str
     return df.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(many, [*keys, "salt"], how).drop("salt")
 
 
+def alike(percent: int = PERCENT) -> Column:
+    """Whether the set sizes na and nb allow the similarity."""
+    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+
+
 def estimated(pairs: DataFrame, reps: DataFrame, percent: int = PERCENT, slack: float = SLACK) -> DataFrame:
-    """a, b, est: the pairs that sizes and likelihood leave over. Stored."""
+    """a, b, est: those of the distinct pairs (a, b, na, nb) that the likelihood leaves over. Stored."""
     kind = dict(pairs.dtypes)["a"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,10 +110,8 @@ def estimated(pairs: DataFrame, reps: DataFrame, percent: int = PERCENT, slack:
                 est = likely_jaccard(*regs, *(b.column(c).to_numpy().astype(float) for c in ("na", "nb")))
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(est)], ["a", "b", "est"])
 
-    side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n").alias("n" + c), F.col("regs").alias("r" + c))
-    sizes = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n").alias("n" + c))
-    fit = pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-    df = fit.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
+    side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("regs").alias("r" + c))
+    df = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
     return stored(df.mapInArrow(run, f"a {kind}, b {kind}, est double").where(F.col("est") >= percent / 100 - slack), "pairs")
 
 
@@ -126,21 +130,21 @@ def several(members: DataFrame) -> DataFrame:
     return stored(salted(members, hits, ["bucket"], "b"), "bucket-mixed")
 
 
-def rare_shingles(sets: DataFrame, most: int = RARE) -> tuple[DataFrame, DataFrame]:
+def rare_shingles(sets: DataFrame, percent: int = PERCENT, most: int = RARE) -> tuple[DataFrame, DataFrame]:
     """For each set its size n and how many of its shingles are in more than ``most`` of the sets
-    (common); and the pairs a < b of sets that share a rarer one. Both stored.
+    (common); and the pairs a < b of sets of like sizes (na, nb) that share a rarer one. Both stored.
 
     A rare shingle names ``most`` sets at most, and equal lists of sets are taken once, so the pairs
     grow with the sets and not with the square of a group of copies."""
-    items = sets.select("id", F.explode("items").alias("item"))
-    n = items.groupBy("item").agg(F.count("*").alias("k"), F.min("id").alias("id"))
-    own = n.where("k = 1").groupBy("id").agg(F.count("*").alias("own"))
-    few = stored(n.where(F.col("k").between(2, most)).select("item"), "rare-items", "lz4")
-    rare = stored(items.join(few, "item"), "rare-places", "lz4")
-    counts = sets.select("id", F.size("items").cast("long").alias("n")).join(own, "id", "left").join(rare.groupBy("id").agg(F.count("*").alias("rare")), "id", "left")
-    counts = counts.selectExpr("id", "n", "n - coalesce(own, 0) - coalesce(rare, 0) as common")
-    lists = rare.groupBy("item").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
-    pairs = lists.select("ids", F.posexplode("ids").alias("i", "a")).select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b")).distinct()
+    items = sets.select("id", F.size("items").cast("long").alias("n"), F.explode("items").alias("item"))
+    n = stored(items.groupBy("item").agg(F.count("*").alias("k"), F.min("id").alias("id")).where(F.col("k") <= most), "rare-items", "lz4")
+    rare = stored(items.join(n.where("k > 1").select("item"), "item"), "rare-places", "lz4")
+    less = n.where("k = 1").select("id").union(rare.select("id")).groupBy("id").agg(F.count("*").alias("less"))
+    counts = sets.select("id", F.size("items").cast("long").alias("n")).join(less, "id", "left")
+    counts = counts.selectExpr("id", "n", "n - coalesce(less, 0) as common")
+    lists = rare.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("ids")).select("ids").distinct()
+    pairs = lists.select("ids", F.posexplode("ids").alias("i", "a")).select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b"))
+    pairs = pairs.select("a.id", "b.id", "a.n", "b.n").toDF("a", "b", "na", "nb").where(alike(percent)).distinct()
     return stored(counts, "set-counts"), stored(pairs, "rare-pairs")
 
 
@@ -148,16 +152,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of docs."""
     sketch = sketched(docs)
     named = sketch.where("doc_id is not null and n > 0")
-    first = named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
-    first = stored(first, "classes")
-    reps = stored(named.join(first.select(F.col("first").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "regs"), "class-firsts")
+    # equal sets have equal registers: any row of a class stands for all
+    first = stored(named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first"), F.min("regs").alias("regs")), "classes")
+    reps = first.select(F.col("first").alias("doc_id"), "n", "regs")
 
     width = ROWS * 2
     band = lambda i: F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width))
-    members = reps.select("doc_id", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("bucket"))
-    buckets = stored(members.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("size")).where("size > 1"), "buckets")
-    shared = stored(salted(members, buckets, ["bucket"], "doc_id").select("bucket", "a", F.col("doc_id").alias("b"), "size"), "bucket-members")
-    pairs = estimated(shared.where("a <> b").select("a", "b").distinct(), reps, percent)
+    members = reps.select("doc_id", "n", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("bucket"))
+    buckets = members.groupBy("bucket").agg(F.min(F.struct("doc_id", "n")).alias("a"), F.count("*").alias("size")).where("size > 1")
+    buckets = stored(buckets.select("bucket", F.col("a.doc_id").alias("a"), F.col("a.n").alias("na"), "size"), "buckets")
+    shared = stored(salted(members, buckets, ["bucket"], "doc_id").select("bucket", "a", "na", F.col("doc_id").alias("b"), F.col("n").alias("nb"), "size"), "bucket-members")
+    pairs = estimated(shared.where((F.col("a") != F.col("b")) & alike(percent)).select("a", "b", "na", "nb").distinct(), reps, percent)
 
     ids = lambda p: p.select(F.col("a").alias("id")).union(p.select("b")).distinct()
     sets = full_sets(docs, ids(pairs))
@@ -168,12 +173,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def apart(p: DataFrame) -> DataFrame:
         of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias("l" + c))
         df = p.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return df.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+        return df.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select(*p.columns)
 
-    more = stored(apart(pairs.join(best, ["a", "b"], "left_anti")), "pairs-left")
+    more = stored(apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti")), "pairs-left")
     if not more.isEmpty():
-        links = stored(links.union(verified(more, sets, percent)), "links")
-        labels = labels_of(links)
+        labels = more_labels(labels, verified(more, sets, percent))
 
     # buckets of three and more that still hold several components: their members meet each other,
     # as far as rare shingles allow
@@ -181,20 +185,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     mixed = several(shared.where("size > 2").join(of, "b", "left").select("bucket", "b", F.coalesce("label", "b").alias("label")))
     if not mixed.isEmpty():
         people = stored(mixed.select(F.col("b").alias("id")).distinct(), "mixed-ids")
-        new = stored(people.join(sets.select("id"), "id", "left_anti"), "ids")
-        sets = stored(sets.select("id", "items").join(people, "id", "left_semi").union(full_sets(docs, new)), "mixed-sets", "lz4")
-        counts, sharers = rare_shingles(sets)
+        sets = full_sets(docs, people)
+        counts, sharers = rare_shingles(sets, percent)
         able = counts.where(100 * F.col("common") >= percent * F.col("n")).select(F.col("id").alias("b"), "n", "common")
         mixed = several(mixed.join(able, "b"))
         left, right = mixed.select("bucket", F.col("b").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("common").alias("ca")), mixed.select("bucket", "b", F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("common").alias("cb"))
         most = F.least("ca", "cb")  # of the intersection, if no rare shingle is shared
         rest = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most)))
-        rest = rest.select("a", "b").union(apart(sharers))
+        rest = rest.select("a", "b", "na", "nb").union(apart(sharers)).distinct()
         known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = stored(estimated(rest.select("a", "b").distinct(), reps, percent).join(known, ["a", "b"], "left_anti"), "pairs-rest")
+        rest = estimated(rest.join(known, ["a", "b"], "left_anti"), reps, percent)
         if not rest.isEmpty():
-            links = links.union(verified(rest, sets, percent))
-            labels = labels_of(links)
+            labels = more_labels(labels, verified(rest, sets, percent))
 
     lowest = labels.groupBy("label").agg(F.min("node").alias("component"))
     parts = labels.join(lowest, "label").select(F.col("node").alias("first"), "component")
