@@ -14,8 +14,8 @@ import struct
 
 import numpy as np
 
-PLAIN = re.compile("[ \n\t\ra-zà-öø-ÿA-ZÀ-ÖØ-Þ0-9!-&(-/:-@\\[-`{-~]*")
-PIECE = re.compile("[a-zà-öø-ÿ]+|[0-9]|[^ \n\t\ra-zà-öø-ÿ0-9]+")
+PLAIN = re.compile("[ \n\t\ra-zß-öø-ÿA-ZÀ-ÖØ-Þ0-9!-&(-/:-@\\[-`{-~]*")
+PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^ \n\t\ra-zß-öø-ÿ0-9]+")
 
 
 class WordTokenizer:
@@ -28,18 +28,19 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most, self.known, self.before = most, {}, {}  # before: what was known until the last turnover
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # whether a token ends a piece
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
     def _learn(self, new: list[str]) -> None:
-        """Plain pieces go in one line, told apart by the tokens' places in it; others go one by one."""
-        plain = [w for w in new if w and PLAIN.fullmatch(w) and not w.isspace()]
+        """Plain pieces go in one line, told apart by their last tokens; others go one by one."""
+        plain = [w for w in new if PIECE.fullmatch(w) and PLAIN.fullmatch(w)]
         for i in range(0, len(plain), 2048):
             part = plain[i : i + 2048]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            sizes = np.array([len(w) + 1 for w in part])
-            begin = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
-            at = np.searchsorted(begin, np.cumsum(sizes) - sizes).tolist() + [len(begin)]
-            raw = np.array(e.ids, "<u4").tobytes()
-            self.known.update((w, raw[4 * at[k] : 4 * at[k + 1]]) for k, w in enumerate(part))
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at, raw = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()], ids.tobytes()
+            if len(at) == len(part) + 1:
+                self.known.update((w, raw[a:b]) for w, a, b in zip(part, at, at[1:], strict=False))
         rest = [w for w in new if w not in self.known]
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
