@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from somaspark.functions.variants import variant_type
+from somaspark.functions.variants import common_prefix, variant_type
 from somaspark.operators.intervals import islands, range_join
 
 
@@ -124,6 +124,215 @@ def label_cascade(calls: DataFrame, truth: DataFrame, pad: int = 5) -> DataFrame
     return calls.join(best, "id", "left").select("id", F.coalesce("kind", F.lit("NONE")).alias("label"), F.coalesce("rule", F.lit(9)).alias("rule"))
 
 
+def shift_ranges(variants: DataFrame, reference: DataFrame) -> DataFrame:
+    """id, first, last: the places an indel can be written at by shifting it over equal bases, as far
+    as [lo, hi) goes. Rows: id, contig, pos, ref, alt, lo, hi; reference: contig, start (0-based), seq.
+    Alleles that are no pure indel, and bases the reference lacks, stop a shift."""
+    chunks = reference.select("contig", (F.col("start") + 1).alias("s"), (F.col("start") + 1 + F.length("seq")).alias("e"), "seq")
+    # a base more on either side, and the allele's length: what a shift within [lo, hi) looks at
+    size = F.greatest(F.length("ref"), F.length("alt"))
+    wide = variants.where("length(ref) <> length(alt)").withColumns({"s": F.col("lo") - 1 - size, "e": F.col("hi") + 1 + size})
+    parts = range_join(wide, chunks).groupBy("id").agg(F.collect_list(F.struct(F.col("r_s").alias("s"), F.col("r_seq").alias("seq"))).alias("parts"))
+    cols = ["id", "pos", "ref", "alt", "lo", "hi", "parts"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for pos, ref, alt, lo, hi, parts in zip(*(b[c] for c in cols[1:]), strict=True):
+                base = {p["s"] + i: x for p in (parts if parts is not None else []) for i, x in enumerate(p["seq"]) if lo - 1 - len(ref) - len(alt) <= p["s"] + i < hi + 1 + len(ref) + len(alt)}
+                rows.append(_shifts(pos, ref, alt, lo, hi, base))
+            yield pd.DataFrame({"id": b["id"], "first": [r[0] for r in rows], "last": [r[1] for r in rows]})
+
+    return wide.join(parts, "id", "left").select(*cols).mapInPandas(run, "id long, first int, last int")
+
+
+def _shifts(pos: int, ref: str, alt: str, lo: int, hi: int, base: dict[int, str]) -> tuple[int, int]:
+    while len(ref) > 1 and len(alt) > 1 and ref[-1] == alt[-1]:
+        ref, alt = ref[:-1], alt[:-1]
+    while len(ref) > 1 and len(alt) > 1 and ref[0] == alt[0]:
+        pos, ref, alt = pos + 1, ref[1:], alt[1:]
+    if min(len(ref), len(alt)) > 1 or ref[0] != alt[0] or "," in alt:
+        return pos, pos
+    base = base | {pos + i: x for i, x in enumerate(ref)}
+    cut = len(ref) - 1
+    event, first = (ref if cut else alt)[1:], pos
+    while first > max(lo, 1) and base.get(first) == event[-1] and first - 1 in base:
+        event, first = base[first] + event[:-1], first - 1
+    event, last = (ref if cut else alt)[1:], pos
+    while last + 1 < hi and base.get(last + cut + 1) == event[0]:
+        event, last = event[1:] + event[0], last + 1
+    return first, last
+
+
+def _merged(run: list[tuple]) -> tuple[list[tuple[int, str, str]], int, int] | None:
+    """The edits of variants in order (pos, ref, alt), their begin and end; None where they overlap.
+    An indel may begin with the last base of the variant before it."""
+    edits, end = [], None
+    for pos, ref, alt in run:
+        if len(run) > 1 and "," in alt or end is not None and pos < end - (len(ref) != len(alt)):
+            return None
+        edits.append((pos, ref, alt) if end is None or pos >= end else (end, ref[1:], alt[1:]))
+        end = pos + len(ref)
+    return edits, run[0][0], end
+
+
+def _haplotype(edits: list[tuple[int, str, str]], lo: int, hi: int, base: dict[int, str], other: dict[int, str]) -> tuple[str, str] | None:
+    """Reference and changed bases of [lo, hi); bases between the edits from base, else from the REF
+    alleles of the other side; None where neither has one."""
+    ref, alt, at = [], [], lo
+    for pos, r, a in [*edits, (hi, "", "")]:
+        gap = [base.get(p, other.get(p)) for p in range(at, pos)]
+        if None in gap:
+            return None
+        ref += [*gap, r]
+        alt += [*gap, a]
+        at = pos + len(r)
+    return "".join(ref), "".join(alt)
+
+
+def equivalent(left: list[tuple], right: list[tuple], base: dict[int, str]) -> bool:
+    """Whether two runs of variants turn the reference into the same sequence."""
+    a, b = _merged(left), _merged(right)
+    if not a or not b or any("," in v[2] for v in (*left, *right)):
+        return False
+    refs = [{p + i: x for p, r, _ in edits for i, x in enumerate(r)} for edits in (a[0], b[0])]
+    lo, hi = min(a[1], b[1]), max(a[2], b[2])
+    h = _haplotype(a[0], lo, hi, base, refs[1])
+    return h is not None and h == _haplotype(b[0], lo, hi, base, refs[0])
+
+
+def _explained(js_of: dict[int, list], truths_of: dict[int, list], var: dict, truth: dict, order: list[int], base: dict[int, str]) -> set[int]:
+    """L2 of one island: the calls that, merged over consecutive runs, equal a run of truths."""
+    grown = lambda v: len(v[2]) - len(v[1])
+    done: set[int] = set()
+
+    def runs(ids: list[int], of: dict) -> Iterator[tuple[list[int], list[tuple], int]]:
+        for i in range(len(ids)):
+            for n in range(i, len(ids)):
+                part = [of[k] for k in ids[i : n + 1]]
+                if not _merged(part):
+                    break  # a longer run overlaps as well
+                yield ids[i : n + 1], part, sum(map(grown, part))
+
+    for t in order:
+        js = js_of[t]
+        if done & set(js):
+            continue
+        here: set[int] = set()
+        tried = list(runs(js, var))
+        for _, want, growth in runs(sorted({i for j in js for i in truths_of[j]}, key=lambda i: (truth[i][0], i)), truth):
+            for ids, got, g in tried:
+                if g == growth and not here & set(ids) and equivalent(want, got, base):
+                    here |= set(ids)
+            if here >= set(js):
+                break
+        done |= here
+    return done
+
+
+def merged_matches(edges: DataFrame, good: DataFrame, reference: DataFrame) -> DataFrame:
+    """L2: ids of the calls that, merged with their neighbours, equal a run of truths; only truths
+    without a call in good are tried, in order of their first call. edges has every pair.
+
+    One task sees an island: the hulls of such truths and their calls that overlap. Every connected
+    component of the edges lies within one."""
+    near = edges.join(good.select("id", F.lit(1).alias("hit")), "id", "left").withColumn("open", F.max("hit").over(Window.partitionBy("r_id")).isNull())
+    hulls = near.where("open").groupBy("r_id", "contig").agg(F.least(F.min("s"), F.min("r_s")).alias("s"), F.greatest(F.max("e"), F.max("r_e")).alias("e"))
+    hulls = islands(hulls).withColumnRenamed("s", "hs").withColumnRenamed("e", "he")
+    span = hulls.groupBy("contig", "island").agg(F.min("hs").alias("s"), F.max("he").alias("e"))
+    calls = near.where("open").select("id", "r_id").join(hulls.select("r_id", "island"), "r_id").select("id", "island").distinct()
+    rows = near.join(calls, "id").select("contig", "island", "id", "pos", "ref", "alt", "r_id", "r_pos", "r_ref", "r_alt", "open")
+    chunks = reference.select("contig", (F.col("start") + 1).alias("s"), (F.col("start") + 1 + F.length("seq")).alias("e"), "seq")
+    chunks = range_join(span, chunks).select("contig", "island", "r_s", "r_seq").toDF("c", "i", "at", "seq")
+
+    def solve(part: pd.DataFrame, seqs: pd.DataFrame) -> pd.DataFrame:
+        base = {at + i: x for at, seq in zip(seqs["at"], seqs["seq"], strict=True) for i, x in enumerate(seq)}
+        var, truth, js_of, truths_of, order = {}, {}, {}, {}, []
+        part = part.sort_values(["pos", "id", "r_pos", "r_id"])
+        for j, pos, ref, alt, i, r_pos, r_ref, r_alt, is_open in part[["id", "pos", "ref", "alt", "r_id", "r_pos", "r_ref", "r_alt", "open"]].itertuples(index=False, name=None):
+            var[j], truth[i] = (pos, ref, alt), (r_pos, r_ref, r_alt)
+            truths_of.setdefault(j, []).append(i)
+            if is_open:
+                if i not in js_of:
+                    order.append(i)
+                js_of.setdefault(i, []).append(j)
+        return pd.DataFrame({"id": sorted(_explained(js_of, truths_of, var, truth, order, base))}, dtype="int64")
+
+    return rows.groupBy("contig", "island").cogroup(chunks.groupBy("c", "i")).applyInPandas(solve, "id long")
+
+
+def part_of(a: str, b: str) -> Column:
+    """L3: whether variant a, anywhere in its shifts [first, last], is a part of variant b. Both are
+    prefixes of pos, ref and alt columns; a has first and last too."""
+    c = lambda side, name: F.col(side + name)
+    ka, kb = variant_type(a + "ref", a + "alt"), variant_type(b + "ref", b + "alt")
+    pa, pb, na, nb = c(a, "pos"), c(b, "pos"), F.length(a + "ref"), F.length(b + "ref")
+    first, last = F.coalesce(c(a, "first"), pa), F.coalesce(c(a, "last"), pa)
+    # what the deletion takes, as a half-open range over all shifts; the record as written counts as well
+    lo, hi = F.least(first, pa), F.greatest(last + F.greatest(na - F.length(a + "alt") + 1, F.lit(1)), pa + na)
+    at = (pa == pb) | pb.between(first, last)
+    both_del = (na > 1) & (nb > 1) & (lo + 1 < pb + nb) & (pb + 1 < hi)
+    return (
+        F.when((ka == "SNP") & (kb == "DEL"), (pb < pa) & (pa < pb + nb))
+        .when((ka == "DEL") & (kb == "SNP"), (lo < pb) & (pb < hi))
+        .when(ka == kb, at | ((ka == "DEL") & both_del))
+        .otherwise(False)
+    )
+
+
+def centre(ref: str, alt: str) -> Column:
+    """The offset of a variant's centre from its place: an indel's shared first bases."""
+    return F.when(F.length(ref) == F.length(alt), 0).otherwise(common_prefix(F.col(ref), F.col(alt)))
+
+
+def whole_cascade(calls: DataFrame, truth: DataFrame, reference: DataFrame, pad: int = 5) -> DataFrame:
+    """Id, label and rule, the number of the survey's rule that labelled the call.
+
+    1 exact; 2 merged and shifted runs (``merged_matches``); 3 part of a truth, or of a call of rules
+    1 and 2 with a truth in common; 4 a DEL and an INS that are all the calls of an SNP truth; 5 same
+    type and place; 6 an INS and an SNP of one centre; 7 an indel of the same type one base away;
+    8 none. Rules 4 to 7 only take truths all of whose calls are unlabelled before the rule.
+    reference: contig, start (0-based), seq; where it lacks bases, rules 2 and 3 use the REF alleles.
+    Needs a checkpoint folder (spark.checkpoint.dir)."""
+    edges = truth_edges(calls, truth, pad).withColumns({"kind": variant_type(), "r_kind": variant_type("r_ref", "r_alt")}).checkpoint()
+    exact = (F.col("pos") == F.col("r_pos")) & (F.col("ref") == F.col("r_ref")) & (F.col("alt") == F.col("r_alt"))
+    good = edges.where(exact).groupBy("id").agg(F.first("kind").alias("label")).withColumn("rule", F.lit(1))
+
+    own = edges.select("id", F.col("kind").alias("label")).distinct()
+    second = merged_matches(edges, good, reference).join(good, "id", "left_anti").join(own, "id").withColumn("rule", F.lit(2))
+    perfect = good.unionByName(second).checkpoint()
+
+    open_ = edges.join(perfect, "id", "left_anti")
+    hull = Window.partitionBy("r_id")
+    reach = edges.withColumns({"lo": F.least(F.min("s").over(hull), "r_s"), "hi": F.greatest(F.max("e").over(hull), "r_e")})
+    t = reach.groupBy("r_id").agg(*[F.first(c).alias(c) for c in ("contig", "r_pos", "r_ref", "r_alt", "lo", "hi")]).toDF("id", "contig", "pos", "ref", "alt", "lo", "hi")
+    of_truths = shift_ranges(t, reference).select(F.col("id").alias("r_id"), F.col("first").alias("r_first"), F.col("last").alias("r_last"))
+    parts = open_.join(of_truths, "r_id", "left").where(part_of("r_", ""))
+    by_truth = parts.groupBy("id").agg(F.min_by("r_kind", F.struct("r_pos", "r_id")).alias("label"))
+
+    p = reach.join(perfect.select("id", "label"), "id")
+    ranges = p.groupBy("id").agg(*[F.first(c).alias(c) for c in ("contig", "pos", "ref", "alt")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    p = p.select("id", "pos", "ref", "alt", "label", "r_id").join(shift_ranges(ranges, reference), "id", "left")
+    p = p.select("r_id", *[F.col(c).alias(f"p_{c}") for c in ("id", "pos", "ref", "alt", "first", "last", "label")])
+    rest = open_.select("id", "pos", "ref", "alt", "r_id").join(by_truth, "id", "left_anti").join(p, "r_id").where(part_of("p_", ""))
+    by_call = rest.groupBy("id").agg(F.min_by("p_label", F.struct("p_pos", "p_id")).alias("label"))
+    good = perfect.unionByName(by_truth.unionByName(by_call).withColumn("rule", F.lit(3))).checkpoint()
+
+    same = F.col("kind") == F.col("r_kind")
+    pair = (F.col("r_kind") == "SNP") & (F.col("n") == 2) & (F.col("dels") == 1) & (F.col("inss") == 1)
+    middle = (F.col("pos") + centre("ref", "alt") == F.col("r_pos") + centre("r_ref", "r_alt")) & F.concat("kind", "r_kind").isin("INSSNP", "SNPINS")
+    rules = {4: (pair, "kind"), 5: (same & (F.col("pos") == F.col("r_pos")), "r_kind"), 6: (middle, "r_kind"), 7: (same & (F.col("kind") != "SNP") & (F.abs(F.col("pos") - F.col("r_pos")) < 2), "r_kind")}
+    ofs = {"n": F.count("*").over(hull), "dels": F.count_if(F.col("kind") == "DEL").over(hull), "inss": F.count_if(F.col("kind") == "INS").over(hull)}
+    left = edges.withColumns(ofs)
+    taken = good
+    for number, (rule, label) in rules.items():
+        hit = left.join(taken.select("id").distinct(), "id", "left_semi").select("r_id").distinct()
+        left = left.join(hit, "r_id", "left_anti").checkpoint()
+        taken = left.where(rule).groupBy("id").agg(F.min(label).alias("label")).withColumn("rule", F.lit(number)).checkpoint()
+        good = good.unionByName(taken)
+    return calls.select("id").join(good, "id", "left").select("id", F.coalesce("label", F.lit("NONE")).alias("label"), F.coalesce("rule", F.lit(8)).alias("rule"))
+
+
 def class_counts(df: DataFrame, label: str, classes: list[str]) -> DataFrame:
     """Counts of all classes, each with a prior of one."""
     spine = df.sparkSession.createDataFrame([(c,) for c in classes], f"{label} string")

@@ -97,6 +97,12 @@ def label_cascade(spark, d):
     return C.label_cascade(view(spark, d, "preds"), view(spark, d, "truth"))
 
 
+@q("q_label_cascade_whole")
+def label_cascade_whole(spark, d):
+    """L1-L8; q_label_cascade has the four rules that its SQL states."""
+    return C.whole_cascade(view(spark, d, "preds"), view(spark, d, "truth"), view(spark, d, "refseq"))
+
+
 @q("q_class_counts", P + f", k AS (SELECT {KIND.format('')} AS kind FROM preds) SELECT kind, (SELECT count(*) FROM k WHERE k.kind = c.kind) + 1 AS n FROM (VALUES ('DEL'), ('INS'), ('NONE'), ('SNP')) c(kind)")
 def class_counts(spark, d):
     return C.class_counts(view(spark, d, "preds").select(V.variant_type().alias("kind")), "kind", ["DEL", "INS", "NONE", "SNP"])

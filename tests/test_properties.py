@@ -114,6 +114,27 @@ def test_label_cascade_gives_truths_to_the_first_rule(spark):
     assert got == {1: ("SNP", 0), 2: ("NONE", 9), 3: ("DEL", 2), 4: ("NONE", 9)}
 
 
+def test_whole_cascade_has_all_rules(spark):
+    v = "id long, contig int, pos int, ref string, alt string"
+    truth = [(1, 0, 3, "CA", "C"), (2, 0, 20, "ACG", "TCT"), (3, 0, 40, "ACGT", "A"), (4, 0, 60, "A", "C"), (5, 0, 80, "A", "AC"), (6, 0, 100, "A", "AT"), (7, 0, 120, "A", "G")]
+    got = [
+        (1, 0, 5, "AA", "A"), (2, 0, 20, "A", "T"), (3, 0, 22, "G", "T"), (4, 0, 42, "G", "T"), (5, 0, 62, "GT", "G"), (6, 0, 63, "T", "TC"), (7, 0, 81, "G", "T"), (8, 0, 101, "C", "CG"),
+        (9, 0, 120, "A", "G"), (10, 0, 120, "A", "C"), (11, 0, 123, "A", "C"), (12, 0, 500, "A", "C"),
+    ]
+    ref = frame(spark, [(0, 0, "GGCAAAAATCC"), (0, 20, "C")], "contig int, start int, seq string")
+    got = {r.id: (r.label, r.rule) for r in calls.whole_cascade(frame(spark, got, v), frame(spark, truth, v), ref).collect()}
+    assert got == {
+        1: ("DEL", 2), 2: ("SNP", 2), 3: ("SNP", 2), 4: ("DEL", 3), 5: ("DEL", 4), 6: ("INS", 4), 7: ("INS", 6), 8: ("INS", 7),
+        9: ("SNP", 1), 10: ("SNP", 3), 11: ("NONE", 8), 12: ("NONE", 8),
+    }
+
+
+def test_shift_ranges_follow_repeats(spark):
+    v = frame(spark, [(1, 0, 5, "AA", "A", 1, 11), (2, 0, 3, "C", "CA", 1, 11), (3, 0, 3, "C", "G", 1, 11), (4, 0, 5, "AA", "A", 5, 7)], "id long, contig int, pos int, ref string, alt string, lo int, hi int")
+    ref = frame(spark, [(0, 0, "GGCAAAA"), (0, 7, "ATCC")], "contig int, start int, seq string")
+    assert {r.id: (r["first"], r["last"]) for r in calls.shift_ranges(v, ref).collect()} == {1: (3, 7), 2: (3, 8), 4: (5, 6)}
+
+
 def test_exact_clusters_keep_long_overlaps_apart(spark):
     v = frame(spark, [(1, 0, 100, "A" * 40, "A"), (2, 0, 110, "A" * 20, "A"), (3, 0, 141, "A", "C")], "id long, contig int, pos int, ref string, alt string")
     assert len({(r.contig, r.cluster) for r in calls.cluster_calls(v).collect()}) == 1
