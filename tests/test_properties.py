@@ -1,15 +1,20 @@
 """Properties and rule corners of the operators on small typed tables."""
 
+import os
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from somaspark.fixtures import view
 from somaspark.functions import variants as V
 from somaspark.operators import calls, candidates, cigar, intervals, network, pileup, tensors
+from somaspark.plans import catalog
 from somaspark.sources import text
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def frame(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
@@ -174,3 +179,15 @@ def test_text_tables(spark, tmp_path):
         text.read_annotations(spark, str(tmp_path / "n.tsv"), ["z"])
     line = text.count_line(frame(spark, [("1", 4, 2, [1, 2])], "contig string, pos int, refcode int, n array<int>"), ["n"]).first().value
     assert re.split("\t", line) == ["1", "4", "5", "C", "1:2"]
+
+
+def test_read_to_columns_whole_has_all_reads(spark):
+    want = {}
+    for r in view(spark, DATA, "reads").collect():
+        at = r.s
+        for n, op in re.findall("([0-9]+)([MID])", r.cigar):
+            for p in range(at, at + int(n)) if op != "I" else ():
+                want.setdefault((r.contig, p), [0, 0])[op == "D"] += 1
+                at += 1
+    got = {(r.contig, r.pos): [r.bases, r.gaps] for r in catalog.queries()["q_read_to_columns_whole"](spark, DATA).collect()}
+    assert got == want
