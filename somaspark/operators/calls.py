@@ -65,6 +65,19 @@ def modal_one(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return n.groupBy(*keys).agg(F.max_by(value, F.struct("n", -F.col(value))).alias(value), F.max("n").alias("n"))
 
 
+def consensus(bases: DataFrame, share: float = 0.6) -> DataFrame:
+    """Of each column (contig, pos) the most frequent code other than the reference's, where its
+    fraction of itself and the reference code is above ``share`` of the contig's largest; of equal
+    counts the larger code. Rows: contig, pos, code, refcode. The last decimals follow the original's
+    0.0001 in the denominator."""
+    n = bases.groupBy("contig", "pos", "refcode", "code").agg(F.count("*").alias("n"))
+    other = F.col("code") != F.col("refcode")
+    x = n.groupBy("contig", "pos", "refcode").agg(F.max(F.when(other, F.struct("n", "code"))).alias("best"), F.coalesce(F.sum(F.when(~other, F.col("n"))), F.lit(0)).alias("ro"))
+    x = x.where("best is not null").select("contig", "pos", F.col("best.code").alias("code"), F.col("best.n").alias("ao"), "ro", (F.col("best.n") / (F.col("best.n") + F.col("ro") + 0.0001)).alias("af"))
+    top = x.groupBy("contig").agg(F.max("af").alias("top"))
+    return x.join(top, "contig").where(F.col("af") > share * F.col("top")).drop("top")
+
+
 def top_mean(df: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
     """Mean of the top ceil(max * k) values of a group."""
     xs = F.sort_array(F.collect_list(value), asc=False)

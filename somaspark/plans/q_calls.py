@@ -69,6 +69,12 @@ def msa_consensus(spark, d):
     return x.join(F.broadcast(top), "contig").where("af > 0.6 * top").drop("top")  # a row a contig
 
 
+@q("q_msa_consensus_whole")
+def msa_consensus_whole(spark, d):
+    """A18 over all contigs; q_msa_consensus has what its SQL states."""
+    return C.consensus(view(spark, d, "bases")).withColumn("af", F.round("af", 4))
+
+
 @q("q_nearest_annot", PT + f" SELECT p.id AS id, t.id AS match_id, abs(p.pos-t.pos) AS distance FROM preds p JOIN truth t ON {NEAR} QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY NOT (p.pos = t.pos AND p.ref = t.ref AND p.alt = t.alt), {KIND.format('p.')} <> {KIND.format('t.')}, abs(p.pos-t.pos), abs(length(p.ref)-length(p.alt)-length(t.ref)+length(t.alt)), t.id) = 1")
 def nearest_annot(spark, d):
     return C.nearest(view(spark, d, "preds"), view(spark, d, "truth"))

@@ -191,3 +191,10 @@ def test_read_to_columns_whole_has_all_reads(spark):
                 at += 1
     got = {(r.contig, r.pos): [r.bases, r.gaps] for r in catalog.queries()["q_read_to_columns_whole"](spark, DATA).collect()}
     assert got == want
+
+
+def test_consensus_takes_the_best_code_of_all_contigs(spark):
+    rows = [(c, p, x, 1) for c, p, codes in ((0, 1, [1, 2, 2, 3]), (0, 2, [1] * 9 + [4]), (7, 1, [1, 0, 3]), (9, 1, [1, 1])) for x in codes]
+    got = {(r.contig, r.pos): (r.code, r.ao, r.ro, round(r.af, 4)) for r in calls.consensus(frame(spark, rows, "contig int, pos int, code int, refcode int")).collect()}
+    assert got == {(0, 1): (2, 2, 1, 0.6666), (7, 1): (3, 1, 1, 0.5)}
+    assert {r.contig for r in catalog.queries()["q_msa_consensus_whole"](spark, DATA).collect()} == {r.contig for r in view(spark, DATA, "bases").where("code <> refcode").select("contig").distinct().collect()}
