@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -114,28 +114,25 @@ def align(a: str, b: str, match: int = 10, mismatch: int = -8, gap_open: int = -
     """Global alignment of two sequences with affine gaps."""
     n, m = len(a), len(b)
     low = -(10**9)
-    s = np.full((3, n + 1, m + 1), low)
-    back = np.zeros((3, n + 1, m + 1), np.int8)
-    s[0, 0, 0] = 0
-    for i in range(1, n + 1):
-        s[1, i, 0] = gap_open + gap * (i - 1)
-        back[1, i, 0] = 1
-    for j in range(1, m + 1):
-        s[2, 0, j] = gap_open + gap * (j - 1)
-        back[2, 0, j] = 2
+    # states 0 to 2: both, a only, b only; of equal scores the first one
+    best = lambda u, v, w: (u, 0) if u >= v and u >= w else (v, 1) if v >= w else (w, 2)
+    above = [(0, low, low)] + [(low, low, gap_open + gap * (j - 1)) for j in range(1, m + 1)]
+    back = [[(0, 0, 0)] + [(0, 0, 2)] * m]
     for i in range(1, n + 1):
+        row, steps = [(low, gap_open + gap * (i - 1), low)], [(0, 1, 0)]
         for j in range(1, m + 1):
-            k = int(np.argmax(s[:, i - 1, j - 1]))
-            s[0, i, j], back[0, i, j] = s[k, i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch), k
-            up = [s[0, i - 1, j] + gap_open, s[1, i - 1, j] + gap, s[2, i - 1, j] + gap_open]
-            k = int(np.argmax(up))
-            s[1, i, j], back[1, i, j] = up[k], k
-            left = [s[0, i, j - 1] + gap_open, s[1, i, j - 1] + gap_open, s[2, i, j - 1] + gap]
-            k = int(np.argmax(left))
-            s[2, i, j], back[2, i, j] = left[k], k
-    i, j, k, x, y = n, m, int(np.argmax(s[:, n, m])), [], []
+            both, k0 = best(*above[j - 1])
+            u, v, w = above[j]
+            up, k1 = best(u + gap_open, v + gap, w + gap_open)
+            u, v, w = row[-1]
+            left, k2 = best(u + gap_open, v + gap_open, w + gap)
+            row.append((both + (match if a[i - 1] == b[j - 1] else mismatch), up, left))
+            steps.append((k0, k1, k2))
+        above = row
+        back.append(steps)
+    i, j, k, x, y = n, m, best(*above[m])[1], [], []
     while i or j:
-        before = int(back[k, i, j])
+        before = back[i][j][k]
         x.append(a[i - 1] if k != 2 else "-")
         y.append(b[j - 1] if k != 1 else "-")
         i, j, k = i - (k != 2), j - (k != 1), before
@@ -143,10 +140,8 @@ def align(a: str, b: str, match: int = 10, mismatch: int = -8, gap_open: int = -
 
 
 def aligned_reads(df: DataFrame) -> DataFrame:
-    """Each read of a group against the group's reference, gapped, with its new CIGAR.
-
-    The groups' reads are independent of each other here (star alignment on the reference), so rows
-    stay where they are. Rows: id, reference, read."""
+    """Each read against its group's reference, gapped, with its new CIGAR. Rows: id, n (the read's
+    number within id), reference, read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -160,9 +155,28 @@ def aligned_reads(df: DataFrame) -> DataFrame:
                         runs.append(f"{i - at}{ops[at]}")
                         at = i
                 rows.append((x, y, "".join(runs)))
-            yield pd.DataFrame({"id": b["id"], "reference": [r[0] for r in rows], "read": [r[1] for r in rows], "cigar": [r[2] for r in rows]})
-
-    return df.select("id", "reference", "read").mapInPandas(run, "id long, reference string, read string, cigar string")
+            yield pd.DataFrame({"id": b["id"], "n": b["n"], "reference": [r[0] for r in rows], "read": [r[1] for r in rows], "cigar": [r[2] for r in rows]})
+
+    return df.select("id", "n", "reference", "read").mapInPandas(run, "id long, n int, reference string, read string, cigar string")
+
+
+def jointly_aligned(df: DataFrame) -> DataFrame:
+    """All reads of a group (id) in common columns: id, n, reference, read, cigar.
+
+    Star alignment: each read meets the reference, then the insertions after one reference base share
+    columns, left-justified, and rows without them are gapped there. Of N11 the new CIGARs; the
+    excess ends are not written. Rows: id, n (the read's number within id), reference, read."""
+    one = aligned_reads(df)
+    # a column is (pos, off): reference bases up to it, and the number of the inserted base after them
+    cells = one.select("id", "n", F.posexplode(F.arrays_zip(F.split("reference", "").alias("x"), F.split("read", "").alias("y"))).alias("i", "c")).select("id", "n", "i", "c.x", "c.y")
+    so_far = Window.partitionBy("id", "n").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("pos", F.count_if(F.col("x") != "-").over(so_far))
+    cells = cells.withColumn("off", F.count_if(F.col("x") == "-").over(Window.partitionBy("id", "n", "pos").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+    columns = cells.groupBy("id", "pos", "off").agg(F.max("x").alias("x"))
+    grid = columns.join(one.select("id", "n"), "id").join(cells.select("id", "n", "pos", "off", "y"), ["id", "n", "pos", "off"], "left")
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "off", F.coalesce(c, F.lit("-")).alias("b")))), lambda v: v["b"]), "")
+    rows = grid.groupBy("id", "n").agg(text("x").alias("reference"), text("y").alias("read"))
+    return rows.join(one.select("id", "n", "cigar"), ["id", "n"])
 
 
 def packed(df: DataFrame, tensor: str = "tensor") -> DataFrame:

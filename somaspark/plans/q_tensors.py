@@ -138,6 +138,14 @@ def ref_onehot(spark, d):
     return view(spark, d, "refseq").select("contig", "start", F.array_join(F.transform(T.one_hot(codes, depth), lambda v: v.cast("string")), ",").alias("y"))
 
 
+@q("q_ref_onehot_whole")
+def ref_onehot_whole(spark, d):
+    """Whole sequences; q_ref_onehot has the eight bases of its SQL."""
+    codes = F.transform(F.split("seq", ""), lambda b: F.position(b, F.lit("-ACGT")) - 1)
+    depth = F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: i * 3)
+    return view(spark, d, "refseq").select("contig", "start", F.array_join(F.transform(T.one_hot(codes, depth), lambda v: v.cast("string")), ",").alias("y"))
+
+
 ANN = {"depth": "coverage", "mq": "mq", "bq": "bq", "nm_diff": "nm_diff", "flag": "flag", "rank_z": "rank_z"}
 KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 
@@ -182,8 +190,10 @@ def merge_variants(spark, d):
 
 @q("q_msa_align")
 def msa_align(spark, d):
-    df = view(spark, d, "refseq").selectExpr("cast(contig*1000000 + start as long) as id", "substring(seq, 1, 24) as reference", "concat(substring(seq, 1, 10), substring(seq, 13, 6), 'GG', substring(seq, 19, 6)) as read")
-    return N.aligned_reads(df)
+    """Whole sequences, each with three made-up reads whose insertions differ."""
+    reads = "array(concat(substring(seq, 1, 10), substring(seq, 13, 6), 'GG', substring(seq, 19)), concat(substring(seq, 1, 18), 'T', substring(seq, 19)), concat(substring(seq, 1, 40), 'CCA', substring(seq, 45)))"
+    df = view(spark, d, "refseq").selectExpr("cast(contig*1000000 + start as long) as id", "seq as reference", f"posexplode({reads}) as (n, read)")
+    return N.jointly_aligned(df)
 
 
 @q("q_codec", f"SELECT vec_id AS id, {LIST.format('list_transform(range(1, 33), lambda i: floor(abs(embedding[i::INT]::DOUBLE) * 50)::INT % 256)')} AS x FROM embeddings")

@@ -198,3 +198,21 @@ def test_consensus_takes_the_best_code_of_all_contigs(spark):
     got = {(r.contig, r.pos): (r.code, r.ao, r.ro, round(r.af, 4)) for r in calls.consensus(frame(spark, rows, "contig int, pos int, code int, refcode int")).collect()}
     assert got == {(0, 1): (2, 2, 1, 0.6666), (7, 1): (3, 1, 1, 0.5)}
     assert {r.contig for r in catalog.queries()["q_msa_consensus_whole"](spark, DATA).collect()} == {r.contig for r in view(spark, DATA, "bases").where("code <> refcode").select("contig").distinct().collect()}
+
+
+def test_joint_alignment_shares_insertion_columns(spark):
+    reads = [(1, 0, "ACGTCATGAC", "ACGTTTCATGAC"), (1, 1, "ACGTCATGAC", "ACGTCATGGAC"), (1, 2, "ACGTCATGAC", "ACGTCTGAC"), (2, 0, "AC", "AC"), (3, 0, "AC", "")]
+    got = {(r.id, r.n): r for r in network.jointly_aligned(frame(spark, reads, "id long, n int, reference string, read string")).collect()}
+    assert len(got) == 5 and len({(got[1, n].reference, len(got[1, n].read)) for n in range(3)}) == 1
+    for i, n, ref, read in reads:
+        assert got[i, n].reference.replace("-", "") == ref and got[i, n].read.replace("-", "") == read
+    assert got[1, 0].reference.count("-") == 3 and got[2, 0].reference == "AC" and got[3, 0].read == "--"
+
+
+def test_sequences_are_taken_whole(spark):
+    seqs = {(r.contig, r.start): r.seq for r in view(spark, DATA, "refseq").collect()}
+    for r in catalog.queries()["q_msa_align"](spark, DATA).collect():
+        assert r.reference.replace("-", "") == seqs[r.id // 1000000, r.id % 1000000]
+    for r in catalog.queries()["q_ref_onehot_whole"](spark, DATA).collect():
+        seq = seqs[r.contig, r.start]
+        assert r.y == ",".join(str(3 * (i + 1) if b == x else 0) for x in "-ACGT" for i, b in enumerate(seq))
