@@ -15,6 +15,8 @@ from somaspark.llm.near_dedup import near_dedup
 from somaspark.llm.q_pack import packed
 from somaspark.llm.quality_rules import quality_filter
 
+NEAR_WORDS = 5
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go."""
@@ -32,8 +34,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of smallest id stays."""
-    return near_dedup(docs)
+    """Of each group of near-duplicates the document of smallest id stays; alike by shingles of five words."""
+    return near_dedup(docs, words=NEAR_WORDS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

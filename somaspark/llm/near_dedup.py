@@ -16,7 +16,7 @@ With 32 bands of 5 registers a pair at the threshold of 0.8 misses all buckets w
 of 3e-6, a likelier pair with less.
 
 Defined results: a null or empty text and one of white space alone has an empty set and is linked
-with nothing; texts under four words have one shingle; rows that repeat a doc_id are one
+with nothing; texts of fewer words than a shingle have one shingle; rows that repeat a doc_id are one
 document (its least text is compared); a null doc_id is never linked; an empty table gives an empty table; extra columns are
 ignored.
 """
@@ -32,19 +32,19 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .components import labels_of, more_labels
-from .setsketch import REGISTERS, likely_jaccard, mix, registers, shingles
+from .setsketch import REGISTERS, WORDS_A_SHINGLE, likely_jaccard, mix, registers, shingles
 
 BANDS, ROWS, SALTS = 32, 5, 16
 PERCENT, SLACK, RARE = 80, 0.16, 40
 BATCH_SHINGLES = 1 << 16
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """doc_ids and sets, in groups of about BATCH_SHINGLES shingles."""
     for b in batches:
         sets, held, first = [], 0, 0
         for i, text in enumerate(b.column("text")):
-            sets.append(shingles(text.as_py()))
+            sets.append(shingles(text.as_py(), words))
             held += len(sets[-1])
             if held >= BATCH_SHINGLES:
                 yield b.column("doc_id").slice(first, len(sets)), sets
@@ -53,12 +53,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np
             yield b.column("doc_id").slice(first, len(sets)), sets
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def sketched(docs: DataFrame, words: int = WORDS_A_SHINGLE) -> DataFrame:
     """doc_id, n (set size), k1, k2 (key of the set), regs (binary; null for an empty set). Stored."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _sets(batches):
+        for ids, sets in _sets(batches, words):
             n = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(n)
             k1, k2, regs = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64), [None] * len(n)
@@ -73,12 +73,12 @@ def sketched(docs: DataFrame) -> DataFrame:
     return stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, regs binary"), "sketches")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS_A_SHINGLE) -> DataFrame:
     """id, items (array of shingle hashes) of the documents in ids. Stored."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got, sets in _sets(batches):
+        for got, sets in _sets(batches, words):
             values = np.concatenate(sets).view(np.int64)
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([got, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["id", "items"])
@@ -148,9 +148,9 @@ def rare_shingles(sets: DataFrame, percent: int = PERCENT, most: int = RARE) ->
     return stored(counts, "set-counts"), stored(pairs, "rare-pairs")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id: a row for each row of docs."""
-    sketch = sketched(docs)
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS_A_SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id: a row for each row of docs; shingles of so many words."""
+    sketch = sketched(docs, words)
     named = sketch.where("doc_id is not null and n > 0")
     # equal sets have equal registers: any row of a class stands for all
     first = stored(named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first"), F.min("regs").alias("regs")), "classes")
@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = estimated(shared.where((F.col("a") != F.col("b")) & alike(percent)).select("a", "b", "na", "nb").distinct(), reps, percent)
 
     ids = lambda p: p.select(F.col("a").alias("id")).union(p.select("b")).distinct()
-    sets = full_sets(docs, ids(pairs))
+    sets = full_sets(docs, ids(pairs), words)
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("est", F.xxhash64("a"))).alias("a")).select("a", "b")
     links = verified(best, sets, percent)
     labels = labels_of(links)
@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     mixed = several(shared.where("size > 2").join(of, "b", "left").select("bucket", "b", F.coalesce("label", "b").alias("label")))
     if not mixed.isEmpty():
         people = stored(mixed.select(F.col("b").alias("id")).distinct(), "mixed-ids")
-        sets = full_sets(docs, people)
+        sets = full_sets(docs, people, words)
         counts, sharers = rare_shingles(sets, percent)
         able = counts.where(100 * F.col("common") >= percent * F.col("n")).select(F.col("id").alias("b"), "n", "common")
         mixed = several(mixed.join(able, "b"))
@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return df.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_dedup(docs: DataFrame, percent: int = PERCENT, words: int = WORDS_A_SHINGLE) -> DataFrame:
     """docs without the documents that another of smaller doc_id stands for; the same columns."""
-    gone = near_duplicates(docs, percent).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = near_duplicates(docs, percent, words).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

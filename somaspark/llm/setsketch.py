@@ -1,6 +1,6 @@
 """Shingle sets and SetSketch registers of texts in numpy.
 
-A text's set holds 64-bit hashes of its distinct 4-word shingles. Register i of a sketch is
+A text's set holds 64-bit hashes of its distinct shingles, of four words unless told otherwise. Register i of a sketch is
 ``floor(1 - log_b h)`` of the smallest exponentially distributed hash h over the set, truncated to
 [0, Q + 1]: registers merge by maximum and agree with a probability near the Jaccard similarity.
 """
@@ -56,14 +56,14 @@ def _marks(starts: np.ndarray, n: int) -> np.ndarray:
     return m
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, words: int = WORDS_A_SHINGLE) -> np.ndarray:
     """Sorted distinct shingle hashes; fewer words than a shingle has make one, none make none."""
     w = word_hashes((text or "").encode())
     if not len(w):
         return w
-    k = min(len(w), WORDS_A_SHINGLE)
+    k = min(len(w), words)
     n = len(w) - k + 1
-    s = np.full(n, C[3 + k], np.uint64)
+    s = np.full(n, C[(3 + k) % len(C)], np.uint64)
     for i in range(k):
         s = (s ^ w[i : i + n]) * C[2]
         s ^= s >> np.uint64(30)

@@ -57,6 +57,15 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(empty(spark)).collect() == []
 
 
+def test_near_stage_compares_five_words(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(40)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:20], "other", *words[21:]])), (3, " ".join(words))], "doc_id long, text string")
+    assert {r.doc_id for r in near_dedup.near_dedup(df).collect()} == {1}  # 33 of 41 shingles of four words
+    assert {r.doc_id for r in corpus_pipeline.near(spark, df, "").collect()} == {1, 2}  # 31 of 41 of five
+
+
 def brute_components(texts):
     sets = {i: frozenset(setsketch.shingles(t).tolist()) for i, t in texts.items()}
     root = {i: i for i in texts}
