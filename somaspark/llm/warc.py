@@ -37,6 +37,7 @@ MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 HTTP_LENGTH = re.compile(rb"content-length:[ \t]*([0-9]+)[ \t]*$")
 DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES, RANGE_BYTES, READ_BYTES, SALTS = 16 << 20, 32 << 20, 4 << 20, 16
+HEAD_BYTES = 1 << 16
 RECORD = "kind string, path string, at long, length long, reason string, page_id long, record_type string, refers_to long, target_uri string, payload_bytes long, payload_digest string, payload binary"
 
 
@@ -124,12 +125,15 @@ def parse_record(data: bytes | memoryview, p: int) -> tuple[str, int, dict]:
     """('ok', next position, record), ('more', the bytes needed or 0, {}) if data ends too soon, or
     ('bad', 0, reason)."""
     bad = lambda why: ("bad", 0, {"reason": why})
-    head = bytes(data[p : p + 65536])
-    if not head.startswith(b"WARC/1."[: len(head)]):
-        return bad("version line")
-    end = head.find(b"\r\n\r\n")
-    if end < 0:
-        return bad("header") if len(head) == 65536 else ("more", 0, {})
+    head, size = b"", HEAD_BYTES
+    while (end := head.find(b"\r\n\r\n")) < 0:  # further on until the data at hand ends
+        if head and len(head) == len(data) - p:
+            return "more", 0, {}
+        head, size = bytes(data[p : p + size]), 2 * size
+        if not head.startswith(b"WARC/1."[: len(head)]):
+            return bad("version line")
+        if not head:
+            return "more", 0, {}
     fields = {}
     for line in head[:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")

@@ -287,6 +287,15 @@ def test_warc_salvage(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(warc.mark_revisits(pages.where("false")), f"file://{tmp_path}/e")).collect() == []
 
 
+def test_warc_header_of_any_length(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "a" * 2000), (2, "http://a/" + "x" * 100_000, "a" * 2000), (3, "http://b/" + "y" * 5_000_000, "b")], "page_id long, url string, html string")
+    for compress in (True, False):
+        manifest = warc.write_archives(warc.mark_revisits(pages.coalesce(1)), f"file://{tmp_path}/h{compress}", compress=compress)
+        for size in (50_000, 1 << 25):
+            got = {r.page_id: (r.kind, r.record_type, r.refers_to, r.target_uri) for r in warc.read_archives(manifest, range_bytes=size).collect()}
+            assert got == {p.page_id: ("record", "revisit" if p.page_id == 1 else "response", 2 if p.page_id == 1 else None, p.url) for p in pages.collect()}
+
+
 def test_url_rules_are_mined(spark):
     bad = [(i, f"http://spam{i % 3}.net/casino/x?buy=1", True) for i in range(60)]
     good = [(100 + i, f"http://site{i % 9}.net/news/{i}", False) for i in range(200)] + [(400, None, False), (401, "nothing", True), (402, "HTTP://A.Org?x", False)]
