@@ -9,8 +9,9 @@ joins the shared chunks back, puts every file together in its order and checks i
 ``media_manifest`` -> ``write_store`` -> ``read_store``; each distinct file is stored and read once.
 
 Defined results: a null text is empty; an empty text has one padded block; equal texts share one
-file; repeated rows are stored once and stay as rows; an empty table gives an empty store; extra
-columns are ignored.
+file; repeated rows are stored once and stay as rows; a very long text is one file of many chunks,
+cut and measured in blocks of ``BLOCK`` bytes; an empty table gives an empty store; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stored, text_or_empty
-from .near_dedup import salted
+from .common import hot_keys, salted, scratch_path, stored, text_or_empty
 
 FRAME, RATE = 192, 8000
 LEAST, MOST, MASK_BITS = 1024, 16384, 12
 DIGEST = 16  # bytes of a chunk's SHA-256
 GEAR = np.random.Generator(np.random.PCG64(6)).integers(0, 1 << 32, 256, dtype=np.uint32)
-SHUFFLE_LEVEL, STORE_LEVEL, PARTS = 9, 15, 16
+SHUFFLE_LEVEL, STORE_LEVEL, BLOCK = 9, 15, 1 << 18
 DICT_ROWS, DICT_CHARS, DICT_BYTES = 800, 8192, 112640  # bound of the sample that the compression dictionary is made of
 
 
@@ -52,11 +52,27 @@ def samples_of(wav: bytes) -> bytes:
 
 
 def gear_cuts(data: np.ndarray) -> np.ndarray:
-    """Where the low MASK_BITS bits of the rolling hash of the last 32 bytes are zero."""
-    h = GEAR[data]
-    for k in (1, 2, 4, 8, 16):
-        h[k:] += h[:-k].copy() << np.uint32(k)
-    return np.flatnonzero((h >> np.uint32(32 - MASK_BITS)) == 0) + 1
+    """The places after which the top MASK_BITS bits of the rolling hash of the last 32 bytes are zero."""
+    out = []
+    for at in range(0, len(data), BLOCK):
+        before = min(at, 31)  # bytes that only warm the hash up
+        h = GEAR[data[at - before : at + BLOCK]]
+        for k in (1, 2, 4, 8, 16):
+            h[k:] += h[:-k].copy() << np.uint32(k)
+        out.append(np.flatnonzero((h[before:] >> np.uint32(32 - MASK_BITS)) == 0) + at + 1)
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def feature(x: np.ndarray) -> str:
+    """Mean (thousandths), power, peak, turning points and distinct values of 8-bit samples."""
+    value, seen, turns = np.arange(256), np.zeros(256, np.int64), 0
+    for at in range(0, len(x), BLOCK):
+        seen += np.bincount(x[at : at + BLOCK], minlength=256)
+        v = x[at : at + BLOCK + 2]
+        slope = (v[1:] > v[:-1]).astype(np.int8) - (v[1:] < v[:-1])
+        turns += int((slope[1:] != slope[:-1]).sum())
+    mean, power = int((seen * value).sum()) * 1000 // len(x), int((seen * value * value).sum()) // len(x)
+    return f"mean={mean};power={power};peak={int(np.flatnonzero(seen).max())};turns={turns};distinct={int((seen > 0).sum())}"
 
 
 def chunk_sizes(data: bytes, cuts: np.ndarray | None = None) -> list[int]:
@@ -104,18 +120,27 @@ def shared_chunks(files: DataFrame) -> DataFrame:
     """mid, shared: array of (idx, writes) of the chunks that occur at several places of the distinct
     files; writes: whether this place is the chunk's owner."""
     places = files.select("mid", F.posexplode("digests").alias("idx", "digest"))
-    twice = places.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("mid", "idx")).alias("owner")).where("n > 1").select("digest", "owner")
-    found = salted(places.select("mid", "idx", "digest"), stored(twice, "chunk-owners"), ["digest"], "mid")
+    twice = places.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("mid", "idx")).alias("owner")).where("n > 1").select("digest", "owner", "n")
+    twice = stored(twice, "chunk-owners")
+    hot = hot_keys(twice, ["digest"], "n", twice.agg(F.sum("n")).first()[0] or 0)
+    found = salted(places.select("mid", "idx", "digest"), twice.drop("n"), ["digest"], ["mid", "idx"], hot)
     return found.groupBy("mid").agg(F.sort_array(F.collect_list(F.struct("idx", (F.struct("mid", "idx") == F.col("owner")).alias("writes")))).alias("shared"))
 
 
+def dictionary_texts(docs: DataFrame) -> DataFrame:
+    """x: at most DICT_ROWS texts, of each at most DICT_CHARS characters: id hashes fall into DICT_ROWS
+    bins, each of which gives the text of its least hash (one text, if rows repeat its doc_id)."""
+    ids = docs.where("text <> ''").select(F.xxhash64("doc_id").alias("h"), "text")
+    picked = ids.groupBy(F.pmod("h", F.lit(DICT_ROWS)).alias("bin")).agg(F.min("h").alias("h")).select("h")
+    found = ids.join(F.broadcast(picked), "h").select("h", F.left("text", F.lit(DICT_CHARS)).alias("x"))  # DICT_ROWS rows
+    return found.groupBy("h").agg(F.min("x").alias("x")).select("x")
+
+
 def dictionary_of(docs: DataFrame) -> bytes:
-    """A zstd dictionary from the DICT_ROWS texts of least id hash, of each at most DICT_CHARS characters."""
+    """A zstd dictionary from the texts of ``dictionary_texts``."""
     import zstandard
 
-    picked = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICT_ROWS)
-    rows = docs.join(F.broadcast(picked), "doc_id").select(F.left("text", F.lit(DICT_CHARS)).alias("x")).where("x <> ''")  # DICT_ROWS ids
-    texts = sorted(r["x"] for r in rows.collect())[: 2 * DICT_ROWS]
+    texts = sorted(r["x"] for r in dictionary_texts(docs).collect())
     try:
         return zstandard.train_dictionary(DICT_BYTES, [x.encode() for x in texts]).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few texts for one
@@ -186,11 +211,6 @@ def read_store(spark, folder: str) -> DataFrame:
 
     dictionary = bytes(store.where("kind = 'dict'").first()["data"])  # DICT_BYTES at most
 
-    def feature(x: np.ndarray) -> str:
-        v = x.astype(np.int64)
-        turns = int((np.diff(np.sign(np.diff(v))) != 0).sum())
-        return f"mean={v.sum() * 1000 // len(v)};power={(v * v).sum() // len(v)};peak={v.max()};turns={turns};distinct={len(np.unique(x))}"
-
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, unz = _codec(1, dictionary)
         for b in batches:
@@ -215,7 +235,8 @@ def read_store(spark, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["mid", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     places = packs.where("size(shared) > 0").select("key", "digests", F.explode("shared").alias("idx")).select("key", "idx", F.get("digests", F.col("idx")).alias("digest"))
-    got = salted(places, chunks, ["digest"], "key").groupBy("key").agg(F.collect_list(F.struct("idx", "data")).alias("got"))
+    hot = hot_keys(places.groupBy("digest").agg(F.count("*").alias("n")), ["digest"], "n", places.count())
+    got = salted(places, chunks, ["digest"], ["key", "idx"], hot).groupBy("key").agg(F.collect_list(F.struct("idx", "data")).alias("got"))
     some = packs.where("size(shared) > 0").join(got, "key").select("key", "digests", "sizes", "shared", "data", "got")
     none = packs.where("size(shared) = 0").select("key", "digests", "sizes", "shared", "data", F.lit(None).cast("array<struct<idx:int,data:binary>>").alias("got"))
     kind = "mid binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -226,4 +247,5 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the columns of read_store: a row for each row of docs."""
     manifest = media_manifest(docs)
     files = read_store(docs.sparkSession, write_store(docs, manifest))
-    return salted(manifest.select("doc_id", "n_bytes", "mid"), files, ["mid"], "doc_id", salts=PARTS // 4).drop("mid")
+    hot = hot_keys(manifest.groupBy("mid").agg(F.count("*").alias("n")), ["mid"], "n", manifest.count())
+    return salted(manifest.select("doc_id", "n_bytes", "mid"), files, ["mid"], ["doc_id"], hot).drop("mid")

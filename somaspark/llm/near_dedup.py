@@ -17,8 +17,8 @@ of 3e-6, a likelier pair with less.
 
 Defined results: a null or empty text and one of white space alone has an empty set and is linked
 with nothing; texts of fewer words than a shingle have one shingle; rows that repeat a doc_id are one
-document (its least text is compared); a null doc_id is never linked; an empty table gives an empty table; extra columns are
-ignored.
+document (its least text is compared); a null doc_id is never linked; a very long text is hashed in blocks and its
+whole set is compared; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import hot_keys, salted, stored
 from .components import labels_of, more_labels
 from .setsketch import REGISTERS, WORDS_A_SHINGLE, likely_jaccard, mix, registers, shingles
 
@@ -88,12 +88,6 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS_A_SHINGLE) ->
     return stored(wanted.mapInArrow(run, f"id {kind}, items array<long>"), "sets", "lz4")
 
 
-def salted(df: DataFrame, groups: DataFrame, keys: list[str], by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """df joined with groups (one row a key), with a hot key's rows dealt over salts by the column by."""
-    many = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(many, [*keys, "salt"], how).drop("salt")
-
-
 def alike(percent: int = PERCENT) -> Column:
     """Whether the set sizes na and nb allow the similarity."""
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
@@ -126,8 +120,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 def several(members: DataFrame) -> DataFrame:
     """The rows (bucket, b, label, ...) of buckets with more than one label. Stored."""
-    hits = members.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("bucket")
-    return stored(salted(members, hits, ["bucket"], "b"), "bucket-mixed")
+    groups = members.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("size"))
+    hits = stored(groups.where("l1 <> l2").select("bucket", "size"), "buckets-mixed")
+    total = hits.agg(F.sum("size")).first()[0] or 0
+    return stored(salted(members, hits.select("bucket"), ["bucket"], ["b"], hot_keys(hits, ["bucket"], "size", total)), "bucket-mixed")
 
 
 def rare_shingles(sets: DataFrame, percent: int = PERCENT, most: int = RARE) -> tuple[DataFrame, DataFrame]:
@@ -153,7 +149,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS_
     sketch = sketched(docs, words)
     named = sketch.where("doc_id is not null and n > 0")
     # equal sets have equal registers: any row of a class stands for all
-    first = stored(named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first"), F.min("regs").alias("regs")), "classes")
+    first = stored(named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first"), F.min("regs").alias("regs"), F.count("*").alias("rows")), "classes")
     reps = first.select(F.col("first").alias("doc_id"), "n", "regs")
 
     width = ROWS * 2
@@ -161,7 +157,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS_
     members = reps.select("doc_id", "n", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min(F.struct("doc_id", "n")).alias("a"), F.count("*").alias("size")).where("size > 1")
     buckets = stored(buckets.select("bucket", F.col("a.doc_id").alias("a"), F.col("a.n").alias("na"), "size"), "buckets")
-    shared = stored(salted(members, buckets, ["bucket"], "doc_id").select("bucket", "a", "na", F.col("doc_id").alias("b"), F.col("n").alias("nb"), "size"), "bucket-members")
+    hot = hot_keys(buckets, ["bucket"], "size", buckets.agg(F.sum("size")).first()[0] or 0)
+    shared = stored(salted(members, buckets, ["bucket"], ["doc_id"], hot).select("bucket", "a", "na", F.col("doc_id").alias("b"), F.col("n").alias("nb"), "size"), "bucket-members")
     pairs = estimated(shared.where((F.col("a") != F.col("b")) & alike(percent)).select("a", "b", "na", "nb").distinct(), reps, percent)
 
     ids = lambda p: p.select(F.col("a").alias("id")).union(p.select("b")).distinct()
@@ -191,7 +188,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS_
         mixed = several(mixed.join(able, "b"))
         left, right = mixed.select("bucket", F.col("b").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("common").alias("ca")), mixed.select("bucket", "b", F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("common").alias("cb"))
         most = F.least("ca", "cb")  # of the intersection, if no rare shingle is shared
-        rest = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most)))
+        # one side of a bucket is dealt over salts, the other one meets every salt
+        left = left.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+        right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rest = left.join(right, (left["bucket"] == right["bucket"]) & (left["salt"] == right["salt"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most)))
         rest = rest.select("a", "b", "na", "nb").union(apart(sharers)).distinct()
         known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         rest = estimated(rest.join(known, ["a", "b"], "left_anti"), reps, percent)
@@ -201,7 +201,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS_
     lowest = labels.groupBy("label").agg(F.min("node").alias("component"))
     parts = labels.join(lowest, "label").select(F.col("node").alias("first"), "component")
     classes = first.join(parts, "first", "left").select("k1", "k2", "n", F.coalesce("component", "first").alias("component"))
-    df = salted(sketch, stored(classes, "class-components"), ["k1", "k2", "n"], "doc_id", "left")
+    hot = hot_keys(first, ["k1", "k2", "n"], "rows", sketch.count())
+    df = salted(sketch, stored(classes, "class-components"), ["k1", "k2", "n"], ["doc_id"], hot, "left")
     return df.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 

@@ -21,6 +21,7 @@ _low = np.arange(256, dtype=np.uint8)
 LOWER = np.where((_low >= 65) & (_low <= 90), _low + 32, _low).astype(np.uint8)
 SPACE = (_low == 32) | ((_low >= 9) & (_low <= 13))
 POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15 | 5, np.uint64) | np.uint64(1))
+HIGH_POWERS = np.cumprod(np.full(1 << 16, POWERS[-1]))  # of whole runs of 65,536 places, for longer words
 BLOCK = 1 << 21
 
 
@@ -45,6 +46,8 @@ def word_hashes(text: bytes) -> np.ndarray:
             index = np.arange(len(part))
             place = index - np.maximum.accumulate(np.where(_marks(starts, len(part)), index, 0))
             value = np.where(gap, np.uint64(0), BYTE_HASH[part] * POWERS[place & 0xFFFF])
+            far = np.flatnonzero(place > 0xFFFF)
+            value[far] *= HIGH_POWERS[(place[far] >> 16) - 1]
             out.append(mix(np.add.reduceat(value, starts)))
         at = end
     return np.concatenate(out) if out else np.empty(0, np.uint64)
