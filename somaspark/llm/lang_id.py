@@ -1,13 +1,16 @@
 """Language ID by a bidirectional gated recurrent network over bytes.
 
-``fit`` learns from a bounded sample: for each language the ``docs_per_lang`` documents of smallest
-id hash and of each a window of ``window_chars`` characters at a hashed place. ``predict`` reads
-every whole text: its UTF-8 bytes are cut into sequences of ``LENGTH``, the network labels every
-position, and a document's probabilities are the means over all its positions.
+``fit`` learns from a bounded sample: id hashes fall into ``docs_per_lang`` bins, and of each of the
+``MOST_LANGS`` most frequent languages the document of least hash in each bin is taken, of it a
+window of ``window_chars`` characters at a hashed place. ``predict`` reads every whole text: its
+UTF-8 bytes are cut into sequences of ``LENGTH``, the network labels every position, and a
+document's probabilities are the means over all its positions.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, and so is every text
 if nothing could be learned; equal texts get equal results; ties go to the language that sorts
-first; an empty table gives an empty table; extra columns are ignored or, in ``predict``, kept.
+first; rows that repeat a doc_id give one window a language (the least), and each row its own
+result; a very long text counts as a whole, in slices of ``SLICE`` sequences; an empty table gives
+an empty table; extra columns are ignored or, in ``predict``, kept.
 """
 
 from __future__ import annotations
@@ -16,13 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_gru import Params, position_probs, train
 
 LENGTH, SLICE = 96, 2048
-DOCS_PER_LANG, WINDOW_CHARS = 192, 600
+DOCS_PER_LANG, WINDOW_CHARS, MOST_LANGS = 256, 600, 128  # the driver gets their product in characters at most
 
 
 def sequences(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -41,13 +44,23 @@ def matrix(data: np.ndarray, begin: np.ndarray, size: np.ndarray, length: int =
     return data[np.where(mask, begin + at, 0)] * mask.astype(np.uint8), mask.astype(np.float32)
 
 
+def sampled(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, window_chars: int = WINDOW_CHARS, most_langs: int = MOST_LANGS) -> DataFrame:
+    """lang, x: at most ``docs_per_lang`` windows of each of the most frequent languages.
+
+    The picks are minima of one long a bin, so tasks combine them before the shuffle and no key
+    gathers more than that; rows that repeat a doc_id share a hash and end as one window."""
+    ok = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text")
+    bins = ok.groupBy("lang", F.pmod("h", F.lit(docs_per_lang)).alias("bin")).agg(F.min("h").alias("h"), F.count("*").alias("n"))
+    langs = bins.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).select("lang")
+    picked = bins.join(F.broadcast(langs), "lang").select("lang", "h")
+    at = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - window_chars)).cast("int") + 1
+    found = ok.join(F.broadcast(picked), ["lang", "h"]).select("lang", "h", F.substring("text", at, F.lit(window_chars)).alias("x"))  # docs_per_lang rows a language
+    return found.groupBy("lang", "h").agg(F.min("x").alias("x")).select("lang", "x")
+
+
 def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, window_chars: int = WINDOW_CHARS) -> tuple[list[str], Params | None]:
     """The languages in order and the network, from rows of doc_id, text and lang."""
-    ok = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    top = lambda df, *keys: df.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("k") <= docs_per_lang).drop("k")
-    picked = top(top(ok.withColumn("part", F.pmod("h", F.lit(64))), "lang", "part"), "lang")  # in two steps, so that no task ranks a whole language
-    at = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - window_chars)).cast("int") + 1
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("lang", F.substring("text", at, F.lit(window_chars)).alias("x"))  # docs_per_lang rows a language
+    rows = sampled(docs, docs_per_lang, window_chars)
     got = sorted((r["lang"], r["x"]) for r in rows.collect())
     langs = sorted({lang for lang, _ in got})
     if not langs:
