@@ -7,7 +7,8 @@ occurrences but the first by (doc_id, line number), so a passage is never lost a
 
 Defined results: lines are compared without the spaces around them, blank lines are never counted
 or removed; a null text stays null; a null source is one site; rows equal in doc_id and text are
-treated alike; an empty table gives an empty table. Extra columns, of any name, stay.
+treated alike; a very long text is cut in time that grows with its lines, however many of them go;
+an empty table gives an empty table. Extra columns, of any name, stay.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, hot_keys, salted, stored
 
 MIN_SITES, MARGIN, LG_K = 5, 0.3, 9
 KEY = ["h1", "h2"]
@@ -34,20 +35,26 @@ def text_lines(docs: DataFrame) -> DataFrame:
 
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN, lg_k: int = LG_K) -> DataFrame:
-    """h1, h2, first (doc_id, th, pos): the lines found at min_sites sites or more. Stored."""
+    """h1, h2, n, first (doc_id, th, pos): the lines found at min_sites sites or more, n times. Stored."""
     seen = lines.groupBy(*KEY).agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos")).alias("first"))
     low, high = min_sites * (1 - margin), min_sites * (1 + margin)
-    seen = seen.where(F.col("n") >= min_sites).select(*KEY, "first", F.hll_sketch_estimate("sketch").alias("sites"))
+    seen = seen.where(F.col("n") >= min_sites).select(*KEY, "n", "first", F.hll_sketch_estimate("sketch").alias("sites"))
     seen = stored(seen.where(F.col("sites") >= low), "line-spread")
-    near = lines.select(*KEY, "site").join(seen.where(F.col("sites") <= high).select(*KEY), KEY).distinct()
+    near = seen.where(F.col("sites") <= high).select(*KEY, "n")
+    near = salted(lines.select(*KEY, "site", "doc_id", "pos"), near.select(*KEY), KEY, ["doc_id", "pos"], hot_lines(near)).select(*KEY, "site").distinct()
     exact = near.groupBy(*KEY).agg(F.count("*").alias("exact"))
-    return stored(seen.join(exact, KEY, "left").where(F.coalesce("exact", "sites") >= min_sites).select(*KEY, "first"), "line-boilerplate")
+    return stored(seen.join(exact, KEY, "left").where(F.coalesce("exact", "sites") >= min_sites).select(*KEY, "n", "first"), "line-boilerplate")
+
+
+def hot_lines(found: DataFrame) -> DataFrame:
+    return hot_keys(found, KEY, "n", found.agg(F.sum("n")).first()[0] or 0)
 
 
 def removed_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """doc_id, th, gone: the positions of the lines that each text loses; texts that lose none have no row."""
     lines = stored(text_lines(docs), "lines")
-    found = lines.join(spread_lines(lines, min_sites), KEY)
+    spread = spread_lines(lines, min_sites)
+    found = salted(lines, spread.drop("n"), KEY, ["doc_id", "pos"], hot_lines(spread))
     found = found.where(~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first")))
     return found.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
 
@@ -56,13 +63,13 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """row (all columns of docs as a struct), text (without the removed lines), n_lines, n_removed."""
     gone = removed_lines(docs, min_sites).withColumnRenamed("doc_id", "id")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("th"))
-    df = rows.join(gone.hint("shuffle_hash"), rows["row.doc_id"].eqNullSafe(gone["id"]) & (rows["th"] == gone["th"]), "left").select("row", "gone")
-    lines = F.split("row.text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    df = rows.join(gone.hint("shuffle_hash"), rows["row.doc_id"].eqNullSafe(gone["id"]) & (rows["th"] == gone["th"]), "left").select("row", "gone", F.split("row.text", "\n", -1).alias("lines"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    left = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
     return df.select(
         "row",
         F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left).alias("text"),
-        F.size(F.filter(F.coalesce(lines, F.array().cast("array<string>")), lambda x: F.trim(x) != "")).cast("long").alias("n_lines"),
+        F.size(F.filter(F.coalesce("lines", F.array().cast("array<string>")), lambda x: F.trim(x) != "")).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
