@@ -3,8 +3,9 @@
 The trie's arrays are built once on the driver (their size is the vocabulary's) and broadcast.
 
 Defined results: a null text has null ids, an empty one the ids of the marker alone; decoding gives
-every text back exactly, whatever its white space; an empty table gives an empty table; other
-columns stay (a column named like a new one is replaced).
+every text back exactly, whatever its white space; repeated rows have equal results, each its own;
+a very long text is searched unit by unit, and a unit of any length alone if it has to be; an empty
+table gives an empty table; other columns stay (a column named like a new one is replaced).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import tokenizer_path
 from .unigram import load
 
-CACHE = 400_000
+CACHE, CACHED_CHARS = 400_000, 256  # units held between batches, and their longest
 
 
 def _mapped(df: DataFrame, new: dict[str, str], column: str, work) -> DataFrame:
@@ -54,9 +55,10 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text") -> DataFr
             if len(cache) + len(wanted) > CACHE:
                 cache.clear()
             new = list(wanted - cache.keys())
+            own = {}
             for u, ids in zip(new, m.segment(new), strict=True):
-                cache[u] = struct.pack(f"<{len(ids)}I", *ids), sum(i in fallback for i in ids)
-            got = [None if s is None else [cache[u] for u in s] for s in split]
+                (cache if len(u) <= CACHED_CHARS else own)[u] = struct.pack(f"<{len(ids)}I", *ids), sum(i in fallback for i in ids)
+            got = [None if s is None else [cache[u] if u in cache else own[u] for u in s] for s in split]
             ids = [None if s is None else b"".join([x for x, _ in s]) for s in got]
             return ids, [None if x is None else len(x) // 4 for x in ids], [None if s is None else sum([n for _, n in s]) for s in got]
 

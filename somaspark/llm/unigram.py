@@ -19,6 +19,7 @@ import numpy as np
 MARK = "▁"
 UNIT = re.compile(f"\n|{MARK}| *[^ \n{MARK}]+| +")
 UNKNOWN = 10.0  # below the lowest piece, a character
+CELLS = 1 << 20  # units times length of a search; its tables take about 40 bytes a cell
 ZIPF = 2.7  # log score of the piece of rank r: -log(r + ZIPF)
 
 
@@ -91,7 +92,7 @@ class Unigram:
         return UNIT.findall(" " + text)
 
     def segment(self, units: list[str]) -> list[list[int]]:
-        """The best ids of each unit; units of like length are searched together."""
+        """The best ids of each unit; units of like length are searched together, CELLS bytes at most or one unit."""
         raw = [self._as_bytes(u) for u in units]
         out: list[list[int]] = [[] for _ in units]
         order = sorted(range(len(units)), key=lambda i: len(raw[i]))
@@ -99,7 +100,7 @@ class Unigram:
         while at < len(order):
             width = len(raw[order[at]]) * 5 // 4 + 4
             end = at
-            while end < len(order) and end - at < 8192 and len(raw[order[end]]) <= width:
+            while end < len(order) and end - at < 8192 and len(raw[order[end]]) <= width and (end == at or (end - at + 1) * len(raw[order[end]]) <= CELLS):
                 end += 1
             group = order[at:end]
             for i, ids in zip(group, self._viterbi([raw[i] for i in group]), strict=True):
@@ -151,11 +152,11 @@ class Unigram:
             r, e = r[up], e[up]
             best[r, e], back[r, e], piece[r, e] = new[up], s, -1
         out = []
-        back_, piece_ = back.tolist(), piece.tolist()
         for i, r in enumerate(raw):
             ids, at = [], len(r)
+            back_, piece_ = back[i, : at + 1].tolist(), piece[i, : at + 1].tolist()
             while at:
-                frm, v = back_[i][at], piece_[i][at]
+                frm, v = back_[at], piece_[at]
                 chunk = MARK.encode() if r[frm:at] == b"\xff" else r[frm:at]
                 ids += [v] if v >= 0 else [int(self.bytes[b]) for b in reversed(chunk)]
                 at = frm
