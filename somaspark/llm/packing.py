@@ -7,7 +7,8 @@ their documents cut to fill the gaps of the others, so that less than one window
 in all. Documents find their place by their rank among the documents of their length.
 
 Defined results: a null text is empty, a document has at least its end id; repeated rows are packed
-each by itself; an empty table gives an empty table; extra columns are ignored.
+each by itself; a very long text is tokenised whole and cut into windows; equal lengths are ranked by
+(rid, start); an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .bpe_tokens import tokenizer_of
 from .common import stored, text_or_empty, tokenizer_path
 
-WINDOW, END_ID, SALTS = 4096, 2, 256
+WINDOW, END_ID, RANKED = 4096, 2, 1 << 16  # RANKED: items of a length that one task ranks, about
 BIG = 1 << 48
 CUTS = "rid long, start long, length long, sequence_id long, offset long"
 
@@ -135,11 +136,14 @@ class Plan:
 def cut_places(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     """CUTS rows for rows of (rid, n)."""
     items = tokens.select("rid", F.explode(F.expr(f"sequence(0L, n - 1, {window}L)")).alias("start"), "n")
-    items = items.select("rid", "start", F.least(F.lit(window), F.col("n") - F.col("start")).alias("length"), F.pmod(F.xxhash64("rid", "start"), F.lit(SALTS)).alias("salt"))
-    # ranks by salt within a length: a length that a third of the corpus shares is numbered by many tasks
-    counts = stored(items.groupBy("length", "salt").agg(F.count("*").alias("n")), "pack-counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most window rows
+    items = items.select("rid", "start", F.least(F.lit(window), F.col("n") - F.col("start")).alias("length"))
+    histogram = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most window rows
     plan = Plan(pack_histogram(histogram, window), window)
+    # ranks by salt within a length, with salts in proportion to its items: a length that a third of the
+    # corpus shares is numbered by as many tasks as that takes
+    salts = tokens.sparkSession.createDataFrame([(k, -(-n // RANKED)) for k, n in histogram.items()], "length long, salts long")  # at most window rows
+    items = items.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("rid", "start"), "salts")).drop("salts")
+    counts = stored(items.groupBy("length", "salt").agg(F.count("*").alias("n")), "pack-counts")
     before = counts.selectExpr("length", "salt", "coalesce(sum(n) over (partition by length order by salt rows between unbounded preceding and 1 preceding), 0) as base")
     ranked = items.selectExpr("*", "row_number() over (partition by length, salt order by rid, start) - 1 as rank").join(before, ["length", "salt"])
 
