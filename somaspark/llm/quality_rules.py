@@ -1,14 +1,17 @@
 """Quality rules whose limits come from mergeable quantile sketches per language and source.
 
 ``measured`` counts words, symbols, repeated lines and repeated word windows of every whole text.
-``limits`` keeps one KLL sketch a metric and (lang, source), merges them to languages and to the
-whole corpus, and sets each limit at a Tukey fence; groups under ``min_rows`` documents use the next
-wider level. ``judged`` joins the limits back. Limits follow the data; only the fence width and the
-slack (which keeps metrics that are nearly constant from rejecting on noise) are parameters.
+``limits`` keeps one KLL sketch a metric and (lang, source) over the documents that pass the base
+rule and merges them to languages and to the whole corpus; groups under ``min_rows`` documents use
+the next wider level. A limit lies beyond a quantile near the group's end by ``FENCE`` times that
+quantile's distance from the median; ``judged`` joins the limits back. No rate or length is fixed:
+the parameters are the quantiles and the fence. A metric whose high values are common among good
+documents (repeated lines, words, capitals) has its quantile farther out.
 
 Defined results: a null or empty text has no words and fails the base rule; null lang or source is a
-group of its own; repeated rows are judged alike, each by itself; an empty table gives an empty
-table; all columns of the input are kept in the struct ``row``, so no name can clash.
+group of its own, and so are all rows where the column is absent; ties with a limit are kept;
+repeated rows are judged alike, each by itself; a very long text is counted whole; an empty table
+gives an empty table; all columns of the input are kept in the struct ``row``, so no name can clash.
 """
 
 from __future__ import annotations
@@ -25,15 +28,15 @@ from .common import stored
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words")
-#: Metric -> (numerator, denominator, slack above the fence, whether a lower fence holds as well).
+#: Metric -> (numerator, denominator, quantile that the upper fence starts from, the lower one's or None).
 METRICS = {
-    "symbol_rate": ("n_symbols", "n_words", 0.1, False),
-    "dup_line_rate": ("n_dup_lines", "n_lines", 0.5, False),
-    "repeat_rate": ("n_repeat_words", "n_words", 0.3, False),
-    "upper_rate": ("n_upper_words", "n_words", 0.4, False),
-    "mean_word": ("word_chars", "n_words", 1.5, True),
+    "symbol_rate": ("n_symbols", "n_words", 0.9, None),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 0.99, None),
+    "repeat_rate": ("n_repeat_words", "n_words", 0.99, None),
+    "upper_rate": ("n_upper_words", "n_words", 0.99, None),
+    "mean_word": ("word_chars", "n_words", 0.9, 0.1),
 }
-SKETCH_K, FENCE, MIN_ROWS = 1024, 3.0, 20
+SKETCH_K, FENCE, MIN_ROWS = 1024, 3.0, 50
 
 
 def text_counts(text: str | None) -> tuple[int, ...]:
@@ -67,7 +70,7 @@ def _counts(texts: pd.Series) -> pd.DataFrame:
 def measured(docs: DataFrame) -> DataFrame:
     """row (all columns of docs), the COUNTS, lang_key and source_key."""
     counts = F.pandas_udf(_counts, ", ".join(f"{c} long" for c in COUNTS))
-    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) if c in docs.columns else F.lit("-")
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), counts(F.col("text")).alias("m"), key("lang").alias("lang_key"), key("source").alias("source_key"))
     return df.select("row", "m.*", "lang_key", "source_key")
 
@@ -79,7 +82,7 @@ def base_failed() -> Column:
 def limits(m: DataFrame, k: int = SKETCH_K) -> DataFrame:
     """lang_key, source_key, n and a sketch a metric; the wider levels have null keys."""
     rates = {c: F.col(a).cast("double") / F.col(b) for c, (a, b, _, _) in METRICS.items()}
-    groups = stored(m.where("n_words > 0").groupBy("lang_key", "source_key").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(x, k).alias(c) for c, x in rates.items()]), "quality-sketches")
+    groups = stored(m.where(~base_failed()).groupBy("lang_key", "source_key").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(x, k).alias(c) for c, x in rates.items()]), "quality-sketches")
     merged = lambda g: g.agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(c, k).alias(c) for c in METRICS])
     wide = merged(groups.groupBy("lang_key")).withColumn("source_key", F.lit(None).cast("string"))
     whole = merged(groups.groupBy()).where("n > 0").withColumns({"lang_key": F.lit(None).cast("string"), "source_key": F.lit(None).cast("string")})
@@ -89,16 +92,17 @@ def limits(m: DataFrame, k: int = SKETCH_K) -> DataFrame:
 def fences(lim: DataFrame, fence: float = FENCE) -> DataFrame:
     at = lambda c, q: F.kll_sketch_get_quantile_double(c, F.lit(q))
     out = []
-    for c, (_, _, slack, _) in METRICS.items():
-        width = at(c, 0.75) - at(c, 0.25)
-        out += [(at(c, 0.25) - fence * width - slack).alias(f"{c}_low"), (at(c, 0.75) + fence * width + slack).alias(f"{c}_high")]
+    for c, (_, _, high, low) in METRICS.items():
+        out.append((at(c, high) + fence * (at(c, high) - at(c, 0.5))).alias(f"{c}_high"))
+        if low is not None:
+            out.append((at(c, low) - fence * (at(c, 0.5) - at(c, low))).alias(f"{c}_low"))
     return lim.select("lang_key", "source_key", "n", *out)
 
 
 def judged(m: DataFrame, min_rows: int = MIN_ROWS, fence: float = FENCE, k: int = SKETCH_K) -> DataFrame:
     """m with base_failed and kept."""
     lim = stored(fences(limits(m, k), fence), "quality-limits")
-    bounds = [f"{c}_{side}" for c in METRICS for side in ("low", "high")]
+    bounds = [c for c in lim.columns if c.endswith(("_low", "_high"))]
     pack = F.struct("n", *bounds)
     group = lim.where("source_key is not null").select("lang_key", "source_key", pack.alias("g"))
     wide = lim.where("lang_key is not null and source_key is null").select("lang_key", pack.alias("l"))
@@ -111,7 +115,7 @@ def judged(m: DataFrame, min_rows: int = MIN_ROWS, fence: float = FENCE, k: int
     for c, (a, b, _, low) in METRICS.items():
         rate = F.col(a).cast("double") / F.when(F.col(b) > 0, F.col(b))
         good = good & (rate <= F.col(f"lim.{c}_high"))
-        if low:
+        if low is not None:
             good = good & (rate >= F.col(f"lim.{c}_low"))
     return df.select(*m.columns, base_failed().alias("base_failed"), (~base_failed() & F.coalesce(good, F.lit(False))).alias("kept"))
 
