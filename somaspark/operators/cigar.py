@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stretches import carried, inside, up_to
+
 OPS = "([0-9]+)([MIDNSHP=X])"
 ON_REFERENCE = ("M", "D", "N", "=", "X")
 
@@ -32,15 +36,31 @@ def merged(ops: Column) -> Column:
     return F.aggregate(ops, empty, add)
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once, however often f uses it inside lambdas."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def starts(lens: Column, block: int = 32) -> Column:
+    """Exclusive prefix sums of an array of ints, by blocks, so that long arrays stay cheap."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    def of(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), F.lit(block)), lambda h: F.slice(xs, h + 1, F.lit(block)))
+        bases = let(F.transform(blocks, total), lambda sums: F.transform(sums, lambda _, i: total(F.slice(sums, F.lit(1), i))))
+        return F.flatten(F.zip_with(blocks, bases, lambda b, base: F.transform(b, lambda _, j: base + total(F.slice(b, F.lit(1), j)))))
+
+    return let(lens, of)
+
+
 def indels(ops: Column, start: Column) -> Column:
     """array of (op, pos, len) of insertions and deletions in reference coordinates."""
-    first = F.struct(start.cast("int").alias("at"), F.array().cast("array<struct<op:string,pos:int,len:int>>").alias("out"))
+    def of(xs: Column) -> Column:
+        span = F.transform(xs, lambda x: F.when(x["op"].isin(*ON_REFERENCE), x["len"]).otherwise(0))
+        rows = F.zip_with(xs, starts(span), lambda x, at: F.struct(x["op"].alias("op"), (start.cast("int") + at).alias("pos"), x["len"].alias("len")))
+        return F.filter(rows, lambda r: r["op"].isin("I", "D"))
 
-    def step(acc: Column, x: Column) -> Column:
-        found = F.array(F.struct(x["op"].alias("op"), acc["at"].alias("pos"), x["len"].alias("len")))
-        return F.struct((acc["at"] + F.when(x["op"].isin(*ON_REFERENCE), x["len"]).otherwise(0)).alias("at"), F.when(x["op"].isin("I", "D"), F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(ops, first, step, lambda acc: acc["out"])
+    return let(ops, of)
 
 
 def op_length(ops: Column, *kinds: str) -> Column:
@@ -85,15 +105,11 @@ def run_lengths(df: DataFrame, keys: list[str], order: list[str], value: str) ->
 
 def column_rows(reads: DataFrame, keys: list[str]) -> DataFrame:
     """a row for each reference position a read covers: base true under M, = and X, false in a gap."""
-    ops = reads.withColumn("ops", parsed("cigar"))
-    first = F.struct(F.col("s").cast("int").alias("at"), F.array().cast("array<struct<pos:int,len:int,base:boolean>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        block = F.array(F.struct(acc["at"].alias("pos"), x["len"].alias("len"), x["op"].isin("M", "=", "X").alias("base")))
-        on = x["op"].isin(*ON_REFERENCE)
-        return F.struct((acc["at"] + F.when(on, x["len"]).otherwise(0)).alias("at"), F.when(on, F.concat(acc["out"], block)).otherwise(acc["out"]).alias("out"))
+    def of(xs: Column) -> Column:
+        span = F.transform(xs, lambda x: F.when(x["op"].isin(*ON_REFERENCE), x["len"]).otherwise(0))
+        return F.zip_with(xs, starts(span), lambda x, at: F.struct((F.col("s").cast("int") + at).alias("pos"), x["len"].alias("len"), x["op"].isin("M", "=", "X").alias("base"), x["op"].isin(*ON_REFERENCE).alias("on")))
 
-    blocks = ops.select(*keys, F.explode(F.aggregate("ops", first, step, lambda a: a["out"])).alias("b")).where("b.len > 0")
+    blocks = reads.select(*keys, F.explode(let(parsed("cigar"), of)).alias("b")).where("b.on and b.len > 0")
     return blocks.select(*keys, "b.base", F.explode(F.sequence(F.col("b.pos"), F.col("b.pos") + F.col("b.len") - 1)).alias("pos"))
 
 
@@ -105,5 +121,6 @@ def reference_gaps(reads: DataFrame) -> DataFrame:
 
 def gap_positions(gaps: DataFrame) -> DataFrame:
     """Column of each gapped reference position: the gaps before it are added."""
-    w = Window.partitionBy("contig").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return gaps.withColumn("column", (F.col("pos") + F.coalesce(F.sum("gap").over(w), F.lit(0))).cast("long"))
+    df = carried(gaps, ["contig"], F.shiftright("pos", 16), before={"base": (F.sum, "gap")})
+    own = F.coalesce(F.sum("gap").over(up_to(inside(["contig"], "pos"), -1)), F.lit(0))
+    return df.withColumn("column", (F.col("pos") + own + F.coalesce("base", F.lit(0))).cast("long")).drop("base", "stretch")

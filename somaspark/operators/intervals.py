@@ -2,15 +2,20 @@
 
 Range joins are binned: both sides are spread over fixed-size bins, joined on (contig, bin) and kept
 in the first bin they share, so no pair is made twice and no contig becomes one task. Runs of
-overlapping intervals are found with a running maximum of the ends.
+overlapping intervals are found with a running maximum of the ends, stretch by stretch.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN = 256
+from .stretches import carried, inside, up_to
+
+BIN = 64
+STRETCH_BITS = 16
 
 
 def normalised(df: DataFrame, begin: str = "s", end: str = "e") -> DataFrame:
@@ -51,16 +56,25 @@ def near_end(a: str, b: str, wiggle: int) -> Column:
 
 
 def _binned(df: DataFrame, first: Column, last: Column, size: int) -> DataFrame:
-    """bin (one row a bin) and bin0, the first bin."""
-    lo, hi = F.floor(first / size), F.floor(last / size)
+    """bin (one row a bin) and bin0, the first bin; size is a power of two."""
+    lo, hi = (F.shiftright(x, size.bit_length() - 1) for x in (first, last))
     return df.withColumn("bin0", lo).withColumn("bin", F.explode(F.sequence(lo, F.greatest(lo, hi))))
 
 
+def bin_size(left: DataFrame, right: DataFrame, pad: int = 0) -> int:
+    """The power of two next above the mean padded length of both sides' rows, 16 at least: a row then
+    falls into two bins or so. One aggregation over the inputs."""
+    both = left.select((F.col("e") - F.col("s") + 2 * pad).alias("n")).union(right.select(F.col("e") - F.col("s")))
+    return max(16, 1 << math.ceil(both.agg(F.avg("n")).first()[0] or 1).bit_length())
+
+
 def range_join(left: DataFrame, right: DataFrame, pad: int = 0, size: int = BIN, strategy: str = "binned") -> DataFrame:
     """Inner join of overlapping rows after padding the left ones by pad.
 
-    Columns of right get the prefix ``r_``. strategy 'plain' leaves the range as a residual
-    condition of the contig join: cheaper while one side is small enough to be broadcast."""
+    Columns of right get the prefix ``r_``. strategy 'auto' takes the bins' size from the data;
+    'plain' leaves the range as a residual condition of the contig join: cheaper while one side is
+    small enough to be broadcast."""
+    size = bin_size(left, right, pad) if strategy == "auto" else size
     right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
     meet = (F.col("s") - pad < F.col("r_e")) & (F.col("r_s") < F.col("e") + pad)
     if strategy == "plain":
@@ -86,42 +100,39 @@ def clip(left: DataFrame, right: DataFrame) -> DataFrame:
     return range_join(left, right).withColumns({"cs": F.greatest("s", "r_s"), "ce": F.least("e", "r_e")})
 
 
-def islands(df: DataFrame, gap: int = 0, by: tuple[str, ...] = ("contig",)) -> DataFrame:
+def islands(df: DataFrame, gap: int = 0, by: tuple[str, ...] = ("contig",), bits: int = STRETCH_BITS) -> DataFrame:
     """df with ``island``, numbered within ``by``: rows whose distance to all before exceeds gap begin one."""
-    order = Window.partitionBy(*by).orderBy("s", "e")
-    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("_new", F.when(F.col("s") > reach + gap, 1).otherwise(F.when(reach.isNull(), 1).otherwise(0))).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    keys, stretch = list(by), F.shiftright("s", bits)
+    df = carried(df, keys, stretch, before={"_reach": (F.max, "e")})
+    w = up_to(inside(keys, "s", "e"), -1)
+    reach = F.greatest(F.max("e").over(w), F.col("_reach"))
+    df = df.withColumn("_new", F.when(reach.isNull() | (F.col("s") > reach + gap), 1).otherwise(0)).drop("_reach")
+    df = carried(df, keys, stretch, before={"_n": (F.sum, "_new")})
+    number = F.sum("_new").over(up_to(inside(keys, "s", "e"))) + F.coalesce("_n", F.lit(0))
+    return df.withColumn("island", number).drop("_new", "_n", "stretch")
 
 
-def merge(df: DataFrame, gap: int = 0, by: tuple[str, ...] = ("contig",), size: int = 1 << 16) -> DataFrame:
+def merge(df: DataFrame, gap: int = 0, by: tuple[str, ...] = ("contig",)) -> DataFrame:
     """Union of the intervals; book-ended ones and those within gap merge. n: their number.
 
-    Exact copies are counted first, then the intervals that begin in one stretch of ``size`` bases
-    merge, so the window over a whole contig sees only what is left of each stretch."""
-    df = df.groupBy(*by, "s", "e").agg(F.count("*").alias("n")).withColumn("stretch", F.floor(F.col("s") / size))
-    for keys in ((*by, "stretch"), by):
-        df = islands(df, gap, keys).groupBy(*keys, "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum("n").alias("n")).drop("island", "stretch" if keys == by else "")
-    return df
+    Exact copies are counted first."""
+    df = df.groupBy(*by, "s", "e").agg(F.count("*").alias("n"))
+    return islands(df, gap, by).groupBy(*by, "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum("n").alias("n")).drop("island")
 
 
-def coverage(df: DataFrame) -> DataFrame:
-    """Depth of every covered piece, by a sweep over starts and ends."""
+def coverage(df: DataFrame, bits: int = STRETCH_BITS) -> DataFrame:
+    """Depth of every covered piece between two break points, by a sweep over starts and ends."""
     steps = df.select("contig", F.col("s").alias("p"), F.lit(1).alias("d")).union(df.select("contig", "e", F.lit(-1)))
     steps = steps.groupBy("contig", "p").agg(F.sum("d").alias("d"))
-    order = Window.partitionBy("contig").orderBy("p")
-    sweep = steps.withColumn("depth", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("to", F.lead("p").over(order))
+    steps = carried(steps, ["contig"], F.shiftright("p", bits), before={"base": (F.sum, "d")}, after={"next": (F.min, "p")})
+    w = inside(["contig"], "p")
+    sweep = steps.withColumn("depth", F.coalesce("base", F.lit(0)) + F.sum("d").over(up_to(w))).withColumn("to", F.coalesce(F.lead("p").over(w), "next"))
     return sweep.where("depth > 0").select("contig", F.col("p").alias("s"), F.col("to").alias("e"), "depth")
 
 
 def disjoint(df: DataFrame) -> DataFrame:
     """A10: the covered pieces between all break points."""
-    points = df.select("contig", F.col("s").alias("p")).union(df.select("contig", "e")).distinct()
-    order = Window.partitionBy("contig").orderBy("p")
-    pieces = points.withColumn("e", F.lead("p").over(order)).where("e is not null").withColumnRenamed("p", "s")
-    covered = merge(df).select("contig", F.col("s").alias("cs"), F.col("e").alias("ce"))
-    last = Window.partitionBy("contig").orderBy("s", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = pieces.select("contig", "s", "e", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("ce")).union(covered.select("contig", "cs", F.lit(None).cast("int"), F.lit(0), "ce"))
-    return both.withColumn("reach", F.max("ce").over(last)).where("kind = 1 and e <= reach").select("contig", "s", "e")
+    return coverage(df).select("contig", "s", "e")
 
 
 def total_length(df: DataFrame) -> DataFrame:

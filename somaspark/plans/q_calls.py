@@ -8,6 +8,7 @@ from somaspark.fixtures import ctes, view
 from somaspark.functions import variants as V
 from somaspark.operators import calls as C
 from somaspark.operators.intervals import range_anti, range_semi
+from somaspark.operators.stretches import numbered
 
 from .registry import Registry
 
@@ -173,10 +174,8 @@ def merge_post(spark, d):
 @q("q_shard_ids", P + " SELECT id, prob >= 0.4 AS is_var, CAST((row_number() OVER (PARTITION BY contig, prob >= 0.4 ORDER BY id) - 1)//50 AS BIGINT) AS shard FROM preds")
 def shard_ids(spark, d):
     """U8: shards of bounded size, variants and others apart."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("contig", "is_var").orderBy("id")
-    return view(spark, d, "preds").withColumn("is_var", F.col("prob") >= 0.4).withColumn("k", F.row_number().over(w) - 1).selectExpr("id", "is_var", "k div 50 as shard")
+    df = view(spark, d, "preds").withColumn("is_var", F.col("prob") >= 0.4)
+    return numbered(df, ["contig", "is_var"], F.shiftright("id", 16), "id").selectExpr("id", "is_var", "k div 50 as shard")
 
 
 @q("q_nan_to_zero", P + " SELECT id, CASE WHEN id%5=0 THEN 0.0 ELSE prob END::DOUBLE AS x FROM preds")

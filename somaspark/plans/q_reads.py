@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from somaspark.fixtures import ctes, view
 from somaspark.operators import cigar as G
 from somaspark.operators.intervals import range_join
+from somaspark.operators.stretches import carried, inside, numbered, up_to
 
 from .registry import Registry
 
@@ -92,8 +92,9 @@ def largest_block(spark, d):
 @q("q_read_chunks", R + f" SELECT {K}, contig, CAST((row_number() OVER (PARTITION BY contig ORDER BY e-s, {K}) - 1)//100 AS BIGINT) AS chunk FROM reads")
 def read_chunks(spark, d):
     """Reads in order of length, a hundred a chunk."""
-    w = Window.partitionBy("contig").orderBy(F.col("e") - F.col("s"), *KEY)
-    return view(spark, d, "reads").withColumn("k", F.row_number().over(w) - 1).selectExpr(*KEY, "contig", "k div 100 as chunk")
+    size = F.col("e") - F.col("s")
+    df = numbered(view(spark, d, "reads"), ["contig"], F.struct(size, F.shiftright("l_orderkey", 16)), size, *KEY)
+    return df.selectExpr(*KEY, "contig", "k div 100 as chunk")
 
 
 @q("q_realign_join", R + f", n AS (SELECT l_orderkey, s, cigar, max(s + 2) AS new_s FROM reads WHERE l_linenumber%2 = 0 GROUP BY 1, 2, 3) SELECT r.{K.replace(", ", ", r.")}, coalesce(new_s, r.s) AS s FROM reads r LEFT JOIN n ON n.l_orderkey = r.l_orderkey AND n.s = r.s AND n.cigar = r.cigar")
@@ -159,5 +160,6 @@ def md_tokens(spark, d):
 def size_buckets(spark, d):
     """Shards in order of size, gathered up to a budget."""
     g = view(spark, d, "reads").withColumn("shard", F.expr("s div 100")).groupBy("contig", "shard").agg(F.count("*").alias("size"))
-    w = Window.partitionBy("contig").orderBy("size", "shard").rowsBetween(Window.unboundedPreceding, 0)
-    return g.withColumn("run", F.sum("size").over(w)).selectExpr("contig", "shard", "size", "(run - size) div 500 as bucket")
+    g = carried(g, ["contig"], F.struct("size", F.shiftright("shard", 10)), before={"base": (F.sum, "size")})
+    run = F.coalesce("base", F.lit(0)) + F.sum("size").over(up_to(inside(["contig"], "size", "shard")))
+    return g.withColumn("run", run).selectExpr("contig", "shard", "size", "(run - size) div 500 as bucket")
