@@ -40,8 +40,16 @@ def event_length(ref: Column, alt: Column) -> Column:
 
 
 def is_part_of(pos: Column, ref: Column, alt: Column, pos2: Column, ref2: Column, alt2: Column) -> Column:
-    """F8: the first variant's reference span lies in the second's, and both are of one type."""
-    return (variant_type(ref, alt) == variant_type(ref2, alt2)) & (pos >= pos2) & (pos + F.length(ref) <= pos2 + F.length(ref2))
+    """F8: whether one variant is a part of the other on one contig: an SNP inside a deletion (either
+    way round), two of one type at one place, or two deletions that take a base in common."""
+    a, b, na, nb = variant_type(ref, alt), variant_type(ref2, alt2), F.length(ref), F.length(ref2)
+    common = (na > 1) & (nb > 1) & (F.greatest(pos, pos2) + 1 < F.least(pos + na, pos2 + nb))
+    return (
+        F.when((a == "SNP") & (b == "DEL"), (pos2 < pos) & (pos < pos2 + nb))
+        .when((a == "DEL") & (b == "SNP"), (pos < pos2) & (pos2 < pos + na))
+        .when(a == b, (pos == pos2) | ((a == "DEL") & common))
+        .otherwise(False)
+    )
 
 
 def phred(p: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from somaspark.functions.variants import common_prefix, variant_type
 from somaspark.operators.intervals import islands, range_join
+from somaspark.operators.stretches import kept
 
 
 def spanned(df: DataFrame) -> DataFrame:
@@ -122,21 +123,6 @@ def truth_edges(calls: DataFrame, truth: DataFrame, pad: int = 5) -> DataFrame:
     return range_join(spanned(calls), spanned(truth), pad)
 
 
-def label_cascade(calls: DataFrame, truth: DataFrame, pad: int = 5) -> DataFrame:
-    """The label of each call by the first rule that explains a truth; every later rule
-    sees only truths that no call has matched yet. rule 0: exact, 1: same type and place, 2: an
-    indel of the same type one base away, 9: none."""
-    edges = truth_edges(calls, truth, pad).withColumns({"kind": variant_type(), "r_kind": variant_type("r_ref", "r_alt")})
-    same = F.col("kind") == F.col("r_kind")
-    exact = (F.col("pos") == F.col("r_pos")) & (F.col("ref") == F.col("r_ref")) & (F.col("alt") == F.col("r_alt"))
-    rule = F.when(exact, 0).when(same & (F.col("pos") == F.col("r_pos")), 1).when(same & (F.col("kind") != "SNP") & (F.abs(F.col("pos") - F.col("r_pos")) < 2), 2)
-    edges = edges.withColumn("rule", rule).where("rule is not null").select("id", "r_id", "kind", "rule")
-    first = Window.partitionBy("r_id")
-    edges = edges.where("true").withColumn("truth_rule", F.min("rule").over(first)).where("rule = truth_rule")
-    best = edges.groupBy("id").agg(F.min("rule").alias("rule"), F.first("kind").alias("kind"))
-    return calls.join(best, "id", "left").select("id", F.coalesce("kind", F.lit("NONE")).alias("label"), F.coalesce("rule", F.lit(9)).alias("rule"))
-
-
 def shift_ranges(variants: DataFrame, reference: DataFrame) -> DataFrame:
     """id, first, last: the places an indel can be written at by shifting it over equal bases, as far
     as [lo, hi) goes. Rows: id, contig, pos, ref, alt, lo, hi; reference: contig, start (0-based), seq.
@@ -274,13 +260,13 @@ def merged_matches(edges: DataFrame, good: DataFrame, reference: DataFrame) -> D
     return rows.groupBy("contig", "island").cogroup(chunks.groupBy("c", "i")).applyInPandas(solve, "id long")
 
 
-def part_of(a: str, b: str) -> Column:
+def part_of(a: str, b: str, shifted: bool = True) -> Column:
     """L3: whether variant a, anywhere in its shifts [first, last], is a part of variant b. Both are
-    prefixes of pos, ref and alt columns; a has first and last too."""
+    prefixes of pos, ref and alt columns; a has first and last too, unless nothing is shifted."""
     c = lambda side, name: F.col(side + name)
     ka, kb = variant_type(a + "ref", a + "alt"), variant_type(b + "ref", b + "alt")
     pa, pb, na, nb = c(a, "pos"), c(b, "pos"), F.length(a + "ref"), F.length(b + "ref")
-    first, last = F.coalesce(c(a, "first"), pa), F.coalesce(c(a, "last"), pa)
+    first, last = (F.coalesce(c(a, "first"), pa), F.coalesce(c(a, "last"), pa)) if shifted else (pa, pa)
     # what the deletion takes, as a half-open range over all shifts; the record as written counts as well
     lo, hi = F.least(first, pa), F.greatest(last + F.greatest(na - F.length(a + "alt") + 1, F.lit(1)), pa + na)
     at = (pa == pb) | pb.between(first, last)
@@ -298,50 +284,62 @@ def centre(ref: str, alt: str) -> Column:
     return F.when(F.length(ref) == F.length(alt), 0).otherwise(common_prefix(F.col(ref), F.col(alt)))
 
 
-def whole_cascade(calls: DataFrame, truth: DataFrame, reference: DataFrame, pad: int = 5) -> DataFrame:
+def shifted_places(edges: DataFrame, open_: DataFrame, hits: DataFrame, reference: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """open_ with r_first and r_last, hits with first and last: where the truth or the call can be
+    shifted to within the hull of its edges."""
+    hull = Window.partitionBy("r_id")
+    reach = edges.withColumns({"lo": F.least(F.min("s").over(hull), "r_s"), "hi": F.greatest(F.max("e").over(hull), "r_e")})
+    t = reach.groupBy("r_id").agg(*[F.first(c).alias(c) for c in ("contig", "r_pos", "r_ref", "r_alt", "lo", "hi")]).toDF("id", "contig", "pos", "ref", "alt", "lo", "hi")
+    of_truths = shift_ranges(t, reference).select(F.col("id").alias("r_id"), F.col("first").alias("r_first"), F.col("last").alias("r_last"))
+    own = reach.join(hits.select("id").distinct(), "id").groupBy("id").agg(*[F.first(c).alias(c) for c in ("contig", "pos", "ref", "alt")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return open_.join(of_truths, "r_id", "left"), hits.join(shift_ranges(own, reference), "id", "left")
+
+
+def label_cascade(calls: DataFrame, truth: DataFrame, reference: DataFrame | None = None, pad: int = 5) -> DataFrame:
     """Id, label and rule, the number of the survey's rule that labelled the call.
 
     1 exact; 2 merged and shifted runs (``merged_matches``); 3 part of a truth, or of a call of rules
     1 and 2 with a truth in common; 4 a DEL and an INS that are all the calls of an SNP truth; 5 same
     type and place; 6 an INS and an SNP of one centre; 7 an indel of the same type one base away;
     8 none. Rules 4 to 7 only take truths all of whose calls are unlabelled before the rule.
-    reference: contig, start (0-based), seq; where it lacks bases, rules 2 and 3 use the REF alleles.
-    Needs a checkpoint folder (spark.checkpoint.dir)."""
-    edges = truth_edges(calls, truth, pad).withColumns({"kind": variant_type(), "r_kind": variant_type("r_ref", "r_alt")}).checkpoint()
+    reference: contig, start (0-based), seq; where it lacks bases, rules 2 and 3 use the REF alleles;
+    without any, rule 2 is left out and rule 3 takes the variants as they are written. The edges of
+    calls and truths are cut off in the checkpoint folder, so that no rule is tried inside the join."""
+    typed = lambda df: df.withColumn("kind", variant_type())
+    edges = kept(truth_edges(typed(calls), typed(truth), pad))
     exact = (F.col("pos") == F.col("r_pos")) & (F.col("ref") == F.col("r_ref")) & (F.col("alt") == F.col("r_alt"))
     good = edges.where(exact).groupBy("id").agg(F.first("kind").alias("label")).withColumn("rule", F.lit(1))
 
-    own = edges.select("id", F.col("kind").alias("label")).distinct()
-    second = merged_matches(edges, good, reference).join(good, "id", "left_anti").join(own, "id").withColumn("rule", F.lit(2))
-    perfect = good.unionByName(second).checkpoint()
+    perfect = good
+    if reference is not None:
+        own = edges.select("id", F.col("kind").alias("label")).distinct()
+        second = merged_matches(edges, good, reference).join(good, "id", "left_anti").join(own, "id").withColumn("rule", F.lit(2))
+        perfect = kept(good.unionByName(second))
 
     open_ = edges.join(perfect, "id", "left_anti")
     hull = Window.partitionBy("r_id")
-    reach = edges.withColumns({"lo": F.least(F.min("s").over(hull), "r_s"), "hi": F.greatest(F.max("e").over(hull), "r_e")})
-    t = reach.groupBy("r_id").agg(*[F.first(c).alias(c) for c in ("contig", "r_pos", "r_ref", "r_alt", "lo", "hi")]).toDF("id", "contig", "pos", "ref", "alt", "lo", "hi")
-    of_truths = shift_ranges(t, reference).select(F.col("id").alias("r_id"), F.col("first").alias("r_first"), F.col("last").alias("r_last"))
-    parts = open_.join(of_truths, "r_id", "left").where(part_of("r_", ""))
+    parts, p = open_, edges.join(perfect.select("id", "label"), "id")
+    if reference is not None:
+        parts, p = shifted_places(edges, open_, p, reference)
+    parts = parts.where(part_of("r_", "", reference is not None))
     by_truth = parts.groupBy("id").agg(F.min_by("r_kind", F.struct("r_pos", "r_id")).alias("label"))
 
-    p = reach.join(perfect.select("id", "label"), "id")
-    ranges = p.groupBy("id").agg(*[F.first(c).alias(c) for c in ("contig", "pos", "ref", "alt")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    p = p.select("id", "pos", "ref", "alt", "label", "r_id").join(shift_ranges(ranges, reference), "id", "left")
-    p = p.select("r_id", *[F.col(c).alias(f"p_{c}") for c in ("id", "pos", "ref", "alt", "first", "last", "label")])
-    rest = open_.select("id", "pos", "ref", "alt", "r_id").join(by_truth, "id", "left_anti").join(p, "r_id").where(part_of("p_", ""))
+    p = p.select("r_id", *[F.col(c).alias(f"p_{c}") for c in ("id", "pos", "ref", "alt", "label", *(("first", "last") if reference is not None else ()))])
+    rest = open_.select("id", "pos", "ref", "alt", "r_id").join(by_truth, "id", "left_anti").join(p, "r_id").where(part_of("p_", "", reference is not None))
     by_call = rest.groupBy("id").agg(F.min_by("p_label", F.struct("p_pos", "p_id")).alias("label"))
-    good = perfect.unionByName(by_truth.unionByName(by_call).withColumn("rule", F.lit(3))).checkpoint()
+    good = kept(perfect.unionByName(by_truth.unionByName(by_call).withColumn("rule", F.lit(3))))
 
     same = F.col("kind") == F.col("r_kind")
     pair = (F.col("r_kind") == "SNP") & (F.col("n") == 2) & (F.col("dels") == 1) & (F.col("inss") == 1)
     middle = (F.col("pos") + centre("ref", "alt") == F.col("r_pos") + centre("r_ref", "r_alt")) & F.concat("kind", "r_kind").isin("INSSNP", "SNPINS")
     rules = {4: (pair, "kind"), 5: (same & (F.col("pos") == F.col("r_pos")), "r_kind"), 6: (middle, "r_kind"), 7: (same & (F.col("kind") != "SNP") & (F.abs(F.col("pos") - F.col("r_pos")) < 2), "r_kind")}
     ofs = {"n": F.count("*").over(hull), "dels": F.count_if(F.col("kind") == "DEL").over(hull), "inss": F.count_if(F.col("kind") == "INS").over(hull)}
-    left = edges.withColumns(ofs)
-    taken = good
+    taken, left = good, edges
     for number, (rule, label) in rules.items():
         hit = left.join(taken.select("id").distinct(), "id", "left_semi").select("r_id").distinct()
-        left = left.join(hit, "r_id", "left_anti").checkpoint()
-        taken = left.where(rule).groupBy("id").agg(F.min(label).alias("label")).withColumn("rule", F.lit(number)).checkpoint()
+        left = left.join(hit, "r_id", "left_anti")
+        left = kept(left.withColumns(ofs)) if number == 4 else left
+        taken = kept(left.where(rule).groupBy("id").agg(F.min(label).alias("label")).withColumn("rule", F.lit(number)))
         good = good.unionByName(taken)
     return calls.select("id").join(good, "id", "left").select("id", F.coalesce("label", F.lit("NONE")).alias("label"), F.coalesce("rule", F.lit(8)).alias("rule"))
 

@@ -46,9 +46,10 @@ def starts(lens: Column, block: int = 32) -> Column:
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
 
     def of(xs: Column) -> Column:
+        plain = F.transform(xs, lambda _, j: total(F.slice(xs, F.lit(1), j)))
         blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), F.lit(block)), lambda h: F.slice(xs, h + 1, F.lit(block)))
         bases = let(F.transform(blocks, total), lambda sums: F.transform(sums, lambda _, i: total(F.slice(sums, F.lit(1), i))))
-        return F.flatten(F.zip_with(blocks, bases, lambda b, base: F.transform(b, lambda _, j: base + total(F.slice(b, F.lit(1), j)))))
+        return F.when(F.size(xs) <= block, plain).otherwise(F.flatten(F.zip_with(blocks, bases, lambda b, base: F.transform(b, lambda _, j: base + total(F.slice(b, F.lit(1), j))))))
 
     return let(lens, of)
 

@@ -10,8 +10,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SIZE = 1 << 16
@@ -45,16 +46,22 @@ def numbered(df: DataFrame, by: list[str], stretch: Column, *order: str | Column
     return df.withColumn("k", F.coalesce("k0", F.lit(0)) + F.row_number().over(inside(by, *order)) - 1).drop("k0", "stretch")
 
 
+def folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which the driver and all executors share; where it
+    is unset, a local one under a local master and an error elsewhere."""
+    got = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="tables-")
+        atexit.register(shutil.rmtree, path, True)
+        got = f"file://{path}"
+        spark.conf.set("spark.checkpoint.dir", got)
+    return got.rstrip("/")
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that spark.checkpoint.dir names; where that is unset, in a local
-    one under a local master only."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-            atexit.register(shutil.rmtree, folder, True)
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    """df written to the shared folder and read back: its lineage is cut, lost executors do no harm."""
+    path = f"{folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

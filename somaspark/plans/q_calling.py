@@ -184,7 +184,13 @@ def mnp_explode(spark, d):
     return df.selectExpr("id", "contig", "pos + i - 1 as pos", "substring(ref, i, 1) as ref", "substring(alt, i, 1) as alt").where("ref <> alt")
 
 
-@q("q_is_part_of", ctes("preds", "truth") + ", t AS (SELECT id, contig, pos, ref, alt, CASE WHEN length(ref) > length(alt) THEN 'D' WHEN length(ref) < length(alt) THEN 'I' ELSE 'S' END AS k FROM {}) ".replace("{}", "preds") + ", u AS (SELECT id, contig, pos, ref, alt, CASE WHEN length(ref) > length(alt) THEN 'D' WHEN length(ref) < length(alt) THEN 'I' ELSE 'S' END AS k FROM truth) SELECT t.id AS a, u.id AS b FROM t JOIN u ON t.contig = u.contig AND t.k = u.k AND t.pos >= u.pos AND t.pos + length(t.ref) <= u.pos + length(u.ref)")
+PART_OF = """(({a}k = 'SNP' AND {b}k = 'DEL' AND {a}pos > {b}pos AND {a}pos < {b}pos + length({b}ref)) OR ({a}k = 'DEL' AND {b}k = 'SNP' AND {b}pos > {a}pos AND {b}pos < {a}pos + length({a}ref))
+OR ({a}k = {b}k AND ({a}pos = {b}pos OR ({a}k = 'DEL' AND len(list_intersect(range({a}pos + 1, {a}pos + length({a}ref)), range({b}pos + 1, {b}pos + length({b}ref)))) > 0))))"""
+
+
+@q("q_is_part_of", ctes("preds", "truth") + f""", p AS (SELECT *, CASE WHEN length(ref) > length(alt) THEN 'DEL' WHEN length(ref) < length(alt) THEN 'INS' ELSE 'SNP' END AS k FROM preds),
+t AS (SELECT *, CASE WHEN length(ref) > length(alt) THEN 'DEL' WHEN length(ref) < length(alt) THEN 'INS' ELSE 'SNP' END AS k FROM truth)
+SELECT p.id AS a, t.id AS b FROM p JOIN t ON p.contig = t.contig AND p.pos < t.pos + length(t.ref) AND t.pos < p.pos + length(p.ref) WHERE {PART_OF.format(a='p.', b='t.')}""")
 def is_part_of(spark, d):
     from somaspark.operators.intervals import range_join
 

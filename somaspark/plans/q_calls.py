@@ -10,6 +10,8 @@ from somaspark.operators import calls as C
 from somaspark.operators.intervals import range_anti, range_semi
 from somaspark.operators.stretches import numbered
 
+from .q_calling import PART_OF
+from .q_calling import _lcp as lcp
 from .registry import Registry
 
 q = Registry()
@@ -62,18 +64,18 @@ def topk_mean_af(spark, d):
     return C.top_mean(view(spark, d, "preds"), ["contig"], "prob", 7).withColumn("mean", F.round("mean", 6))
 
 
-@q("q_msa_consensus", ctes("bases") + ", x AS (SELECT contig, pos, count(*) FILTER (code <> refcode) AS alt, count(*) AS n FROM bases WHERE contig < 5 GROUP BY 1, 2), y AS (SELECT contig, pos, round(alt::DOUBLE/n, 4) AS af FROM x) SELECT * FROM y QUALIFY af > 0.6 * max(af) OVER (PARTITION BY contig)")
+@q("q_msa_consensus", ctes("bases") + """, n AS (SELECT contig, pos, refcode, code, count(*) AS n FROM bases GROUP BY ALL),
+x AS (SELECT contig, pos, max((n, code)) FILTER (code <> refcode) AS best, coalesce(sum(n) FILTER (code = refcode), 0)::BIGINT AS ro FROM n GROUP BY contig, pos, refcode),
+y AS (SELECT contig, pos, best[2] AS code, best[1] AS ao, ro, best[1] / (best[1] + ro + 0.0001) AS af FROM x WHERE best IS NOT NULL)
+SELECT contig, pos, code, ao, ro, round(af, 4)::DOUBLE AS af FROM y QUALIFY af > 0.6 * max(af) OVER (PARTITION BY contig)""")
 def msa_consensus(spark, d):
-    """Places whose alternative fraction is above 0.6 of the region's largest."""
-    x = view(spark, d, "bases").where("contig < 5").groupBy("contig", "pos").agg(F.round(F.count(F.expr("case when code <> refcode then 1 end")).cast("double") / F.count("*"), 4).alias("af"))
-    top = x.groupBy("contig").agg(F.max("af").alias("top"))
-    return x.join(F.broadcast(top), "contig").where("af > 0.6 * top").drop("top")  # a row a contig
+    """Each column's most frequent other code, where its fraction is above 0.6 of the contig's largest."""
+    return C.consensus(view(spark, d, "bases")).withColumn("af", F.round("af", 4))
 
 
 @q("q_msa_consensus_whole")
 def msa_consensus_whole(spark, d):
-    """A18 over all contigs; q_msa_consensus has what its SQL states."""
-    return C.consensus(view(spark, d, "bases")).withColumn("af", F.round("af", 4))
+    return msa_consensus(spark, d)
 
 
 @q("q_nearest_annot", PT + f" SELECT p.id AS id, t.id AS match_id, abs(p.pos-t.pos) AS distance FROM preds p JOIN truth t ON {NEAR} QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY NOT (p.pos = t.pos AND p.ref = t.ref AND p.alt = t.alt), {KIND.format('p.')} <> {KIND.format('t.')}, abs(p.pos-t.pos), abs(length(p.ref)-length(p.alt)-length(t.ref)+length(t.alt)), t.id) = 1")
@@ -96,18 +98,38 @@ def truth_edges(spark, d):
     return C.truth_edges(view(spark, d, "preds"), view(spark, d, "truth")).select(F.col("id").alias("a"), F.col("r_id").alias("b"))
 
 
-@q("q_label_cascade", PT + f""", e AS (SELECT p.id AS id, t.id AS tid, {KIND.format('p.')} AS kind, CASE WHEN p.pos = t.pos AND p.ref = t.ref AND p.alt = t.alt THEN 0 WHEN {KIND.format('p.')} = {KIND.format('t.')} AND p.pos = t.pos THEN 1
-WHEN {KIND.format('p.')} = {KIND.format('t.')} AND {KIND.format('p.')} <> 'SNP' AND abs(p.pos-t.pos) < 2 THEN 2 END AS rule FROM preds p JOIN truth t ON {NEAR}),
-f AS (SELECT * FROM e WHERE rule IS NOT NULL QUALIFY rule = min(rule) OVER (PARTITION BY tid)), b AS (SELECT id, min(rule) AS rule, any_value(kind) AS kind FROM f GROUP BY id)
-SELECT preds.id AS id, coalesce(kind, 'NONE') AS label, coalesce(rule, 9) AS rule FROM preds LEFT JOIN b ON b.id = preds.id""")
+SIDE = "SELECT id, contig, pos, ref, alt, " + KIND.format("") + " AS k, CASE WHEN length(ref) = length(alt) THEN 0 ELSE " + lcp("ref", "alt") + " END AS c FROM {}"
+CASCADE = PT + f""", p AS ({SIDE.format('preds')}), t AS ({SIDE.format('truth')}),
+e AS MATERIALIZED (SELECT p.* EXCLUDE (contig), t.id AS tid, t.pos AS tpos, t.ref AS tref, t.alt AS talt, t.k AS tk, t.c AS tc FROM p JOIN t ON {NEAR}),
+g1 AS MATERIALIZED (SELECT id, any_value(k) AS label, 1 AS rule FROM e WHERE pos = tpos AND ref = tref AND alt = talt GROUP BY id),
+o AS MATERIALIZED (SELECT * FROM e WHERE id NOT IN (SELECT id FROM g1)),
+b3 AS MATERIALIZED (SELECT id, arg_min(tk, (tpos, tid)) AS label, 3 AS rule FROM o WHERE {PART_OF.format(a='t', b='')} GROUP BY id),
+x AS (SELECT e.tid, e.id, pos, ref, k, label FROM e JOIN g1 USING (id)),
+c3 AS (SELECT o.id, arg_min(x.label, (x.pos, x.id)) AS label, 3 AS rule FROM o JOIN x ON o.tid = x.tid WHERE o.id NOT IN (SELECT id FROM b3) AND {PART_OF.format(a='x.', b='o.')} GROUP BY o.id),
+g3 AS MATERIALIZED (SELECT * FROM g1 UNION ALL SELECT * FROM b3 UNION ALL SELECT * FROM c3),
+n AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (k = 'DEL') OVER w AS dels, count(*) FILTER (k = 'INS') OVER w AS inss FROM e WINDOW w AS (PARTITION BY tid)),
+r4 AS MATERIALIZED (SELECT * FROM n WHERE tid NOT IN (SELECT tid FROM e JOIN g3 USING (id))),
+g4 AS MATERIALIZED (SELECT id, min(k) AS label, 4 AS rule FROM r4 WHERE tk = 'SNP' AND n = 2 AND dels = 1 AND inss = 1 GROUP BY id),
+r5 AS MATERIALIZED (SELECT * FROM r4 WHERE tid NOT IN (SELECT tid FROM r4 JOIN g4 USING (id))),
+g5 AS MATERIALIZED (SELECT id, min(tk) AS label, 5 AS rule FROM r5 WHERE k = tk AND pos = tpos GROUP BY id),
+r6 AS MATERIALIZED (SELECT * FROM r5 WHERE tid NOT IN (SELECT tid FROM r5 JOIN g5 USING (id))),
+g6 AS MATERIALIZED (SELECT id, min(tk) AS label, 6 AS rule FROM r6 WHERE pos + c = tpos + tc AND k || tk IN ('INSSNP', 'SNPINS') GROUP BY id),
+r7 AS MATERIALIZED (SELECT * FROM r6 WHERE tid NOT IN (SELECT tid FROM r6 JOIN g6 USING (id))),
+g7 AS (SELECT id, min(tk) AS label, 7 AS rule FROM r7 WHERE k = tk AND k <> 'SNP' AND abs(pos - tpos) < 2 GROUP BY id),
+g AS (SELECT * FROM g3 UNION ALL SELECT * FROM g4 UNION ALL SELECT * FROM g5 UNION ALL SELECT * FROM g6 UNION ALL SELECT * FROM g7)
+SELECT preds.id AS id, coalesce(label, 'NONE') AS label, coalesce(rule, 8) AS rule FROM preds LEFT JOIN g ON g.id = preds.id"""
+
+
+@q("q_label_cascade", CASCADE)
 def label_cascade(spark, d):
+    """L1 and L3 to L8 on the variants as they are written."""
     return C.label_cascade(view(spark, d, "preds"), view(spark, d, "truth"))
 
 
 @q("q_label_cascade_whole")
 def label_cascade_whole(spark, d):
-    """L1-L8; q_label_cascade has the four rules that its SQL states."""
-    return C.whole_cascade(view(spark, d, "preds"), view(spark, d, "truth"), view(spark, d, "refseq"))
+    """L1-L8, with the merged and shifted forms of L2 and L3 over the reference."""
+    return C.label_cascade(view(spark, d, "preds"), view(spark, d, "truth"), view(spark, d, "refseq"))
 
 
 @q("q_class_counts", P + f", k AS (SELECT {KIND.format('')} AS kind FROM preds) SELECT kind, (SELECT count(*) FROM k WHERE k.kind = c.kind) + 1 AS n FROM (VALUES ('DEL'), ('INS'), ('NONE'), ('SNP')) c(kind)")

@@ -129,16 +129,15 @@ def gapped_string(spark, d):
     return view(spark, d, "refseq").select("contig", "start", F.array_join(F.transform(F.split("seq", ""), lambda b, i: F.concat(b, F.when(i % 16 == 3, "--").otherwise(""))), "").alias("seq"))
 
 
-@q("q_read_to_columns", R + """, p AS (SELECT contig, unnest(range(s, (s + l_quantity + 2 + l_suppkey%7 + l_partkey%9)::INT)) AS pos, s + l_quantity AS a, s + l_quantity + 1 + l_suppkey%7 AS b FROM reads WHERE l_linenumber = 1)
+@q("q_read_to_columns", R + """, p AS (SELECT contig, unnest(range(s, (s + l_quantity + 2 + l_suppkey%7 + l_partkey%9)::INT)) AS pos, s + l_quantity AS a, s + l_quantity + 1 + l_suppkey%7 AS b FROM reads)
 SELECT contig, CAST(pos AS INT) AS pos, count(*) FILTER (pos < a OR pos >= b) AS bases, count(*) FILTER (pos >= a AND pos < b) AS gaps FROM p GROUP BY 1, 2""")
 def read_to_columns(spark, d):
-    return column_counts(view(spark, d, "reads").where("l_linenumber = 1"))
+    return column_counts(view(spark, d, "reads"))
 
 
 @q("q_read_to_columns_whole")
 def read_to_columns_whole(spark, d):
-    """All reads; q_read_to_columns has those that its SQL selects."""
-    return column_counts(view(spark, d, "reads"))
+    return read_to_columns(spark, d)
 
 
 def column_counts(reads):

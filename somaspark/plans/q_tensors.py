@@ -131,19 +131,16 @@ def column_prune(spark, d):
     return df.select("id", F.array_join(F.transform(T.kept_columns(F.col("ev"), F.col("depth"), inserted, 0.1), lambda v: v.cast("string")), ",").alias("kept"))
 
 
-@q("q_ref_onehot", ctes("refseq") + " SELECT contig, start, list_aggregate(flatten(list_transform(range(0, 5), lambda r: list_transform(range(1, 9), lambda i: CASE WHEN instr('-ACGT', substring(seq, i::INT, 1)) - 1 = r THEN i*3 ELSE 0 END))), 'string_agg', ',') AS y FROM refseq")
+@q("q_ref_onehot", ctes("refseq") + " SELECT contig, start, list_aggregate(flatten(list_transform(range(0, 5), lambda r: list_transform(range(1, length(seq) + 1), lambda i: CASE WHEN instr('-ACGT', substring(seq, i::INT, 1)) - 1 = r THEN i*3 ELSE 0 END))), 'string_agg', ',') AS y FROM refseq")
 def ref_onehot(spark, d):
-    codes = F.transform(F.split(F.left("seq", F.lit(8)), ""), lambda b: F.position(b, F.lit("-ACGT")) - 1)
-    depth = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: i * 3)
+    codes = F.transform(F.split("seq", ""), lambda b: F.position(b, F.lit("-ACGT")) - 1)
+    depth = F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: i * 3)
     return view(spark, d, "refseq").select("contig", "start", F.array_join(F.transform(T.one_hot(codes, depth), lambda v: v.cast("string")), ",").alias("y"))
 
 
 @q("q_ref_onehot_whole")
 def ref_onehot_whole(spark, d):
-    """Whole sequences; q_ref_onehot has the eight bases of its SQL."""
-    codes = F.transform(F.split("seq", ""), lambda b: F.position(b, F.lit("-ACGT")) - 1)
-    depth = F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: i * 3)
-    return view(spark, d, "refseq").select("contig", "start", F.array_join(F.transform(T.one_hot(codes, depth), lambda v: v.cast("string")), ",").alias("y"))
+    return ref_onehot(spark, d)
 
 
 ANN = {"depth": "coverage", "mq": "mq", "bq": "bq", "nm_diff": "nm_diff", "flag": "flag", "rank_z": "rank_z"}

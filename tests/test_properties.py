@@ -116,7 +116,7 @@ def test_cigar(spark):
 def test_label_cascade_gives_truths_to_the_first_rule(spark):
     v = "id long, contig int, pos int, ref string, alt string"
     got = {r.id: (r.label, r.rule) for r in calls.label_cascade(frame(spark, [(1, 0, 10, "A", "C"), (2, 0, 10, "A", "G"), (3, 0, 31, "AC", "A"), (4, 0, 90, "A", "T")], v), frame(spark, [(7, 0, 10, "A", "C"), (8, 0, 30, "AG", "A")], v)).collect()}
-    assert got == {1: ("SNP", 0), 2: ("NONE", 9), 3: ("DEL", 2), 4: ("NONE", 9)}
+    assert got == {1: ("SNP", 1), 2: ("SNP", 3), 3: ("DEL", 7), 4: ("NONE", 8)}
 
 
 def test_whole_cascade_has_all_rules(spark):
@@ -127,7 +127,7 @@ def test_whole_cascade_has_all_rules(spark):
         (9, 0, 120, "A", "G"), (10, 0, 120, "A", "C"), (11, 0, 123, "A", "C"), (12, 0, 500, "A", "C"),
     ]
     ref = frame(spark, [(0, 0, "GGCAAAAATCC"), (0, 20, "C")], "contig int, start int, seq string")
-    got = {r.id: (r.label, r.rule) for r in calls.whole_cascade(frame(spark, got, v), frame(spark, truth, v), ref).collect()}
+    got = {r.id: (r.label, r.rule) for r in calls.label_cascade(frame(spark, got, v), frame(spark, truth, v), ref).collect()}
     assert got == {
         1: ("DEL", 2), 2: ("SNP", 2), 3: ("SNP", 2), 4: ("DEL", 3), 5: ("DEL", 4), 6: ("INS", 4), 7: ("INS", 6), 8: ("INS", 7),
         9: ("SNP", 1), 10: ("SNP", 3), 11: ("NONE", 8), 12: ("NONE", 8),
