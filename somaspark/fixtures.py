@@ -50,6 +50,13 @@ cast(o_orderkey*13%50000+1+o_orderkey%90 as int) as e from {orders} where o_orde
     # raw candidates with evidence counts
     "raw": """select id, contig, pos, ref, alt, cast(5+id%90 as int) as dp, cast(id%60 as int) as ro, cast(id%35 as int) as ao,
 cast(id%41 as int) as bq from {preds}""",
+    # raw records of one base or N a side: deletions, insertions and SNPs
+    "sites": """select k as id, contig, pos, case when k%4=2 then 'N' else substring('ACGT',cast(1+pos%4 as int),1) end as ref,
+case when k%4<2 then 'N' when k%4=2 then substring('ACGT',cast(1+k%3 as int),1) else substring('CGTA',cast(1+pos%4 as int),1) end as alt,
+cast(3+k%90 as int) as dp, cast(1+k%60 as int) as ro, cast(k%31 as int) as ao, cast(k%71 as int) as mq, cast(k%41 as int) as bq,
+cast(k%13 as int) as st1, cast(k%17 as int) as st2, cast(k%5 as int) as ls, cast(k%7 as int) as rs, cast(k%11 as int) as nm,
+cast(k%97 as int) as as_, cast(k%23 as int) as xs, cast(k%19 as int) as pr, cast(k%3 as int) as cl
+from (select o_orderkey as k, cast(o_orderkey%22 as int) as contig, cast(1+o_orderkey*7%3000 as int) as pos from {orders}) t""",
     "refseq": """select cast(k%22 as int) as contig, cast(64*floor(k/22) as int) as start,
 concat(substring('ACGTTGCAACGTGGCCTTAAACGTACGATCGATTACAGGATCCATGCATGCAACGTTTTACGGAC',cast(1+k%7 as int),57),'ACGTACG') as seq
 from (select distinct l_suppkey*22+l_suppkey%22 as k from {lineitem}) t""",

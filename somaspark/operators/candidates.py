@@ -1,10 +1,15 @@
-"""Candidate filters and merges: P6-P9, P14, P16, P22, W1, W7, A7, J6, F13."""
+"""Candidate filters and merges: P6-P9, P14, P16, P22, W1, W7, A7, J6, F13.
+
+Raw records have one base or N on either side: N as REF is an insertion, N as ALT a deletion.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stretches import carried, inside
+
 
 def fraction() -> Column:
     """ao / (ro + ao), null without reads."""
@@ -53,6 +58,62 @@ def deletion_runs(df: DataFrame, min_af: float = 0.0, good_ao: int = 10, most: i
     return parts.groupBy("contig", "island").agg(F.min("s").alias("pos"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "bases"))), lambda x: x["bases"]), "").alias("ref"), F.max("ao").alias("ao"), F.max("ro").alias("ro")).drop("island")
 
 
+#: What a merged record takes the largest value of (depth, counts, mapping and base quality, strands, clips, tags).
+ATTRIBUTES = ("dp", "ro", "ao", "mq", "bq", "st1", "st2", "ls", "rs", "nm", "as_", "xs", "pr", "cl")
+
+
+def _merged(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """One record a group: the largest attributes, the first place, the texts joined in order (pos, id)."""
+    parts = F.array_sort(F.collect_list(F.struct("pos", "id", F.col(text).alias("t"))))
+    return rows.groupBy(*keys).agg(F.min("pos").alias("at"), F.array_join(F.transform(parts, lambda x: x["t"]), "").alias(text), *[F.max(c).alias(c) for c in ATTRIBUTES])
+
+
+def merged_insertions(df: DataFrame, min_af: float = 0.05, merge_min_af: float = 0.0, good_ao: int = 10, merge_r: float = 0.5) -> DataFrame:
+    """The insertions of one place become one: those under merge_r of the largest fraction go,
+    the others' bases are joined in order of id. A merged record needs a largest fraction of
+    merge_min_af or good_ao reads; a lone one min_af or good_ao reads, and a depth above 5.
+
+    Rows: id, contig, pos, ref, alt and ATTRIBUTES; so are the results, without id."""
+    af = F.coalesce(fraction(), F.lit(0.0))
+    place = Window.partitionBy("contig", "pos")
+    rows = df.where("ref = 'N'").withColumns({"af": af, "top": F.max(af).over(place), "n": F.count("*").over(place)})
+    lone = rows.where("n = 1").where(((F.col("af") >= min_af) | (F.col("ao") >= good_ao)) & (F.col("dp") > 5))
+    many = _merged(rows.where((F.col("n") > 1) & (F.col("af") >= F.col("top") * merge_r)), ["contig", "pos", "top"], "alt")
+    many = many.where((F.col("top") >= merge_min_af) | (F.col("ao") >= good_ao)).withColumn("ref", F.lit("N"))
+    cols = ["contig", "pos", "ref", "alt", *ATTRIBUTES]
+    return lone.select(*cols).unionByName(many.select(*cols))
+
+
+def merged_deletions(df: DataFrame, ins: DataFrame, min_af: float = 0.05, merge_min_af: float = 0.0, good_ao: int = 10, merge_r: float = 0.5, min_dp: int = 5, max_dp: int = 100000) -> DataFrame:
+    """Deleted bases at neighbouring places become one deletion.
+
+    Bases within the depth bounds and of merge_min_af or good_ao reads take part. A run ends before a
+    place without a deletion and before a place with an SNP record or an insertion of ins. Of longer
+    runs the bases under merge_r of the largest fraction go; a lone base needs min_af or, where what
+    ends its run is an SNP, an insertion or the contig's end, good_ao reads. Rows as for insertions."""
+    af = F.coalesce(fraction(), F.lit(0.0))
+    deep = (F.col("dp") > min_dp) & (F.col("dp") < max_dp)
+    dels = df.where((F.col("ref") != "N") & (F.col("alt") == "N") & deep).withColumn("af", af).where((F.col("af") >= merge_min_af) | (F.col("ao") >= good_ao))
+    stops = df.where("ref <> 'N' and alt <> 'N'").select("contig", "pos").union(ins.select("contig", "pos")).distinct()
+    before = dels.select("contig", (F.col("pos") + 1).alias("pos"), F.lit(True).alias("follows")).distinct()
+    rows = dels.join(stops.withColumn("stop", F.lit(True)), ["contig", "pos"], "left").join(before, ["contig", "pos"], "left")
+    rows = rows.withColumn("start", F.when(F.col("stop").isNotNull() | F.col("follows").isNull(), F.col("pos"))).drop("follows", "stop")
+    events = rows.withColumn("at_stop", F.lit(None).cast("int")).unionByName(stops.withColumn("at_stop", F.col("pos")), allowMissingColumns=True)
+    events = events.withColumn("at_del", F.when(F.col("id").isNotNull(), F.col("pos")))
+    events = carried(events, ["contig"], F.shiftright("pos", 16), before={"start0": (F.max, "start")}, after={"stop1": (F.min, "at_stop"), "del1": (F.min, "at_del")})
+    w = inside(["contig"], "pos")
+    ahead = w.rangeBetween(1, Window.unboundedFollowing)
+    run = F.coalesce(F.max("start").over(w.rangeBetween(Window.unboundedPreceding, 0)), F.col("start0"))
+    next_stop, next_del = (F.coalesce(F.min(c).over(ahead), F.col(later)) for c, later in (("at_stop", "stop1"), ("at_del", "del1")))
+    events = events.withColumns({"run": run, "stopped": next_del.isNull() | F.coalesce(next_stop <= next_del, F.lit(False))}).where("id is not null")
+    whole = Window.partitionBy("contig", "run")
+    rows = events.withColumns({"top": F.max("af").over(whole), "n": F.count("*").over(whole)})
+    lone = rows.where("n = 1").where((F.col("af") >= min_af) | (F.col("stopped") & (F.col("ao") >= good_ao)))
+    many = _merged(rows.where((F.col("n") > 1) & (F.col("af") >= F.col("top") * merge_r)), ["contig", "run"], "ref").withColumnRenamed("at", "pos").withColumn("alt", F.lit("N"))
+    cols = ["contig", "pos", "ref", "alt", *ATTRIBUTES]
+    return lone.select(*cols).unionByName(many.select(*cols))
+
+
 def without_known(df: DataFrame, known: DataFrame, strict: bool = False) -> DataFrame:
     """Drops known variants. A record stays if nothing is known at its place or something else
     is known there too; ``strict`` drops every exact match."""

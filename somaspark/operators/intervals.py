@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .stretches import carried, inside, up_to
 
 BIN = 64
-STRETCH_BITS = 16
+STRETCH = 1 << 16  # a power of two
 
 
 def normalised(df: DataFrame, begin: str = "s", end: str = "e") -> DataFrame:
@@ -100,9 +100,9 @@ def clip(left: DataFrame, right: DataFrame) -> DataFrame:
     return range_join(left, right).withColumns({"cs": F.greatest("s", "r_s"), "ce": F.least("e", "r_e")})
 
 
-def islands(df: DataFrame, gap: int = 0, by: tuple[str, ...] = ("contig",), bits: int = STRETCH_BITS) -> DataFrame:
+def islands(df: DataFrame, gap: int = 0, by: tuple[str, ...] = ("contig",), size: int = STRETCH) -> DataFrame:
     """df with ``island``, numbered within ``by``: rows whose distance to all before exceeds gap begin one."""
-    keys, stretch = list(by), F.shiftright("s", bits)
+    keys, stretch = list(by), F.shiftright("s", size.bit_length() - 1)
     df = carried(df, keys, stretch, before={"_reach": (F.max, "e")})
     w = up_to(inside(keys, "s", "e"), -1)
     reach = F.greatest(F.max("e").over(w), F.col("_reach"))
@@ -112,19 +112,19 @@ def islands(df: DataFrame, gap: int = 0, by: tuple[str, ...] = ("contig",), bits
     return df.withColumn("island", number).drop("_new", "_n", "stretch")
 
 
-def merge(df: DataFrame, gap: int = 0, by: tuple[str, ...] = ("contig",)) -> DataFrame:
+def merge(df: DataFrame, gap: int = 0, by: tuple[str, ...] = ("contig",), size: int = STRETCH) -> DataFrame:
     """Union of the intervals; book-ended ones and those within gap merge. n: their number.
 
     Exact copies are counted first."""
     df = df.groupBy(*by, "s", "e").agg(F.count("*").alias("n"))
-    return islands(df, gap, by).groupBy(*by, "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum("n").alias("n")).drop("island")
+    return islands(df, gap, by, size).groupBy(*by, "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum("n").alias("n")).drop("island")
 
 
-def coverage(df: DataFrame, bits: int = STRETCH_BITS) -> DataFrame:
+def coverage(df: DataFrame, size: int = STRETCH) -> DataFrame:
     """Depth of every covered piece between two break points, by a sweep over starts and ends."""
     steps = df.select("contig", F.col("s").alias("p"), F.lit(1).alias("d")).union(df.select("contig", "e", F.lit(-1)))
     steps = steps.groupBy("contig", "p").agg(F.sum("d").alias("d"))
-    steps = carried(steps, ["contig"], F.shiftright("p", bits), before={"base": (F.sum, "d")}, after={"next": (F.min, "p")})
+    steps = carried(steps, ["contig"], F.shiftright("p", size.bit_length() - 1), before={"base": (F.sum, "d")}, after={"next": (F.min, "p")})
     w = inside(["contig"], "p")
     sweep = steps.withColumn("depth", F.coalesce("base", F.lit(0)) + F.sum("d").over(up_to(w))).withColumn("to", F.coalesce(F.lead("p").over(w), "next"))
     return sweep.where("depth > 0").select("contig", F.col("p").alias("s"), F.col("to").alias("e"), "depth")

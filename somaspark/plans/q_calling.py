@@ -109,6 +109,37 @@ def del_merge(spark, d):
     return C.deletion_runs(x.where("ao > 0"))
 
 
+ATTR = ", ".join(f"max({c}) AS {c}" for c in C.ATTRIBUTES)
+COLS = ", ".join(C.ATTRIBUTES)
+SITES = ctes("sites") + f""", sx AS (SELECT *, coalesce(ao::DOUBLE / nullif(ro + ao, 0), 0) AS af FROM (SELECT * FROM sites WHERE ref = 'N' UNION ALL (SELECT * FROM sites WHERE ref <> 'N' QUALIFY row_number() OVER (PARTITION BY contig, pos, ref, alt ORDER BY ao / (ro + 1e-4) DESC, id) = 1))),
+iw AS (SELECT *, max(af) OVER (PARTITION BY contig, pos) AS top, count(*) OVER (PARTITION BY contig, pos) AS n FROM sx WHERE ref = 'N'),
+im AS (SELECT contig, pos, string_agg(alt, '' ORDER BY id) AS alt, {ATTR}, top FROM iw WHERE n > 1 AND af >= top * 0.5 GROUP BY contig, pos, top),
+ins AS (SELECT contig, pos, ref, alt, {COLS} FROM iw WHERE n = 1 AND (af >= 0.05 OR ao >= 10) AND dp > 5
+ UNION ALL SELECT contig, pos, 'N', alt, {COLS} FROM im WHERE top >= 0.2 OR ao >= 10)"""
+
+
+def sites(spark, d):
+    df = view(spark, d, "sites")
+    return df.where("ref = 'N'").unionByName(C.best_of_locus(df.where("ref <> 'N'")))
+
+
+@q("q_ins_merge", SITES + " SELECT * FROM ins")
+def ins_merge(spark, d):
+    return C.merged_insertions(sites(spark, d), merge_min_af=0.2)
+
+
+@q("q_indel_runs", SITES + f""", stops AS (SELECT contig, pos FROM sx WHERE ref <> 'N' AND alt <> 'N' UNION SELECT contig, pos FROM ins),
+d AS (SELECT *, lag(pos) OVER (PARTITION BY contig ORDER BY pos) AS prev, lead(pos) OVER (PARTITION BY contig ORDER BY pos) AS nd FROM sx WHERE ref <> 'N' AND alt = 'N' AND dp > 5 AND dp < 100000 AND (af >= 0.02 OR ao >= 10)),
+e AS (SELECT d.*, (SELECT min(s.pos) FROM stops s WHERE s.contig = d.contig AND s.pos > d.pos) AS nb, CASE WHEN prev = pos - 1 AND NOT EXISTS (SELECT 1 FROM stops s WHERE s.contig = d.contig AND s.pos = d.pos) THEN 0 ELSE 1 END AS new FROM d),
+r AS (SELECT *, sum(new) OVER (PARTITION BY contig ORDER BY pos) AS run FROM e),
+w AS (SELECT *, max(af) OVER (PARTITION BY contig, run) AS top, count(*) OVER (PARTITION BY contig, run) AS n FROM r)
+SELECT contig, pos, ref, alt, {COLS} FROM w WHERE n = 1 AND (af >= 0.1 OR ((nd IS NULL OR nb <= nd) AND ao >= 10))
+UNION ALL SELECT contig, min(pos), string_agg(ref, '' ORDER BY pos), 'N', {ATTR} FROM w WHERE n > 1 AND af >= top * 0.5 GROUP BY contig, run""")
+def indel_runs(spark, d):
+    df = sites(spark, d)
+    return C.merged_deletions(df, C.merged_insertions(df, merge_min_af=0.2), min_af=0.1, merge_min_af=0.02)
+
+
 @q("q_known_site_filter", ctes("preds", "known") + " SELECT id, contig, pos, ref, alt FROM preds p WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.contig = p.contig AND k.pos = p.pos) OR EXISTS (SELECT 1 FROM known k WHERE k.contig = p.contig AND k.pos = p.pos AND (k.ref <> p.ref OR k.alt <> p.alt))")
 def known_site_filter(spark, d):
     return C.without_known(view(spark, d, "preds"), view(spark, d, "known")).select("id", "contig", "pos", "ref", "alt")

@@ -216,3 +216,53 @@ def test_sequences_are_taken_whole(spark):
     for r in catalog.queries()["q_ref_onehot_whole"](spark, DATA).collect():
         seq = seqs[r.contig, r.start]
         assert r.y == ",".join(str(3 * (i + 1) if b == x else 0) for x in "-ACGT" for i, b in enumerate(seq))
+
+
+def sites(spark, rows):
+    """(pos, ref, alt, dp, ro, ao) to raw records of one contig."""
+    from somaspark.operators.candidates import ATTRIBUTES
+
+    rest = [c for c in ATTRIBUTES if c not in ("dp", "ro", "ao")]
+    full = [(i, 0, p, r, a, dp, ro, ao, *([i] * len(rest))) for i, (p, r, a, dp, ro, ao) in enumerate(rows)]
+    return frame(spark, full, "id long, contig int, pos int, ref string, alt string, " + ", ".join(f"{c} int" for c in ("dp", "ro", "ao", *rest)))
+
+
+def test_indel_merging_corners(spark):
+    from somaspark.operators import candidates as C
+
+    ins = [(10, "N", "A", 50, 10, 10), (10, "N", "C", 60, 20, 4), (10, "N", "G", 40, 10, 9), (20, "N", "T", 5, 1, 9), (21, "N", "T", 6, 1, 9)]
+    got = {(r.pos, r.alt, r.dp, r.ro, r.ao, r.mq) for r in C.merged_insertions(sites(spark, ins)).collect()}
+    assert got == {(10, "AG", 50, 10, 10, 2), (21, "T", 6, 1, 9, 4)}  # C is under half of the largest fraction; 20 is too shallow
+    dels = [
+        (1, "A", "N", 50, 10, 10), (2, "C", "N", 50, 10, 10), (3, "G", "N", 50, 10, 1), (4, "T", "N", 50, 10, 10),  # G goes
+        (4, "T", "G", 50, 10, 10),  # an SNP: 4 begins a run of its own
+        (6, "A", "N", 50, 900, 12), (8, "A", "N", 50, 900, 12), (9, "A", "G", 50, 1, 0),  # a gap ends 6, an SNP ends 8
+        (70_000, "C", "N", 50, 10, 10), (65_535, "A", "N", 50, 10, 10), (65_536, "C", "N", 50, 10, 10),  # over a stretch's end
+        (70_001, "C", "N", 5, 10, 10),  # too shallow
+    ]
+    df = sites(spark, dels)
+    got = {(r.pos, r.ref) for r in C.merged_deletions(df, C.merged_insertions(df)).collect()}
+    assert got == {(1, "AC"), (4, "T"), (8, "A"), (65_535, "AC"), (70_000, "C")}
+    assert C.merged_deletions(df.where("false"), df.where("false")).collect() == []
+
+
+def test_stretches_agree_with_whole_windows(spark):
+    from somaspark.operators import intervals as I  # noqa: E741
+
+    r = random.Random(12)
+    rows = [(i, i % 3, s, s + r.randrange(1, 200)) for i in range(400) for s in [r.randrange(20_000)]]
+    df = frame(spark, rows, "id long, contig int, s int, e int")
+    for gap in (0, 30):
+        want = {}
+        for c in range(3):
+            island, reach = 0, None
+            for i, _, s, e in sorted((x for x in rows if x[1] == c), key=lambda x: (x[2], x[3])):
+                island += reach is None or s > reach + gap
+                reach = e if reach is None else max(reach, e)
+                want[i] = island
+        for size in (16, 256, 1 << 16):
+            assert {x.id: x.island for x in I.islands(df, gap, size=size).collect()} == want
+    whole = sorted(map(tuple, I.coverage(df).collect()))
+    assert sorted(map(tuple, I.coverage(df, size=32).collect())) == whole
+    assert sum((e - s) * n for _, s, e, n in whole) == sum(e - s for _, _, s, e in rows)
+    assert I.bin_size(df, df) == 128 and I.range_join(df, df, strategy="auto").count() == I.range_join(df, df, size=16).count() == I.range_join(df, df, strategy="plain").count()
