@@ -34,7 +34,7 @@ from .common import hot_keys, salted, stored
 from .components import labels_of, more_labels
 from .setsketch import REGISTERS, WORDS_A_SHINGLE, likely_jaccard, mix, registers, shingles
 
-BANDS, ROWS, SALTS = 32, 5, 16
+BANDS, ROWS = 32, 5
 PERCENT, SLACK, RARE = 80, 0.16, 40
 BATCH_SHINGLES = 1 << 16
 
@@ -188,10 +188,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS_
         mixed = several(mixed.join(able, "b"))
         left, right = mixed.select("bucket", F.col("b").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("common").alias("ca")), mixed.select("bucket", "b", F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("common").alias("cb"))
         most = F.least("ca", "cb")  # of the intersection, if no rare shingle is shared
-        # one side of a bucket is dealt over salts, the other one meets every salt
-        left = left.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
-        right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rest = left.join(right, (left["bucket"] == right["bucket"]) & (left["salt"] == right["salt"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most)))
+        # no salts here: they would copy every member of a bucket; a skewed join is split when it runs
+        rest = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most)))
         rest = rest.select("a", "b", "na", "nb").union(apart(sharers)).distinct()
         known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         rest = estimated(rest.join(known, ["a", "b"], "left_anti"), reps, percent)
