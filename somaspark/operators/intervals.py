@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stretches import carried, inside, up_to
+from .stretches import carried, inside, kept, up_to
 
 BIN = 64
 STRETCH = 1 << 16  # a power of two
@@ -141,7 +141,7 @@ def total_length(df: DataFrame) -> DataFrame:
 
 
 def split_regions(df: DataFrame, parts: int) -> DataFrame:
-    """Merged regions dealt to parts by cumulative length; equal work a part.
+    """Merged regions dealt whole to parts by cumulative length (``cut_regions`` cuts them); equal work a part.
 
     Running sums go contig by contig; only one row a contig meets in one task."""
     merged = merge(df).select("contig", "s", "e", (F.col("e") - F.col("s")).cast("long").alias("size"))
@@ -150,3 +150,45 @@ def split_regions(df: DataFrame, parts: int) -> DataFrame:
     run = F.coalesce(F.sum("size").over(Window.partitionBy("contig").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     df = merged.withColumn("run", run).join(F.broadcast(base.select("contig", "base", "all")), "contig")  # a row a contig
     return df.select("contig", "s", "e", F.expr(f"cast(least({parts - 1}, ((base + run) * {parts}) div all) as int)").alias("part"))
+
+
+def cut_regions(df: DataFrame, parts: int, longest: int = 1_000_000, shortest: int = 20) -> DataFrame:
+    """Contig, s, e (both ends inclusive), part: merged regions cut into parts of about equal length.
+
+    Regions over ``longest`` are cut first. A part ends where its length is reached; a piece or a rest of
+    a region under twice ``shortest`` is not cut off: the piece grows, or takes the rest. A last part
+    under half a length joins the one before. The regions stay distributed: a cut depends on the one
+    before, so each is one look-up of the region it falls into, ``parts`` (a parameter) in all. No
+    region gives no row; fewer bases than parts, one base a part at least."""
+    merged = merge(df).select("contig", "s", "e")
+    pieces = merged.select("contig", F.explode(F.sequence("s", "e", F.lit(longest))).alias("p"), "s", "e").where((F.col("e") - F.col("s") + 1 > longest) | (F.col("p") == F.col("s")))
+    whole = F.col("e") - F.col("s") + 1 <= longest
+    pieces = pieces.select("contig", F.col("p").alias("s"), F.when(whole, F.col("e")).otherwise(F.least("e", F.col("p") + longest - 1)).alias("e"))
+    pieces = pieces.withColumn("size", (F.col("e") - F.col("s") + 1).cast("long"))
+    by = pieces.groupBy("contig").agg(F.sum("size").alias("t"))  # a row a contig
+    base = by.select("contig", F.coalesce(F.sum("t").over(Window.orderBy("contig").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    pieces = carried(pieces, ["contig"], F.shiftright("s", STRETCH.bit_length() - 1), before={"ahead": (F.sum, "size")})
+    run = F.coalesce("ahead", F.lit(0)) + F.coalesce(F.sum("size").over(up_to(inside(["contig"], "s"), -1)), F.lit(0))
+    pieces = kept(pieces.withColumn("run", run).join(base, "contig").select("contig", "s", "e", (F.col("base") + F.col("run")).alias("c0"), (F.col("base") + F.col("run") + F.col("size")).alias("c1")))
+    total = pieces.agg(F.max("c1")).first()[0] or 0
+    at, want, cuts = 0, max(1, total // parts), [0]
+    while at + want <= total:
+        r = pieces.where((F.col("c0") < at + want) & (F.col("c1") >= at + want)).first()
+        begin = max(r["c0"], at)
+        stop = at + want
+        if stop - begin < 2 * shortest:
+            stop = min(begin + 2 * shortest, r["c1"])
+        if r["c1"] - stop < 2 * shortest:
+            stop = r["c1"]
+        at = stop
+        cuts.append(at)
+        if want < total - at < 1.5 * want:
+            want = total - at
+    ends = cuts[1:] + ([total] if at < total else [])
+    bounds = F.array(*[F.struct(F.lit(lo).cast("long").alias("lo"), F.lit(hi).cast("long").alias("hi"), F.lit(k).alias("part")) for k, (lo, hi) in enumerate(zip(cuts, ends))])
+    if not ends:
+        return pieces.select("contig", "s", "e", F.lit(0).alias("part")).where("false")
+    met = pieces.select("*", F.explode(F.filter(bounds, lambda b: (b["lo"] < F.col("c1")) & (b["hi"] > F.col("c0")))).alias("b"))
+    s = F.col("s") + F.greatest("b.lo", "c0") - F.col("c0")
+    e = F.col("s") + F.least("b.hi", "c1") - F.col("c0") - 1
+    return met.select("contig", s.cast("int").alias("s"), e.cast("int").alias("e"), "b.part")

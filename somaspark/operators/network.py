@@ -1,4 +1,4 @@
-"""The convolutional scorer and the decoding of its output: N1, N4, N6, F6, F7, N10, F28.
+"""The convolutional scorer and the gate of its output: N1, N6, K12, S17, F6, F7, N10, F28.
 
 Weights are a bounded parameter set that travels with the task; rows are scored in Arrow batches.
 """
@@ -11,57 +11,130 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def random_weights(channels: int, hidden: int = 16, seed: int = 1) -> dict[str, np.ndarray]:
-    """A small network of the same shape: a 1x3 convolution, two residual blocks (kernels 3 and 5,
-    the second dilated), a dense layer and three heads (type 4, place 1, length 4)."""
+#: The network's four blocks: two kernel sizes, their dilations, the stride of the pool (fixed values).
+BLOCKS = ((3, 5, 1, 1, 1), (3, 5, 1, 1, 2), (3, 5, 2, 1, 2), (3, 5, 4, 2, 2))
+HEIGHT, WIDTH, DIM, DENSE = 5, 32, 64, 240
+
+
+def layers(channels: int) -> dict[str, tuple[int, ...]]:
+    """The shapes of all weights by name, in order."""
+    out = {"conv1.weight": (DIM, channels, 1, 3), "conv1.bias": (DIM,)}
+    norm = lambda n: {f"{n}.{x}": (DIM,) for x in ("weight", "bias", "running_mean", "running_var")}
+    out |= norm("bn1")
+    for i, block in enumerate(BLOCKS):
+        for r in (1, 2):
+            name, k = f"res_layers.{i}.conv_r{r}", block[r - 1]
+            out |= {f"{name}.weight": (DIM, DIM, k, k), f"{name}.bias": (DIM,)} | norm(f"res_layers.{i}.bn_r{r}")
+    flat = DIM * HEIGHT * WIDTH // int(np.prod([b[4] for b in BLOCKS]))
+    for name, (o, i) in {"fc1": (DENSE, flat), "fc2": (4, DENSE), "fc3": (1, DENSE), "fc4": (4, DENSE)}.items():
+        out |= {f"{name}.weight": (o, i), f"{name}.bias": (o,)}
+    return out
+
+
+def random_weights(channels: int, seed: int = 1) -> dict[str, np.ndarray]:
+    """Untrained weights of the full network."""
     rng = np.random.default_rng(seed)
-    w = lambda *s: rng.normal(0, 1 / np.sqrt(np.prod(s[1:])), s)
-    return {"in": w(hidden, channels, 3), "a3": w(hidden, hidden, 3), "a5": w(hidden, hidden, 5), "b3": w(hidden, hidden, 3), "b5": w(hidden, hidden, 5), "fc": w(24, hidden), "type": w(4, 24), "pos": w(1, 24), "len": w(4, 24)}
+    out = {}
+    for name, shape in layers(channels).items():
+        ones = len(shape) == 1 and name.endswith(("running_var", ".weight"))
+        out[name] = (np.ones(shape) if ones else rng.normal(0, 1 / np.sqrt(np.prod(shape[1:])), shape) if len(shape) > 1 else np.zeros(shape)).astype(np.float32)
+    return out
+
+
+def conv(x: np.ndarray, w: np.ndarray, b: np.ndarray, dilation: int = 1) -> np.ndarray:
+    """(in, rows, height, width) by (out, in, kh, kw), same size: a matrix product a kernel cell."""
+    c, n, h, v = x.shape
+    kh, kw = w.shape[2:]
+    ph, pw = (kh - 1) * dilation // 2, (kw - 1) * dilation // 2
+    p = np.pad(x, ((0, 0), (0, 0), (ph, ph), (pw, pw)))
+    y = np.repeat(b[:, None], n * h * v, 1)
+    for i in range(kh):
+        for j in range(kw):
+            y += w[:, :, i, j] @ p[:, :, i * dilation : i * dilation + h, j * dilation : j * dilation + v].reshape(c, -1)
+    return y.reshape(-1, n, h, v)
 
 
-def conv(x: np.ndarray, w: np.ndarray, dilation: int = 1) -> np.ndarray:
-    """(rows, in, width) by (out, in, k), same width."""
-    k = w.shape[2]
-    pad = (k - 1) * dilation // 2
-    p = np.pad(x, ((0, 0), (0, 0), (pad, pad)))
-    return sum(np.einsum("oi,niw->now", w[:, :, j], p[:, :, j * dilation : j * dilation + x.shape[2]]) for j in range(k))
+def pooled(x: np.ndarray, stride: int) -> np.ndarray:
+    """The largest of three along the width."""
+    p = np.pad(x, ((0, 0), (0, 0), (0, 0), (1, 1)), constant_values=-np.inf)
+    return np.maximum(np.maximum(p[..., :-2], p[..., 1:-1]), p[..., 2:])[..., ::stride]
 
 
 def forward(x: np.ndarray, w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Type and length probabilities and the place, for (rows, channels, width)."""
-    relu = lambda v: np.maximum(v, 0)
-    h = relu(conv(x, w["in"]))
-    for name, dilation in (("a", 1), ("b", 2)):
-        h = relu(h + conv(relu(conv(h, w[name + "3"])), w[name + "5"], dilation))
-    z = relu(h.mean(2) @ w["fc"].T)
+    """Type and length probabilities and the place, for (rows, channels, 5, 32).
+
+    A 1x3 convolution, four residual blocks of two dilated convolutions, each with batch norm (by its
+    running values) and pooling along the width, a dense layer and three heads."""
+
+    def layer(h, name, norm, dilation=1):
+        m, v, g, b = (w[f"{norm}.{k}"][:, None, None, None] for k in ("running_mean", "running_var", "weight", "bias"))
+        return (conv(h, w[f"{name}.weight"], w[f"{name}.bias"], dilation) - m) / np.sqrt(v + np.float32(1e-5)) * g + b
+
+    h = pooled(np.maximum(layer(x.transpose(1, 0, 2, 3), "conv1", "bn1"), 0), 1)
+    for i, (_, _, d1, d2, stride) in enumerate(BLOCKS):
+        at = f"res_layers.{i}."
+        y = np.maximum(layer(h, at + "conv_r1", at + "bn_r1", d1), 0)
+        h = pooled(h + layer(y, at + "conv_r2", at + "bn_r2", d2), stride)
+    dense = lambda z, n: z @ w[f"{n}.weight"].T + w[f"{n}.bias"]
+    z = np.maximum(dense(h.transpose(1, 0, 2, 3).reshape(len(x), -1), "fc1"), 0)
     soft = lambda v: np.exp(v - v.max(1, keepdims=True)) / np.exp(v - v.max(1, keepdims=True)).sum(1, keepdims=True)
-    return soft(z @ w["type"].T), (z @ w["pos"].T)[:, 0], soft(z @ w["len"].T)
+    return soft(dense(z, "fc2")), dense(z, "fc3")[:, 0], soft(dense(z, "fc4"))
 
 
-def scored(df: DataFrame, weights: dict[str, np.ndarray], channels: int, key: str = "id", tensor: str = "tensor") -> DataFrame:
-    """Key, p_type, place, p_len of rows with a flat (channels x width) tensor."""
+def scored(df: DataFrame, weights: dict[str, np.ndarray], channels: int, key: str = "id", tensor: str = "tensor", step: int = 64) -> DataFrame:
+    """Key, p_type, place, p_len of rows with a flat (channels x 5 x 32) tensor.
+
+    The weights (3.5 MB, whatever the data) are broadcast; ``step`` rows pass the network at once. A
+    tensor that is null or of another size has null results."""
+    shared = df.sparkSession.sparkContext.broadcast(weights)
+    size = channels * HEIGHT * WIDTH
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            x = np.stack(b[tensor].to_numpy()).astype(float).reshape(len(b), channels, -1)
-            p_type, place, p_len = forward(x, weights)
-            yield pd.DataFrame({key: b[key], "p_type": list(np.round(p_type, 4)), "place": np.round(place, 4), "p_len": list(np.round(p_len, 4))})
+            for lo in range(0, len(b), step):
+                part = b.iloc[lo : lo + step]
+                good = np.array([t is not None and len(t) == size for t in part[tensor]])
+                out = pd.DataFrame({key: part[key], "p_type": None, "place": None, "p_len": None}).astype({"p_type": object, "place": object, "p_len": object}).reset_index(drop=True)
+                if good.any():
+                    x = np.stack(part[tensor].to_numpy()[good]).astype(np.float32).reshape(-1, channels, HEIGHT, WIDTH)
+                    p_type, place, p_len = forward(x, shared.value)
+                    for i, a, at, n in zip(np.flatnonzero(good), p_type, place, p_len, strict=True):
+                        out.at[i, "p_type"], out.at[i, "place"], out.at[i, "p_len"] = a.astype(float).round(4), round(float(at), 4), n.astype(float).round(4)
+                yield out
 
     return df.select(key, tensor).mapInPandas(run, f"{key} long, p_type array<double>, place double, p_len array<double>")
 
 
+def store_weights(spark: SparkSession, weights: dict[str, np.ndarray], path: str, epoch: int) -> None:
+    """One row a weight (epoch, name, shape, values); an epoch that is there is written anew."""
+    rows = [(epoch, n, list(map(int, w.shape)), w.astype(float).ravel().tolist()) for n, w in weights.items()]
+    df = spark.createDataFrame(rows, "epoch int, name string, shape array<int>, values array<double>")
+    df.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
+
+
+def load_weights(spark: SparkSession, path: str, channels: int, epoch: int | None = None) -> dict[str, np.ndarray]:
+    """The weights of an epoch (the last one by default); a prefix ``module.`` of names is dropped.
+
+    Missing, unknown or misshapen weights are an error. What is collected is one model."""
+    df = spark.read.parquet(path)
+    epoch = df.agg(F.max("epoch")).first()[0] if epoch is None else epoch
+    got = {r["name"].removeprefix("module."): np.array(r["values"], np.float32).reshape(r["shape"]) for r in df.where(F.col("epoch") == epoch).collect()}
+    want = layers(channels)
+    if wrong := sorted(n for n in want.keys() | got.keys() if n not in got or n not in want or got[n].shape != want[n]):
+        raise ValueError(f"weights do not fit the network: {wrong}")
+    return got
+
+
 def decoded(df: DataFrame, min_p: float = 0.05, near: float = 0.8, far: float = 3.0) -> DataFrame:
-    """The accepted type and centre of each prediction (id, placed, p; from id, centre, place, types DEL INS NONE SNP).
+    """The likeliest type and its centre where it is accepted (id, placed, p; from id, centre, place, types DEL INS NONE SNP).
 
-    Types are tried from the likeliest on until NONE is best or less than min_p is left; a centre
-    within ``near`` of the candidate's own is the candidate's, others are rounded; a type whose
-    centre is more than ``far`` away is passed over."""
+    The gate of rows without columns, where all types share one centre, so that trying a second type
+    cannot help; ``decoding.alleles`` is the whole of N4. A centre within ``near`` of the candidate's own
+    is the candidate's, others are rounded; one more than ``far`` away is NONE."""
     names = F.array(*map(F.lit, ("DEL", "INS", "NONE", "SNP")))
     moved = F.when(F.abs(F.col("place") - F.col("centre")) <= near, F.col("centre").cast("int")).otherwise(F.rint("place").cast("int"))
     order = F.reverse(F.array_sort(F.zip_with("types", names, lambda p, n: F.struct(p.alias("p"), n.alias("kind")))))

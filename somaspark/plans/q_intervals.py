@@ -133,6 +133,22 @@ def split_regions(spark, d):
     return I.split_regions(view(spark, d, "iv"), 10)
 
 
+CUT = """), x AS (SELECT contig, CAST(unnest(generate_series(s, e, 2000)) AS INT) AS p, s, e FROM m),
+y AS (SELECT contig, p AS s, CASE WHEN e - s + 1 > 2000 THEN least(e, p + 1999) ELSE e END AS e FROM x WHERE e - s + 1 > 2000 OR p = s),
+z AS (SELECT *, CAST(sum(e - s + 1) OVER (ORDER BY contig, s ROWS UNBOUNDED PRECEDING) AS BIGINT) AS c1, c1 - (e - s + 1) AS c0 FROM y),
+cuts AS (SELECT 0 AS k, 0::BIGINT AS lo, (SELECT max(c1) FROM z) // 10 AS want, (SELECT max(c1) FROM z) AS total UNION ALL
+SELECT k + 1, hi, CASE WHEN want < total - hi AND total - hi < 1.5 * want THEN total - hi ELSE want END, total
+FROM (SELECT k, want, total, CASE WHEN c1 - b < 40 THEN c1 ELSE b END AS hi FROM (SELECT *, CASE WHEN a - greatest(c0, lo) < 40 THEN least(greatest(c0, lo) + 40, c1) ELSE a END AS b
+FROM (SELECT *, lo + want AS a FROM cuts) JOIN z ON c0 < a AND a <= c1))),
+w AS (SELECT k, lo, lead(lo, 1, total) OVER (ORDER BY k) AS hi FROM cuts)
+SELECT contig, CAST(s + greatest(lo, c0) - c0 AS INT) AS s, CAST(s + least(hi, c1) - c0 - 1 AS INT) AS e, k AS part FROM z JOIN w ON lo < c1 AND hi > c0"""
+
+
+@q("q_cut_regions", IV.replace("WITH", "WITH RECURSIVE", 1) + _ISL.format(t="iv", k=0, n="").replace("SELECT contig, min(s)", ", m AS (SELECT contig, min(s)", 1) + CUT)
+def cut_regions(spark, d):
+    return I.cut_regions(view(spark, d, "iv"), 10, longest=2000)
+
+
 @q("q_region_string", IV + " SELECT id, concat(contig, ':', s, '-', e) AS region FROM iv")
 def region_string(spark, d):
     """F21."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from somaspark.fixtures import ctes, view
+from somaspark.operators import annotations as A
+from somaspark.operators import decoding as D
 from somaspark.operators import network as N
 from somaspark.operators import pileup as P
 from somaspark.operators import tensors as T
@@ -152,6 +154,17 @@ def ensemble_scale(spark, d):
     return view(spark, d, "ann").select(*KEY.split(", "), *[F.round(T.scaled(F.col(c), *T.GROUPS[g]), 3).alias(c) for c, g in ANN.items()])
 
 
+MADE = {c: f"(id * {2 * i + 3} + pos) % 401 - 150" for i, c in enumerate(A.FEATURES)}
+
+
+@q("q_ensemble_scale_all", ctes("preds") + ", made AS (SELECT id, " + ", ".join(f"CAST({x} AS DOUBLE) AS {c}" for c, x in MADE.items()) + " FROM preds) SELECT id, " + ", ".join(f"round((least(greatest({c}, {lo}), {hi}) - ({lo})) / {hi - lo}::DOUBLE, 6) AS {c}" for c, (lo, hi) in A.FEATURES.items()) + " FROM made")
+def ensemble_scale_all(spark, d):
+    """all 93 features, with made-up values."""
+    df = view(spark, d, "preds").selectExpr("id", *[f"cast({x} as double) as {c}" for c, x in MADE.items()])
+    df = A.all_scaled(df, ["id"])
+    return df.select("id", *[F.round(c, 6).alias(c) for c in A.FEATURES])
+
+
 @q("q_ensemble_af", ctes("raw") + " SELECT id, dp, ro, ao, round(ao::DOUBLE / nullif(ao + ro, 0), 4) AS af FROM raw")
 def ensemble_af(spark, d):
     """Columns by name, the fraction from the counts."""
@@ -166,11 +179,27 @@ def decode_gate(spark, d):
 
 @q("q_network")
 def network(spark, d):
-    df = emb(spark, d).withColumnRenamed("x", "tensor")
-    r = N.scored(df, N.random_weights(4), 4)
+    """The full network on 26 x 5 x 32 inputs that repeat each embedding."""
+    df = emb(spark, d).select("id", F.flatten(F.array_repeat(F.col("x").cast("array<float>"), 65)).alias("tensor"))
+    r = N.scored(df, N.random_weights(26), 26)
     return r.select("id", text(F.col("p_type")).alias("p_type"), "place", text(F.col("p_len")).alias("p_len"))
 
 
+@q("q_decode_alleles")
+def decode_alleles(spark, d):
+    """Candidates with 16 made-up columns each; the reference around them is read from their base columns."""
+    ref = "if((id*7+i*3)%5=0, array(9D,0D,0D,0D,0D), transform(array(-1,0,1,2,3), k -> if(k=(pos+i)%4, 9D, 0D)))"
+    alt = "transform(array(-1,0,1,2,3), k -> if((id*3+i)%6=0, 0D, cast((id+i*5+k*7)%11 as double)))"
+    df = view(spark, d, "preds").selectExpr(
+        "*", f"transform(sequence(0,15), i -> {ref}) as refs", f"transform(sequence(0,15), i -> {alt}) as alts", "cast(6+id%4 as int) as centre", "6+id%4+(id%90)/10D-4.5D as place",
+        "array((id%7)/20D, (id%5)/12D, (id%3)/10D, (id%6)/15D) as types", "array((id%4)/9D, (id%5)/9D, (id%3)/9D, (id%7)/20D) as lens",
+    )
+    shift = "(length(alt)>length(ref))"
+    df = df.selectExpr("*", "filter(sequence(0,15), i -> (id*7+i*3)%5<>0) as b", f"pos + int(length(ref)>length(alt)) as p0", f"centre - int{shift} as a0")
+    df = df.selectExpr("*", "p0 - size(filter(b, i -> i<a0)) as around_pos", "array_join(transform(b, i -> substring('ACGT', int((pos+i)%4+1), 1)), '') as around")
+    return D.alleles(df).withColumn("prob", F.round("prob", 6))
+
+
 @q("q_shift_indels", ctes("refseq") + """, x AS (SELECT contig*1000000 + start AS id, seq, 10 + start//64%20 AS pos, 1 + contig%3 AS n FROM refseq)
 SELECT id, CAST(pos - coalesce((SELECT min(k) FROM range(1, 60) r(k) WHERE k > pos OR substring(seq, (pos-k+1)::INT, 1) <> substring(seq, (pos-k+n+1)::INT, 1)) - 1, 0) AS INT) AS first,
 CAST(pos + (SELECT min(k) FROM range(0, 66) r(k) WHERE pos + k + n >= length(seq) OR substring(seq, (pos+k+1)::INT, 1) <> substring(seq, (pos+k+n+1)::INT, 1)) AS INT) AS last FROM x""")
