@@ -64,6 +64,13 @@ def write_vcf(df: DataFrame, path: str, contigs: DataFrame | None = None) -> Non
     vcf_lines(df.orderBy("ord", "pos")).write.text(f"{path}/body")
 
 
+def write_predictions(df: DataFrame, path: str, least: float = 0.0, contigs: DataFrame | None = None) -> None:
+    """K4: records whose ``score`` is at least ``least``, each line once, in order; a null score is below.
+
+    Rows: VCF_FIELDS, ord, score."""
+    write_vcf(df.where(F.col("score") >= least).select(*VCF_FIELDS, "ord").distinct(), path, contigs)
+
+
 def read_annotations(spark: SparkSession, path: str, features: list[str]) -> DataFrame:
     """Columns by header name, a missing one is an error; true/false become 1/0; end = pos + len(ref)."""
     df = spark.read.option("header", True).csv(path, sep="\t")

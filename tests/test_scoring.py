@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from somaspark.fixtures import view
 from somaspark.operators import annotations, decoding, intervals, network
 from somaspark.plans import q_tensors
+from somaspark.sources import text
 
 
 def test_forward_plain():
@@ -170,3 +171,11 @@ def test_all_scaled(spark):
     assert "extra" not in row and row["InDel_Length"] == 0.5 and row["MSI"] == 0.0
     with pytest.raises(ValueError):
         annotations.all_scaled(df.drop("MSI"), ["id"])
+
+
+def test_write_predictions(spark, tmp_path):
+    rec = lambda pos, score, o=0: ("1", pos, None, "A", "C", 1.0, "PASS", "x", "GT", "0/1", o, score)
+    rows = [rec(9, 0.9), rec(9, 0.9), rec(5, 0.7), rec(7, 0.2), rec(8, None)]
+    df = spark.createDataFrame(rows, "contig string, pos int, id string, ref string, alt string, qual double, filter string, info string, format string, sample string, ord int, score double")
+    text.write_predictions(df, str(tmp_path / "p"), 0.7)
+    assert [r.pos for r in text.read_vcf(spark, str(tmp_path / "p" / "body")).orderBy("pos").collect()] == [5, 9]
