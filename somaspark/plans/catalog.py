@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_calling, q_calls, q_intervals, q_reads, q_tensors
+from . import q_builder, q_calling, q_calls, q_intervals, q_reads, q_tensors
 
-MODULES = (q_intervals, q_calling, q_reads, q_calls, q_tensors)
+MODULES = (q_intervals, q_calling, q_reads, q_calls, q_tensors, q_builder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
