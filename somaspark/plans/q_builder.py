@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from somaspark.fixtures import ctes, view
 from somaspark.operators import network as N
 from somaspark.operators import tensor_builder as B
+from somaspark.sources import candidates as C
 
 from .registry import Registry
 
@@ -57,3 +58,24 @@ def tensor_scored(spark, d):
     df = B.network_input(made(spark, d, True))
     r = N.scored(df, N.random_weights(B.CHANNELS + 3), B.CHANNELS + 3)
     return r.select("id", "p_type", "place", "p_len")
+
+
+GAPPED = [
+    "concat(substring(seq, 1, cast(10+start%7 as int)), '--', substring(seq, cast(11+start%7 as int))) as reference",
+    "concat(repeat('-', cast(start%11 as int)), substring(seq, cast(1+start%11 as int), cast(50-start%11-contig as int)), repeat('-', cast(length(seq)-48+contig as int))) as read",
+    "start as region_start", "start+length(seq)-1 as region_end", "start+contig%5 as pos_start", "start+40+contig as pos_end",
+]
+
+
+@q(
+    "q_excess_ends",
+    ctes("refseq") + f", g AS (SELECT contig, start, {', '.join(GAPPED)} FROM refseq), c AS (SELECT *, unnest(range(1, length(reference) + 1)) AS i FROM g)"
+    ", k AS (SELECT contig, start, i, substring(reference, i::INT, 1) <> '-' AS r, substring(read, i::INT, 1) NOT IN ('-', '') AS b FROM c)"
+    ", p AS (SELECT *, sum(r::INT) OVER (PARTITION BY contig, start ORDER BY i) - 1 AS j FROM k)"
+    ", e AS (SELECT contig, start, min(j) FILTER (r AND b) AS lo, max(j) FILTER (r AND b) AS hi, max(j) AS last FROM p GROUP BY ALL)"
+    " SELECT contig, start, CAST(pos_start - region_start - coalesce(lo, 0) AS INT) AS excess_start, CAST(region_end - pos_end - coalesce(last - hi, 0) AS INT) AS excess_end FROM g JOIN e USING (contig, start)",
+)
+def excess_ends(spark, d):
+    """Made-up alignments of the reference's own pieces."""
+    df = view(spark, d, "refseq").selectExpr("contig", "start", *GAPPED)
+    return C.excess_ends(df).select("contig", "start", F.col("excess_start").cast("int"), F.col("excess_end").cast("int"))
