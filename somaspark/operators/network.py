@@ -238,7 +238,7 @@ def jointly_aligned(df: DataFrame) -> DataFrame:
 
     Star alignment: each read meets the reference, then the insertions after one reference base share
     columns, left-justified, and rows without them are gapped there. Of N11 the new CIGARs; the
-    excess ends are not written. Rows: id, n (the read's number within id), reference, read."""
+    excess ends are ``candidates.excess_ends``. Rows: id, n (the read's number within id), reference, read."""
     one = aligned_reads(df)
     # a column is (pos, off): reference bases up to it, and the number of the inserted base after them
     cells = one.select("id", "n", F.posexplode(F.arrays_zip(F.split("reference", "").alias("x"), F.split("read", "").alias("y"))).alias("i", "c")).select("id", "n", "i", "c.x", "c.y")
