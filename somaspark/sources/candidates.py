@@ -1,4 +1,4 @@
-"""Tables of candidates and of realigned reads: K7, K8, K9, K11, S12-S14."""
+"""Tables of candidates and of realigned reads: K7, K8, K9, K11, N11, S12, S13."""
 
 from __future__ import annotations
 
