@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_chat, q_collocations, q_lang, q_lines, q_media, q_near, q_pack, q_pieces, q_quality, q_search, q_url, q_warc
+from . import q_chat, q_collocations, q_lang, q_license, q_lines, q_media, q_near, q_pack, q_pieces, q_quality, q_search, q_url, q_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": q_pack.op8_packing,
         "op9_url_filter": q_url.op9_url_filter,
         "op10_quality_rules": q_quality.op10_quality_rules,
+        "op11_license_scan": q_license.op11_license_scan,
         "op12_collocations": q_collocations.op12_collocations,
         "op13_lexical_search": q_search.op13_lexical_search,
     }
@@ -33,6 +34,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc": q_warc.OP4_SQL,
         "op5_line_dedup": q_lines.OP5_SQL,
         "op10_quality_rules": q_quality.OP10_SQL,
+        "op11_license_scan": q_license.OP11_SQL,
         "op12_collocations": q_collocations.OP12_SQL,
         "op13_lexical_search": q_search.OP13_SQL,
     }
