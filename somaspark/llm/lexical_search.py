@@ -36,7 +36,7 @@ from .common import stored
 from .term_words import word_blocks
 
 TOP = 50
-BLOCK_DOCS, BLOCK_WORDS = 4096, 1 << 21
+BLOCK_DOCS, BLOCK_WORDS = 4096, 1 << 20
 CHUNK, FIRST, STEP = 256, 16, 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_TERM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -62,44 +62,37 @@ def corpus_size(docs: DataFrame) -> tuple[int, int]:
 def postings(docs: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
     """part, seq (which name a block), term, docs (places within the block), ids, impacts: a row a block and term."""
 
-    def block(part: int, seq: int, held: list[tuple[int, Counter]]) -> Iterator[pa.RecordBatch]:
+    def block(part: int, seq: int, held: list[tuple[int, np.ndarray, np.ndarray]], terms: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
         held.sort(key=lambda x: x[0])
-        norm = np.array([50 + (50 * c.total() * n_docs) // n_terms for _, c in held], np.int64)
-        ids = np.array([i for i, _ in held], np.int64)
-        found: dict[bytes, tuple[list[int], list[int]]] = {}
-        for d, (_, counts) in enumerate(held):
-            for term, tf in counts.items():
-                at = found.get(term)
-                if at is None:
-                    at = found[term] = ([], [])
-                at[0].append(d)
-                at[1].append(tf)
-        names = list(found)
+        norm = np.array([50 + (50 * int(tf.sum()) * n_docs) // n_terms for _, _, tf in held], np.int64)
+        ids = np.array([i for i, _, _ in held], np.int64)
+        d = np.repeat(np.arange(len(held), dtype=np.int32), [len(c) for _, c, _ in held])
+        code, tf = np.concatenate([c for _, c, _ in held]), np.concatenate([x for _, _, x in held]).astype(np.int64)
+        order = np.argsort(code, kind="stable")
+        d, tf = d[order], tf[order]
+        impacts = (1_000_000_000 * tf) // (1000 * tf + 20 * norm[d])
+        ends, names = np.append(0, np.cumsum(np.bincount(code, minlength=len(terms)))), list(terms)
         for lo in range(0, len(names), 4096):
-            some = [found[t] for t in names[lo : lo + 4096]]
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(a) for a, _ in some])]).astype(np.int32))
-            d = np.fromiter((x for a, _ in some for x in a), np.int32)
-            tf = np.fromiter((x for _, a in some for x in a), np.int64)
-            impacts = (1_000_000_000 * tf) // (1000 * tf + 20 * norm[d])
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (d, ids[d], impacts)]
-            key = [pa.array(np.full(len(some), x, np.int32)) for x in (part, seq)]
-            yield pa.RecordBatch.from_arrays([*key, pa.array(names[lo : lo + 4096], pa.binary()).cast(pa.string()), *lists], ["part", "seq", "term", "docs", "ids", "impacts"])
+            cut = ends[lo : lo + 4097]
+            own, lists = slice(cut[0], cut[-1]), pa.array((cut - cut[0]).astype(np.int32))
+            key = [pa.array(np.full(len(cut) - 1, x, np.int32)) for x in (part, seq)]
+            yield pa.RecordBatch.from_arrays([*key, pa.array(names[lo : lo + 4096], pa.binary()).cast(pa.string()), *[pa.ListArray.from_arrays(lists, pa.array(x)) for x in (d[own], ids[d[own]], impacts[own])]], ["part", "seq", "term", "docs", "ids", "impacts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, seq, held, terms, size = TaskContext.get().partitionId(), 0, [], {}, 0
         for b in batches:
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 counts: Counter = Counter()
                 for words in word_blocks(text.as_py()):
                     counts.update(words)
                 if counts:
-                    held.append((i, counts))
+                    held.append((i, np.fromiter((terms.setdefault(t, len(terms)) for t in counts), np.int32, len(counts)), np.fromiter(counts.values(), np.int32, len(counts))))
                     size += len(counts)
                 if len(held) >= BLOCK_DOCS or size >= BLOCK_WORDS:
-                    yield from block(part, seq, held)
-                    held, size, seq = [], 0, seq + 1
+                    yield from block(part, seq, held, terms)
+                    held, terms, size, seq = [], {}, 0, seq + 1
         if held:
-            yield from block(part, seq, held)
+            yield from block(part, seq, held, terms)
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(run, "part int, seq int, term string, docs array<int>, ids array<long>, impacts array<long>")
@@ -123,14 +116,17 @@ def inverted_treaps(docs: DataFrame, terms: DataFrame, n_docs: int, n_terms: int
     """The postings of the given terms (term, distinct) with left and right children and the root. Stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[], [], []]
-            for ids, impacts in zip(b.column("docs"), b.column("impacts"), strict=True):
-                d, imp = ids.values.to_numpy().astype(np.uint64), impacts.values.to_numpy()
-                spread = ((d + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)  # an odd factor: distinct for distinct d
-                for o, x in zip(out, treap(((imp << 32) | spread.astype(np.int64)).tolist()), strict=True):
-                    o.append(x)
-            more = [pa.array(x, k) for x, k in zip(out, (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32()), strict=True)]
+        for b in (w.slice(i, 256) for w in batches for i in range(0, w.num_rows, 256)):
+            left, right, roots = [], [], []
+            for d, impacts in zip(b.column("docs"), b.column("impacts"), strict=True):
+                # an odd factor: distinct for distinct places
+                spread = ((d.values.to_numpy().astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+                links = treap(((impacts.values.to_numpy() << 32) | spread.astype(np.int64)).tolist())
+                for kept, x in ((left, links[0]), (right, links[1])):
+                    kept.append(np.array(x, np.int32))
+                roots.append(links[2])
+            ends = pa.array(np.append(0, np.cumsum([len(x) for x in left])).astype(np.int32))
+            more = [*(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (left, right)), pa.array(roots, pa.int32())]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "left", "right", "root"])
 
     rows = postings(docs, n_docs, n_terms).join(terms, "term", "left_semi").select("part", "seq", "term", "docs", "ids", "impacts")
