@@ -6,8 +6,13 @@ own in reverse lexicographic order, and ``prefix_counts`` reads them once: a sta
 prefixes (one of each length), a prefix is finished when the order leaves it. The runs inside a
 batch are summed with numpy; only the prefixes that are open at its end stay on the stack.
 
+A phrase is frequent only if its parts are. The first pass over the texts therefore counts pairs and
+triples by hash in two tables of fixed size (``BITS``); sums of a place bound the counts of all that
+fall there. A suffix is cut before the first pair or triple whose place stays under the least
+count: no frequent phrase is lost, whatever falls together, and the cut suffixes fold well.
+
 A first word with more than a ``HOT_PARTS``-th of all words is dealt by its second word too, a hot
-pair by its third word, and so on; the counts of such hot prefixes are sums over tasks. ``hot``
+pair by its third word, and so on; the counts of such hot prefixes are sums over tasks. ``survey``
 finds them; which prefixes are hot changes where rows go, not what is counted.
 
 ``collocations`` cuts each candidate in two at every place, joins the parts' counts, scores the
@@ -21,6 +26,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +34,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from .common import HOT_PARTS, hot_keys, salted, stored
 
 MOST, MIN_COUNT, PERCENT, TOP = 4, 30, 80, 2000
 WORDS = ["w1", "w2", "w3", "w4"]
-BLOCK_WORDS, SLICE = 1 << 19, 1 << 22
+BLOCK_WORDS, SLICE, HELD = 1 << 19, 1 << 22, 1 << 20
+BITS, CHUNK, FAN = 23, 1 << 16, 64
+ODD = np.uint64(0x9E3779B97F4A7C15)
 #: A-Z lower-cased, the pieces' ends to a full stop, tabs to spaces.
 TABLE = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -68,6 +77,24 @@ class Block:
         for i in range(1, MOST):  # nothing follows the end of a piece
             after[i] = np.where(after[i - 1] == 0, 0, after[i])
         self.after = after
+        hashes = lambda names: np.fromiter((hash_of(x) for x in names.to_pylist()), np.uint64, len(names))
+        self.hashes, self.lang_hashes = hashes(self.names), hashes(self.langs.dictionary)
+
+    def places(self, k: int, bits: int = BITS) -> np.ndarray:
+        """For each word the place of the k words from there on in a table of 2**bits."""
+        h = self.lang_hashes[self.lang]
+        for words in self.after[:k]:
+            h = (h ^ self.hashes[words]) * ODD
+            h ^= h >> np.uint64(29)
+        return ((h * ODD) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def cut(self, often: list[np.ndarray]) -> None:
+        """Cut the suffixes before pairs and triples that cannot be frequent. often: the places that can."""
+        pair, triple = (x[self.places(k)] for k, x in zip((2, 3), often, strict=True))
+        a, next_triple = self.after, np.append(triple[1:], True)
+        a[1] = np.where(pair, a[1], 0)
+        a[2] = np.where((a[1] > 0) & triple, a[2], 0)
+        a[3] = np.where((a[2] > 0) & next_triple, a[3], 0)
 
     def suffixes(self, end: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """Languages, words and counts of the distinct suffixes that begin before end, in order."""
@@ -106,14 +133,20 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
 
 
-def hot(docs: DataFrame, parts: int = HOT_PARTS, size: int = BLOCK_WORDS) -> tuple[DataFrame, dict[str, int]]:
-    """The prefixes (lang, w1..w3) with more than a parts-th of all words, and each language's words.
+def survey(docs: DataFrame, min_count: int = MIN_COUNT, parts: int = HOT_PARTS, size: int = BLOCK_WORDS) -> tuple[DataFrame, dict[str, int], list[np.ndarray]]:
+    """The prefixes (lang, w1..w3) with more than a parts-th of all words, each language's words, and the
+    places of pairs and triples that can hold one found min_count times.
 
     A block names the prefixes that hold half of that share of it: few, whatever the input; what
     other blocks hold of them may be missed, so a count is a lower bound."""
+    cap = min(min_count, 255)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = np.zeros((2, 1 << BITS), np.uint8)
         for block, end in _blocks(batches, size):
+            for table, k in zip(tables, (2, 3), strict=True):
+                place, n = np.unique(block.places(k)[:end][block.after[k - 1][:end] > 0], return_counts=True)
+                table[place] = np.minimum(table[place] + n, cap)
             lang, words = block.lang[:end], [x[:end] for x in block.after[: MOST - 1]]
             live = np.flatnonzero(words[0])
             least, v, key = len(live) / (2 * parts), len(block.names), lang[live]
@@ -129,26 +162,66 @@ def hot(docs: DataFrame, parts: int = HOT_PARTS, size: int = BLOCK_WORDS) -> tup
                 live, key = live[stay], place[back][stay]
                 one[key] = live  # a position that shows the prefix
                 yield _prefixes(block, lang[one], n[big], [w[one] for w in words[: depth + 1]])
+        slot = TaskContext.get().partitionId()
+        rows = [(t, c, slot, zlib.compress(x, 1)) for t in range(2) for c, x in enumerate(tables[t].reshape(-1, CHUNK)) if x.any()]
+        yield pa.RecordBatch.from_pylist([dict(zip(SURVEY.names, (None,) * 5 + r, strict=True)) for r in rows], SURVEY)
 
-    found = _texts(docs).mapInArrow(run, "lang string, w1 string, w2 string, w3 string, n long").groupBy("lang", *WORDS[:3]).agg(F.sum("n").alias("n"))
-    found = stored(found, "prefixes")
+    found = stored(_texts(docs).mapInArrow(run, "lang string, w1 string, w2 string, w3 string, n long, level int, chunk int, slot int, data binary"), "survey")
+    places = _often(found.where("level is not null").select("level", "chunk", "slot", "data"), cap)
+    found = stored(found.where("level is null").groupBy("lang", *WORDS[:3]).agg(F.sum("n").alias("n")), "prefixes")
     totals = {r["lang"]: r["n"] for r in found.where("w1 is null").collect()}  # a row a language
     share = sum(totals.values()) // parts
-    return found.where((F.col("n") > share) & F.col("w1").isNotNull()), totals
+    return found.where((F.col("n") > share) & F.col("w1").isNotNull()), totals, places
+
+
+SURVEY = pa.schema([*((c, pa.string()) for c in ("lang", *WORDS[:3])), ("n", pa.int64()), ("level", pa.int32()), ("chunk", pa.int32()), ("slot", pa.int32()), ("data", pa.binary())])
+
+
+def _often(rows: DataFrame, cap: int) -> list[np.ndarray]:
+    """The tables of all tasks added up, FAN at a time, as two arrays of booleans: of fixed size."""
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(CHUNK, np.uint8)
+        for x in t.column("data"):
+            total = np.minimum(total.astype(np.int64) + np.frombuffer(zlib.decompress(x.as_py()), np.uint8), cap).astype(np.uint8)
+        return t.slice(0, 1).select(["level", "chunk", "slot"]).append_column("data", pa.array([zlib.compress(total, 1)], pa.binary()))
+
+    slots = (rows.agg(F.max("slot")).first()[0] or 0) + 1
+    while slots > 1:
+        rows = rows.withColumn("slot", F.floor(F.col("slot") / FAN).cast("int"))
+        rows = stored(rows.groupBy("level", "chunk", "slot").applyInArrow(add, "level int, chunk int, slot int, data binary"), "tables")
+        slots = -(-slots // FAN)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = [np.packbits(np.frombuffer(zlib.decompress(x.as_py()), np.uint8) >= cap).tobytes() for x in b.column("data")]
+            yield pa.RecordBatch.from_arrays([b.column("level"), b.column("chunk"), pa.array(packed, pa.binary())], ["level", "chunk", "data"])
+
+    out = np.zeros((2, (1 << BITS) // CHUNK, CHUNK), bool)
+    for r in rows.mapInArrow(bits, "level int, chunk int, data binary").collect():  # 2 ** BITS bits each
+        out[r["level"], r["chunk"]] = np.unpackbits(np.frombuffer(r["data"], np.uint8)).astype(bool)
+    return list(out.reshape(2, -1))
 
 
 def _prefixes(block: Block, lang: np.ndarray, n: np.ndarray, words: list[np.ndarray]) -> pa.RecordBatch:
     named = [block.names.take(pa.array(w)) for w in words] + [pa.nulls(len(n), pa.string())] * (MOST - 1 - len(words))
-    return pa.RecordBatch.from_arrays([block.langs.dictionary.take(pa.array(lang)), *named, pa.array(n)], ["lang", *WORDS[:3], "n"])
+    rest = [pa.nulls(len(n), f.type) for f in list(SURVEY)[MOST + 1 :]]
+    return pa.RecordBatch.from_arrays([block.langs.dictionary.take(pa.array(lang)), *named, pa.array(n), *rest], schema=SURVEY)
 
 
-def suffixes(docs: DataFrame, heavy: set[tuple[str, ...]], size: int = BLOCK_WORDS) -> DataFrame:
-    """lang, w1..w4 (null after the end of a piece), n, depth, deal: the suffixes of every block.
+def suffixes(docs: DataFrame, heavy: set[tuple[str, ...]], often: list[np.ndarray] | None = None, size: int = BLOCK_WORDS) -> DataFrame:
+    """lang, w1..w4 (null after the end), n, depth, deal: the suffixes of every block, cut by often.
 
     depth is the length of the shortest prefix that is not hot; its words, but for the first, make deal."""
+    packed = None if often is None else [np.packbits(x) for x in often]
+    names = ["lang", *WORDS, "n", "depth", "deal"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        able = None if packed is None else [np.unpackbits(x).astype(bool) for x in packed]
+        held: list[pa.RecordBatch] = []
         for block, end in _blocks(batches, size):
+            if able is not None:
+                block.cut(able)
             lang, words, n = block.suffixes(end)
             if not len(n):
                 continue
@@ -157,22 +230,40 @@ def suffixes(docs: DataFrame, heavy: set[tuple[str, ...]], size: int = BLOCK_WOR
             depth, live = np.ones(len(n), np.int32), np.arange(len(n))
             deal = np.zeros(len(n), np.uint64)
             for k in range(1, MOST) if heavy else ():  # rows are in order, so a prefix is one run
-                change = np.any([np.diff(x[live]) != 0 for x in (lang, *words[:k])], axis=0)
-                heads = live[np.flatnonzero(np.append(True, change))] if len(live) else live
-                cols = [c.take(pa.array(heads)).to_pylist() for c in (lang_text, *text[:k])]
-                is_hot = np.fromiter((p in heavy for p in zip(*cols, strict=True)), bool, len(heads))
-                live = live[is_hot[np.cumsum(np.append(True, change)) - 1]] if len(live) else live
+                if not len(live):
+                    break
+                begins = np.append(True, np.any([np.diff(x[live]) != 0 for x in (lang, *words[:k])], axis=0))
+                heads = pa.array(live[begins])
+                is_hot = np.fromiter((p in heavy for p in zip(*(c.take(heads).to_pylist() for c in (lang_text, *text[:k])), strict=True)), bool, len(heads))
+                live = live[is_hot[np.cumsum(begins) - 1]]
                 depth[live] = k + 1
             for k in range(1, MOST):
                 rows = np.flatnonzero(depth > k)
-                names, where = np.unique(words[k][rows], return_inverse=True)
-                h = np.fromiter((hash_of(x) for x in block.names.take(pa.array(names)).to_pylist()), np.uint64, len(names))
-                deal[rows] = (deal[rows] + h[where]) * np.uint64(0x9E3779B97F4A7C15)
-            yield pa.RecordBatch.from_arrays([lang_text, *text, pa.array(n.astype(np.int64)), pa.array(depth), pa.array((deal >> np.uint64(33)).astype(np.int32))], ["lang", *WORDS, "n", "depth", "deal"])
+                deal[rows] = (deal[rows] + block.hashes[words[k][rows]]) * ODD
+            out = pa.RecordBatch.from_arrays([lang_text, *text, pa.array(n.astype(np.int64)), pa.array(depth), pa.array((deal >> np.uint64(33)).astype(np.int32))], names)
+            short = words[2] == 0
+            yield out.filter(pa.array(~short))
+            held.append(out.filter(pa.array(short)))  # short ones fold over several blocks
+            if sum(h.num_rows for h in held) > HELD:
+                held = _folded(held)
+                if held[0].num_rows > HELD // 2:
+                    yield held.pop()
+        yield from _folded(held)
 
     return _texts(docs).mapInArrow(run, "lang string, w1 string, w2 string, w3 string, w4 string, n long, depth int, deal int")
 
 
+def _folded(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """Equal suffixes of two words at most, of several blocks, counted together."""
+    if not held:
+        return []
+    t = pa.Table.from_batches(held)
+    got = t.group_by(["lang", "w1", "w2", "depth", "deal"]).aggregate([("n", "sum")])
+    none = pa.nulls(got.num_rows, pa.string())
+    cols = [got["lang"], got["w1"], got["w2"], none, none, got["n_sum"], got["depth"], got["deal"]]
+    return pa.table(cols, t.schema.names).combine_chunks().to_batches() or []
+
+
 def hash_of(word: str | None) -> int:
     """The same on every executor, unlike Python's own."""
     import xxhash
@@ -232,9 +323,9 @@ def prefix_counts(sufs: DataFrame, min_count: int) -> DataFrame:
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, parts: int = HOT_PARTS, size: int = BLOCK_WORDS) -> tuple[DataFrame, dict[str, int]]:
     """lang, words (array of 1 to MOST), n of all phrases found min_count times, and each language's words. Stored."""
-    found, totals = hot(docs, parts, size)
+    found, totals, often = survey(docs, min_count, parts, size)
     heavy = {tuple(x for x in r if x is not None) for r in found.select("lang", *WORDS[:3]).collect()}  # under 3 * parts
-    dealt = suffixes(docs, heavy, size).repartition("lang", "w1", "deal").sortWithinPartitions("lang", *[F.desc(w) for w in WORDS])
+    dealt = suffixes(docs, heavy, often, size).repartition("lang", "w1", "deal").sortWithinPartitions("lang", *[F.desc(w) for w in WORDS])
     counts = prefix_counts(dealt.select("lang", *WORDS, "n", "depth"), min_count)
     counts = counts.groupBy("lang", F.filter(F.array(*WORDS), lambda x: x.isNotNull()).alias("words")).agg(F.sum("n").alias("n"))
     return stored(counts.where(F.col("n") >= min_count), "phrases"), totals

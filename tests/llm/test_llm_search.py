@@ -125,12 +125,22 @@ def test_collocations_of_a_very_long_text_run_over_the_cuts(spark, monkeypatch):
 
 def test_hot_prefixes_are_found_and_dealt_apart(spark):
     docs = make(spark, [(i, f"of the end of the {'day' if i % 2 else 'line'}", "en") for i in range(100)])
-    found, totals = collocations.hot(docs, parts=8, size=60)
+    found, totals, often = collocations.survey(docs, 30, parts=8, size=60)
     assert totals == {"en": 600}
     heavy = {tuple(x for x in r if x is not None) for r in found.select("lang", "w1", "w2", "w3").collect()}
     assert {("en", "of"), ("en", "of", "the"), ("en", "the", "end")} <= heavy and ("en", "of", "the", "day") not in heavy
-    rows = collocations.suffixes(docs, heavy, 60).where("w1 = 'of'").collect()
-    assert len({r.deal for r in rows}) > 1 and {r.depth for r in rows} <= {2, 3, 4}
+    for able in (None, often):
+        rows = collocations.suffixes(docs, heavy, able, 60).where("w1 = 'of'").collect()
+        assert len({r.deal for r in rows}) > 1 and {r.depth for r in rows} <= {2, 3, 4} and sum(r.n for r in rows) == 200
+
+
+def test_suffixes_are_cut_before_what_cannot_be_frequent(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "FAN", 2)
+    docs = make(spark, [(i, f"often seen here x{i} once{i} often seen", "en") for i in range(40)])
+    _, _, often = collocations.survey(docs.repartition(5), 30)
+    assert [int(x.sum()) for x in often] == [2, 1]  # often seen, seen here; often seen here
+    rows = {tuple(r)[1:6] for r in collocations.suffixes(docs.coalesce(1), set(), often).collect() if r.w1 in ("often", "seen", "here")}
+    assert rows == {("often", "seen", "here", None, 40), ("often", "seen", None, None, 40), ("seen", "here", None, None, 40), ("seen", None, None, None, 40), ("here", None, None, None, 40)}
 
 
 # ---- lexical search
