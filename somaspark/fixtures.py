@@ -60,6 +60,12 @@ from (select o_orderkey as k, cast(o_orderkey%22 as int) as contig, cast(1+o_ord
     "refseq": """select cast(k%22 as int) as contig, cast(64*floor(k/22) as int) as start,
 concat(substring('ACGTTGCAACGTGGCCTTAAACGTACGATCGATTACAGGATCCATGCATGCAACGTTTTACGGAC',cast(1+k%7 as int),57),'ACGTACG') as seq
 from (select distinct l_suppkey*22+l_suppkey%22 as k from {lineitem}) t""",
+    # a reference without holes, with tandem repeats, and regions beside them
+    "genome": """select contig, start, substring(concat(substring(b,1,10), repeat(substring(b,cast(1+k%3 as int),cast(2+k%4 as int)), cast(3+k%9 as int)), b, b), 1, 64) as seq
+from (select k, cast(k%22 as int) as contig, cast(64*floor(k/22) as int) as start, translate(md5(cast(k as varchar(20))), '0123456789abcdef', 'AACCGGTTACACGTGT') as b
+from (select o_orderkey as k from {orders}) t) t""",
+    "spots": """select k as id, cast(k%22 as int) as contig, cast(64*floor(k/22)+k%53 as int) as s, cast(64*floor(k/22)+k%53+2+k%19 as int) as e
+from (select o_orderkey as k from {orders}) t""",
     "ann": """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_extendedprice/1000.0 as depth,
 l_quantity*1.6 as mq, l_discount*500 as bq, (l_tax-0.04)*5000 as nm_diff, l_discount*12 as flag, (l_quantity-25)*1.5 as rank_z from {lineitem}""",
 }

@@ -8,6 +8,7 @@ from somaspark.fixtures import ctes, view
 from somaspark.functions import variants as V
 from somaspark.operators import candidates as C
 from somaspark.operators import pileup as P
+from somaspark.operators import repeats as T
 
 from .registry import Registry
 
@@ -302,6 +303,49 @@ def check_rep(spark, d):
     return df.select("contig", "start", "unit", F.coalesce(*[F.when(F.col("unit") == u, hits(u)) for u in (2, 3, 4)]).cast("long").alias("n"))
 
 
+# eight chunks around a region hold every repeat of the made-up reference; the walk goes unit by unit
+_EXT = """, len AS (SELECT contig, CAST(max(start) + 64 AS INT) AS length FROM genome GROUP BY contig),
+w AS (SELECT spots.id, spots.contig, s, e, length, min(g.start) AS w0, string_agg(g.seq, '' ORDER BY g.start) AS txt FROM spots JOIN len USING (contig) JOIN genome AS g ON g.contig = spots.contig AND g.start BETWEEN 64*(s//64)-256 AND 64*(s//64)+256 GROUP BY ALL),
+p AS (SELECT *, greatest(s-4, 1) AS s0, least(e+4, length-2) AS e0 FROM w),
+l AS (SELECT *, CASE {left0} {left3} ELSE s0+3 END AS s1 FROM p),
+r AS (SELECT *, CASE {right0} {right3} ELSE e0-3 END AS e1 FROM l)
+SELECT id, contig, CAST(s1+1 AS INT) AS s, CAST(e1-1 AS INT) AS e FROM r"""
+
+
+def _walk(side: str, unit: int, back: int) -> str:
+    """WHEN ... THEN ... of one unit: the number of steps is the first at which the unit is not repeated."""
+    at = f"(s0+{back}-j*{unit})" if side == "left" else f"(e0-{back}+j*{unit}-{2 * unit}+1)"
+    sub = lambda x, n: f"substring(txt, CAST({x}-w0+1 AS INT), {n})"
+    inside = f"{at} >= w0 AND {at}+{2 * unit} <= w0+length(txt)"
+    fits = f"({inside} AND {sub(at, unit)} = {sub(f'({at}+{unit})', unit)} AND {sub(at, 2 * unit)} <> repeat({sub(at, 1)}, {2 * unit}))"
+    steps = f"list_position(list_transform(range(0, 130), lambda j: {fits}), false) - 1"
+    room = f"e0-s0-{back}+1 >= {2 * unit}" if side == "left" else f"e0-{back}-s1+1 >= {2 * unit}"
+    new = f"greatest(s0+{back}-{unit}*({steps}), 0)" if side == "left" else f"least(e0-{back}+{unit}*({steps}), length-1)"
+    return f"WHEN {room} AND {steps} > 0 THEN {new}"
+
+
+def _extended() -> str:
+    some = lambda side, units, back: " ".join(_walk(side, u, back) for u in units)
+    return ctes("genome", "spots") + _EXT.format(left0=some("left", T.FIRST["left"], 0), left3=some("left", T.AGAIN["left"], T.REACH), right0=some("right", T.FIRST["right"], 0), right3=some("right", T.AGAIN["right"], T.REACH))
+
+
+@q("q_extend_repeats", _extended())
+def extend_repeats(spark, d):
+    """F16: regions grown over the 2-, 3- and 4-mer repeats at their ends."""
+    genome = view(spark, d, "genome")
+    lengths = genome.groupBy("contig").agg((F.max("start") + 64).alias("length"))
+    return T.extend_repeats(view(spark, d, "spots"), T.tandem_runs(genome), lengths)
+
+
+@q("q_tandem_runs", ctes("genome") + """, b AS (SELECT contig, start + i AS p, substring(seq, (i+1)::INT, 1) AS base FROM genome, range(0, 64) AS r(i)),
+n AS (SELECT contig, p, base, unnest([2, 3, 4]) AS unit, unnest([lead(base, 2) OVER w, lead(base, 3) OVER w, lead(base, 4) OVER w]) AS z FROM b WINDOW w AS (PARTITION BY contig ORDER BY p)),
+m AS (SELECT *, p - row_number() OVER (PARTITION BY contig, unit ORDER BY p) AS grp FROM n WHERE z = base),
+r AS (SELECT contig, unit, min(p) AS s, max(p) + 1 AS e FROM m GROUP BY contig, unit, grp HAVING count(*) >= unit AND count(DISTINCT base) > 1)
+SELECT contig, unit, CAST(s AS INT) AS s, CAST(e AS INT) AS e FROM r""")
+def tandem_runs(spark, d):
+    return T.tandem_runs(view(spark, d, "genome"))
+
+
 @q("q_ref_fetch", ctes("refseq", "iv") + ", x AS (SELECT id, contig, s%1000 AS s FROM iv) SELECT id, substring(seq, (s-start+1)::INT, 8) AS seq FROM x JOIN refseq ON x.contig = refseq.contig AND start = 64*(s//64)")
 def ref_fetch(spark, d):
     """A fetch is an equi-join with the reference chunk."""
