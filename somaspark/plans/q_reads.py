@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from somaspark.fixtures import ctes, view
 from somaspark.operators import cigar as G
+from somaspark.operators import splicing as X
 from somaspark.operators.intervals import range_join
 from somaspark.operators.stretches import carried, inside, numbered, up_to
 
@@ -162,3 +163,53 @@ def size_buckets(spark, d):
     g = carried(g, ["contig"], F.struct("size", F.shiftright("shard", 10)), before={"base": (F.sum, "size")})
     run = F.coalesce("base", F.lit(0)) + F.sum("size").over(up_to(inside(["contig"], "size", "shard")))
     return g.withColumn("run", run).selectExpr("contig", "shard", "size", "(run - size) div 500 as bucket")
+
+
+# tags that agree with the CIGARs: one or two substitutions in the first run, one right after the deletion or later
+_MD = """concat(cast(a as varchar(9)), 'A', case when a + 1 < n then concat('0C', cast(n - a - 2 as varchar(9))) else cast(n - a - 1 as varchar(9)) end,
+'^', repeat('T', d), cast(b as varchar(9)), 'G', cast(m - b - 1 as varchar(9)))"""
+_TAGGED = f"""select *, {_MD} as md, substring(repeat('ACGTTGCATCAGGA', 8), cast(1 + l_suppkey%5 as int), cast(n + l_linenumber + m as int)) as seq
+from (select *, cast(l_quantity as int) as n, cast(1 + l_suppkey%7 as int) as d, cast(1 + l_partkey%9 as int) as m, cast(l_linenumber % cast(l_quantity as int) as int) as a, cast(l_orderkey % (1 + l_partkey%9) as int) as b from {{reads}}) t"""
+
+
+@q("q_md_snvs", OPS + f""", g AS ({_TAGGED.format(reads="reads")}), k AS (SELECT {K}, regexp_extract_all(md, '[0-9]+|\\^[A-Z]+|[A-Z]') AS ts FROM g),
+t AS (SELECT {K}, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM k),
+u AS (SELECT *, sum(CASE WHEN t ~ '^[0-9]' THEN t::INT WHEN t LIKE '^%' THEN length(t) - 1 ELSE 1 END) OVER (PARTITION BY {K} ORDER BY i) - 1 AS r FROM (SELECT {K}, i, CASE WHEN t ~ '[0-9]' THEN t ELSE t END AS t FROM t)),
+o AS (SELECT *, sum(CASE WHEN op IN ('M','D') THEN len ELSE 0 END) OVER w - CASE WHEN op IN ('M','D') THEN len ELSE 0 END AS r0, sum(CASE WHEN op IN ('M','I') THEN len ELSE 0 END) OVER w - CASE WHEN op IN ('M','I') THEN len ELSE 0 END AS q0 FROM ops WINDOW w AS (PARTITION BY {K} ORDER BY i))
+SELECT {K}, contig, CAST(g.s + r AS INT) AS pos, t AS ref, substring(g.seq, (q0 + r - r0 + 1)::BIGINT, 1) AS alt FROM u JOIN g USING ({K}) JOIN (SELECT * EXCLUDE (contig, s, i) FROM o WHERE op = 'M') AS o USING ({K}) WHERE t ~ '^[A-Z]' AND r >= r0 AND r < r0 + len""")
+def md_snvs(spark, d):
+    """substitutions named by MD tags, with the reads' bases."""
+    reads = spark.sql(_TAGGED, reads=view(spark, d, "reads"))
+    return X.md_snvs(reads, KEY).select(*KEY, "contig", "pos", "ref", "alt")
+
+
+# up to two edits a read: inside the first run, and the whole last run with a part of the deletion before it
+_EDITS = """select {K}, cast(n div_ 3 as int) as start_idx, cast(n div_ 3 + n div_ 4 as int) as end_idx, 0 as del_start, 0 as del_end, 0 as excess_start, 0 as excess_end,
+case when n div_ 4 >= 2 then concat('1M', cast(1 + l_partkey%3 as varchar(9)), 'D', cast(n div_ 4 - 1 as varchar(9)), 'M1I') else concat(cast(n div_ 4 + 1 as varchar(9)), 'I') end as new_cigar from {e} where l_partkey%4 <> 0
+union all select {K}, cast(n + l_linenumber as int) as start_idx, cast(n + l_linenumber + m - 1 as int) as end_idx, cast(l_partkey%3 as int) as del_start, 0 as del_end, cast(l_orderkey%4 as int) as excess_start, cast(l_orderkey%2 as int) as excess_end,
+case when l_suppkey%2 = 0 then concat(cast(m as varchar(9)), 'M') else concat('2D', cast(m as varchar(9)), 'M1D') end as new_cigar from {e} where l_linenumber%3 <> 0""".replace("{K}", K)
+_SIZED = "select *, cast(l_quantity as int) as n, cast(1 + l_partkey%9 as int) as m from {reads}"
+
+
+@q("q_spliced_reads", OPS + f""", z AS ({_SIZED.format(reads="reads")}), e AS ({_EDITS.format(e="z").replace("div_", "//")}),
+ed AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY start_idx) AS k FROM e),
+o AS (SELECT *, CASE WHEN op IN ('M','I') THEN len ELSE 0 END AS rl, sum(rl) OVER (PARTITION BY {K} ORDER BY i) - rl AS p FROM ops),
+tot AS (SELECT {K}, sum(rl) AS total FROM o GROUP BY ALL),
+chk AS (SELECT ed.*, coalesce((SELECT max(len) FROM o WHERE op = 'D' AND p = start_idx AND o.l_orderkey = ed.l_orderkey AND o.l_linenumber = ed.l_linenumber AND o.l_partkey = ed.l_partkey AND o.l_suppkey = ed.l_suppkey AND o.l_quantity = ed.l_quantity AND o.l_extendedprice = ed.l_extendedprice), 0) AS g FROM ed),
+bad AS (SELECT DISTINCT {K} FROM chk WHERE excess_start > 0 AND g < excess_start),
+f AS (SELECT * REPLACE (CASE WHEN excess_start > 0 THEN greatest(del_start, excess_start) ELSE del_start END AS del_start) FROM chk),
+gaps AS (SELECT {K}, k, coalesce(lag(end_idx) OVER w + 1, 0) AS lo, start_idx AS hi, del_start AS off FROM f WINDOW w AS (PARTITION BY {K} ORDER BY k)
+  UNION ALL SELECT {K}, max(k) + 1, max(end_idx) + 1, max(total), 0 FROM f JOIN tot USING ({K}) GROUP BY {K}),
+pc AS (SELECT {K}, 2 * k AS j, i, op, CASE WHEN op = 'D' THEN CASE WHEN p BETWEEN lo AND hi THEN len - CASE WHEN p = hi THEN off ELSE 0 END ELSE 0 END ELSE least(p + len, hi) - greatest(p, lo) END AS len FROM gaps JOIN o USING ({K})
+  UNION ALL SELECT {K}, 2 * k + 1, generate_subscripts(regexp_extract_all(new_cigar, {RX}), 1), unnest(regexp_extract_all(new_cigar, {RX}, 2)), CAST(unnest(regexp_extract_all(new_cigar, {RX}, 1)) AS INT) FROM f),
+s1 AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY j, i) AS x FROM pc WHERE len > 0),
+s2 AS (SELECT *, x - row_number() OVER (PARTITION BY {K}, op ORDER BY x) AS grp FROM s1),
+s3 AS (SELECT {K}, op, min(x) AS x, sum(len) AS len FROM s2 GROUP BY {K}, op, grp),
+s4 AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY x) AS a, row_number() OVER (PARTITION BY {K} ORDER BY x DESC) AS b FROM s3),
+new AS (SELECT {K}, string_agg(len::BIGINT || op, '' ORDER BY x) AS cigar FROM s4 WHERE NOT (op = 'D' AND (a = 1 OR b = 1)) GROUP BY {K})
+SELECT {K}, CASE WHEN new.cigar IS NULL OR bad.l_orderkey IS NOT NULL THEN z.cigar ELSE new.cigar END AS new_cigar FROM z LEFT JOIN new USING ({K}) LEFT JOIN bad USING ({K})""")
+def spliced_reads(spark, d):
+    """Reads with the new CIGARs of their realigned parts put in."""
+    reads = spark.sql(_SIZED, reads=view(spark, d, "reads"))
+    edits = spark.sql(_EDITS.replace("div_", "div"), e=reads)
+    return X.rewritten(reads, edits, tuple(KEY)).select(*KEY, "new_cigar")
