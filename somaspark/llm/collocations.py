@@ -6,10 +6,10 @@ own in reverse lexicographic order, and ``prefix_counts`` reads them once: a sta
 prefixes (one of each length), a prefix is finished when the order leaves it. The runs inside a
 batch are summed with numpy; only the prefixes that are open at its end stay on the stack.
 
-A phrase is frequent only if its parts are. The first pass over the texts therefore counts pairs and
-triples by hash in two tables of fixed size (``BITS``); sums of a place bound the counts of all that
-fall there. A suffix is cut before the first pair or triple whose place stays under the least
-count: no frequent phrase is lost, whatever falls together, and the cut suffixes fold well.
+A phrase is frequent only if its parts are. The first pass over the texts therefore counts words,
+pairs and triples by hash in three tables of fixed size (``BITS``); sums of a place bound the counts
+of all that fall there. A suffix is cut before the first word, pair or triple whose place stays under
+the least count: no frequent phrase is lost, whatever falls together, and the cut suffixes fold well.
 
 A first word with more than a ``HOT_PARTS``-th of all words is dealt by its second word too, a hot
 pair by its third word, and so on; the counts of such hot prefixes are sums over tasks. ``survey``
@@ -40,8 +40,8 @@ from .common import HOT_PARTS, hot_keys, salted, stored
 
 MOST, MIN_COUNT, PERCENT, TOP = 4, 30, 80, 2000
 WORDS = ["w1", "w2", "w3", "w4"]
-BLOCK_WORDS, SLICE, HELD = 1 << 19, 1 << 22, 1 << 20
-BITS, CHUNK, FAN = 23, 1 << 16, 64
+BLOCK_WORDS, SLICE, HELD = 1 << 18, 1 << 22, 1 << 19
+BITS, CHUNK, FAN = 24, 1 << 16, 64
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: A-Z lower-cased, the pieces' ends to a full stop, tabs to spaces.
 TABLE = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -89,9 +89,11 @@ class Block:
         return ((h * ODD) >> np.uint64(64 - bits)).astype(np.int64)
 
     def cut(self, often: list[np.ndarray]) -> None:
-        """Cut the suffixes before pairs and triples that cannot be frequent. often: the places that can."""
-        pair, triple = (x[self.places(k)] for k, x in zip((2, 3), often, strict=True))
+        """Cut the suffixes before what cannot be frequent. often: the places of words, pairs and triples that can."""
+        word, pair, triple = (x[self.places(k)] for k, x in enumerate(often, 1))
         a, next_triple = self.after, np.append(triple[1:], True)
+        pair = pair & word
+        a[0] = np.where(word, a[0], 0)
         a[1] = np.where(pair, a[1], 0)
         a[2] = np.where((a[1] > 0) & triple, a[2], 0)
         a[3] = np.where((a[2] > 0) & next_triple, a[3], 0)
@@ -135,16 +137,16 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def survey(docs: DataFrame, min_count: int = MIN_COUNT, parts: int = HOT_PARTS, size: int = BLOCK_WORDS) -> tuple[DataFrame, dict[str, int], list[np.ndarray]]:
     """The prefixes (lang, w1..w3) with more than a parts-th of all words, each language's words, and the
-    places of pairs and triples that can hold one found min_count times.
+    places of words, pairs and triples that can hold one found min_count times.
 
     A block names the prefixes that hold half of that share of it: few, whatever the input; what
     other blocks hold of them may be missed, so a count is a lower bound."""
     cap = min(min_count, 255)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((2, 1 << BITS), np.uint8)
+        tables = np.zeros((MOST - 1, 1 << BITS), np.uint8)
         for block, end in _blocks(batches, size):
-            for table, k in zip(tables, (2, 3), strict=True):
+            for k, table in enumerate(tables, 1):
                 place, n = np.unique(block.places(k)[:end][block.after[k - 1][:end] > 0], return_counts=True)
                 table[place] = np.minimum(table[place] + n, cap)
             lang, words = block.lang[:end], [x[:end] for x in block.after[: MOST - 1]]
@@ -163,7 +165,7 @@ def survey(docs: DataFrame, min_count: int = MIN_COUNT, parts: int = HOT_PARTS,
                 one[key] = live  # a position that shows the prefix
                 yield _prefixes(block, lang[one], n[big], [w[one] for w in words[: depth + 1]])
         slot = TaskContext.get().partitionId()
-        rows = [(t, c, slot, zlib.compress(x, 1)) for t in range(2) for c, x in enumerate(tables[t].reshape(-1, CHUNK)) if x.any()]
+        rows = [(t, c, slot, zlib.compress(x, 1)) for t in range(MOST - 1) for c, x in enumerate(tables[t].reshape(-1, CHUNK)) if x.any()]
         yield pa.RecordBatch.from_pylist([dict(zip(SURVEY.names, (None,) * 5 + r, strict=True)) for r in rows], SURVEY)
 
     found = stored(_texts(docs).mapInArrow(run, "lang string, w1 string, w2 string, w3 string, n long, level int, chunk int, slot int, data binary"), "survey")
@@ -178,7 +180,7 @@ SURVEY = pa.schema([*((c, pa.string()) for c in ("lang", *WORDS[:3])), ("n", pa.
 
 
 def _often(rows: DataFrame, cap: int) -> list[np.ndarray]:
-    """The tables of all tasks added up, FAN at a time, as two arrays of booleans: of fixed size."""
+    """The tables of all tasks added up, FAN at a time, as arrays of booleans: of fixed size."""
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.uint8)
@@ -197,10 +199,10 @@ def _often(rows: DataFrame, cap: int) -> list[np.ndarray]:
             packed = [np.packbits(np.frombuffer(zlib.decompress(x.as_py()), np.uint8) >= cap).tobytes() for x in b.column("data")]
             yield pa.RecordBatch.from_arrays([b.column("level"), b.column("chunk"), pa.array(packed, pa.binary())], ["level", "chunk", "data"])
 
-    out = np.zeros((2, (1 << BITS) // CHUNK, CHUNK), bool)
+    out = np.zeros((MOST - 1, (1 << BITS) // CHUNK, CHUNK), bool)
     for r in rows.mapInArrow(bits, "level int, chunk int, data binary").collect():  # 2 ** BITS bits each
         out[r["level"], r["chunk"]] = np.unpackbits(np.frombuffer(r["data"], np.uint8)).astype(bool)
-    return list(out.reshape(2, -1))
+    return list(out.reshape(MOST - 1, -1))
 
 
 def _prefixes(block: Block, lang: np.ndarray, n: np.ndarray, words: list[np.ndarray]) -> pa.RecordBatch:
