@@ -66,24 +66,43 @@ def modal_one(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return n.groupBy(*keys).agg(F.max_by(value, F.struct("n", -F.col(value))).alias(value), F.max("n").alias("n"))
 
 
-def consensus(bases: DataFrame, share: float = 0.6) -> DataFrame:
-    """Of each column (contig, pos) the most frequent code other than the reference's, where its
-    fraction of itself and the reference code is above ``share`` of the contig's largest; of equal
-    counts the larger code. Rows: contig, pos, code, refcode. The last decimals follow the original's
-    0.0001 in the denominator."""
-    n = bases.groupBy("contig", "pos", "refcode", "code").agg(F.count("*").alias("n"))
+def modal_insertions(df: DataFrame, keys: list[str], value: str, share: float = 0.5, near: int = 3) -> DataFrame:
+    """Keys, pos, value, n of the insertions seen more than share times as often as the group's most
+    frequent one and not 1 to near bases beside it. Of equally frequent ones the first by place, then by
+    value, is the most frequent. One row a distinct insertion is all that meets in a group."""
+    n = df.groupBy(*keys, "pos", value).agg(F.count("*").alias("n"))
+    top = n.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("n"), "pos", value)).alias("top"))
+    beside = F.abs(F.col("pos") - F.col("top.pos"))
+    df = n.join(top, keys).where((F.col("n") > share * -F.col("top.n")) & ~beside.between(1, near))
+    return df.select(*keys, "pos", value, "n")
+
+
+def consensus(bases: DataFrame, share: float = 0.6, keys: tuple[str, ...] = ("contig",), min_af: float = 0.0) -> DataFrame:
+    """Of each column (keys, pos) the most frequent code other than the reference's, where its
+    fraction of itself and the reference code is above min_af and above ``share`` of the largest among
+    equal keys (a contig, or a region's alignment); of equal counts the larger code. Rows: keys, pos,
+    code, refcode. The last decimals follow the original's 0.0001 in the denominator."""
+    n = bases.groupBy(*keys, "pos", "refcode", "code").agg(F.count("*").alias("n"))
     other = F.col("code") != F.col("refcode")
-    x = n.groupBy("contig", "pos", "refcode").agg(F.max(F.when(other, F.struct("n", "code"))).alias("best"), F.coalesce(F.sum(F.when(~other, F.col("n"))), F.lit(0)).alias("ro"))
-    x = x.where("best is not null").select("contig", "pos", F.col("best.code").alias("code"), F.col("best.n").alias("ao"), "ro", (F.col("best.n") / (F.col("best.n") + F.col("ro") + 0.0001)).alias("af"))
-    top = x.groupBy("contig").agg(F.max("af").alias("top"))
-    return x.join(top, "contig").where(F.col("af") > share * F.col("top")).drop("top")
+    x = n.groupBy(*keys, "pos", "refcode").agg(F.max(F.when(other, F.struct("n", "code"))).alias("best"), F.coalesce(F.sum(F.when(~other, F.col("n"))), F.lit(0)).alias("ro"))
+    x = x.where("best is not null").select(*keys, "pos", F.col("best.code").alias("code"), F.col("best.n").alias("ao"), "ro", (F.col("best.n") / (F.col("best.n") + F.col("ro") + 0.0001)).alias("af"))
+    top = x.groupBy(*keys).agg(F.max("af").alias("top"))
+    return x.join(top, list(keys)).where((F.col("af") > share * F.col("top")) & (F.col("af") > min_af)).drop("top")
 
 
 def top_mean(df: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
-    """Mean of the top ceil(max * k) values of a group."""
-    xs = F.sort_array(F.collect_list(value), asc=False)
-    df = df.groupBy(*keys).agg(xs.alias("xs")).withColumn("top", F.slice("xs", F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("xs")[0] * k).cast("int"))))
-    return df.select(*keys, F.size("top").alias("n"), (F.aggregate("top", F.lit(0.0), lambda a, x: a + x) / F.size("top")).alias("mean"))
+    """Mean of the top ceil(max * k) values of a group, one at least; nulls count for nothing.
+
+    Equal values are counted first and numbered from the top, so that no group is held whole: values
+    are at most 1, and only the k largest of a group can be needed. With larger ones the cut is k at
+    most."""
+    n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    down = Window.partitionBy(*keys).orderBy(F.desc(value))
+    top = n.withColumn("i", F.row_number().over(down)).where(F.col("i") <= max(k, 1))
+    w = down.rowsBetween(Window.unboundedPreceding, -1)
+    top = top.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("want", F.greatest(F.lit(1), F.least(F.ceil(F.first(value).over(down.rowsBetween(Window.unboundedPreceding, 0)) * k), F.lit(max(k, 1)))))
+    took = top.withColumn("took", F.least("n", F.col("want") - F.col("before"))).where("took > 0")
+    return took.groupBy(*keys).agg(F.sum("took").cast("int").alias("n"), (F.sum(F.col(value) * F.col("took")) / F.sum("took")).alias("mean"))
 
 
 def nearest(left: DataFrame, right: DataFrame, pad: int = 5) -> DataFrame:
@@ -372,6 +391,13 @@ def confusion(df: DataFrame, actual: str, predicted: str, eps: float = 1e-4) ->
     return g.select("label", "tp", "fp", "fn", F.round(sn, 4).alias("sn"), F.round(pr, 4).alias("pr"), F.round(2 * sn * pr / (sn + pr + eps), 4).alias("f1"))
 
 
+def accuracy(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """N, hits and the share of hits over all rows that have both labels; 0 without one."""
+    df = df.where(f"{actual} is not null and {predicted} is not null")
+    n, hits = F.count("*"), F.count_if(F.col(actual) == F.col(predicted))
+    return df.agg(n.alias("n"), hits.alias("hits"), F.coalesce(F.round(hits / F.nullif(n, F.lit(0)), 4), F.lit(0.0)).alias("accuracy"))
+
+
 def rotating_sample(df: DataFrame, none: Column, per_epoch: int, epoch: int, key: str = "id", shards: int = 64) -> DataFrame:
     """All variants and a slice of the NONE rows that moves on with the epoch.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stretches import carried, inside
+from .stretches import carried, inside, numbered
 
 
 def fraction() -> Column:
@@ -132,3 +132,11 @@ def info_text(cols: dict[str, str]) -> Column:
 def info_value(info: str | Column, key: str, kind: str, default=None) -> Column:
     """a typed value of an INFO text."""
     return F.coalesce(F.str_to_map(info, F.lit(";"), F.lit("="))[key].try_cast(kind), F.lit(default).cast(kind))
+
+
+def placed(df: DataFrame, by: str) -> DataFrame:
+    """Df with place, its number (from 1) in the order of by, pos, id. Numbers run on from one
+    value of by to the next; within one they are given stretch by stretch."""
+    per = df.groupBy(by).agg(F.count("*").alias("_n"))  # a row a contig
+    base = per.select(by, F.coalesce(F.sum("_n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    return numbered(df.join(base, by), [by], F.shiftright("pos", 16), "pos", "id").withColumn("place", F.col("_base") + F.col("k") + 1).drop("k", "_base")

@@ -259,6 +259,13 @@ def split_tokens(spark, d):
     return view(spark, d, "preds").select("id", F.size(F.filter(F.split(F.concat("ref", F.lit(",,"), "alt", F.lit(",")), ","), lambda x: x != "")).alias("n"))
 
 
+@q("q_contig_name_order", ctes("preds", "contigs") + " SELECT id, name, pos, row_number() OVER (ORDER BY name, pos, id) AS place FROM preds JOIN contigs ON contig = ord")
+def contig_name_order(spark, d):
+    """Contig names as text, then the position."""
+    df = view(spark, d, "preds").join(view(spark, d, "contigs"), F.col("contig") == F.col("ord"))
+    return C.placed(df, "name").select("id", "name", "pos", "place")
+
+
 @q("q_contig_order", ctes("preds", "contigs") + " SELECT id, name, pos, row_number() OVER (ORDER BY ord, pos, id) AS place FROM preds JOIN contigs ON contig = ord")
 def contig_order(spark, d):
     """Contig ordinals, then the position; places are numbered contig by contig."""

@@ -73,11 +73,30 @@ def msa_consensus(spark, d):
     return C.consensus(view(spark, d, "bases")).withColumn("af", F.round("af", 4))
 
 
-@q("q_msa_consensus_whole")
+@q("q_msa_consensus_whole", q.sql["q_msa_consensus"])
 def msa_consensus_whole(spark, d):
     return msa_consensus(spark, d)
 
 
+@q("q_msa_consensus_region", ctes("bases") + """, n AS (SELECT contig, pos // 4 AS region, pos, refcode, code, count(*) AS n FROM bases GROUP BY ALL),
+x AS (SELECT contig, region, pos, max((n, code)) FILTER (code <> refcode) AS best, coalesce(sum(n) FILTER (code = refcode), 0)::BIGINT AS ro FROM n GROUP BY contig, region, pos, refcode),
+y AS (SELECT contig, region, pos, best[2] AS code, best[1] AS ao, ro, best[1] / (best[1] + ro + 0.0001) AS af FROM x WHERE best IS NOT NULL)
+SELECT contig, CAST(region AS INT) AS region, pos, code, ao, ro, round(af, 4)::DOUBLE AS af FROM (SELECT *, max(af) OVER (PARTITION BY contig, region) AS top FROM y) WHERE af > 0.6 * top AND af > 0.7""")
+def msa_consensus_region(spark, d):
+    """A18 region by region, with the least fraction of an SNP."""
+    bases = view(spark, d, "bases").withColumn("region", F.expr("cast(pos div 4 as int)"))
+    return C.consensus(bases, keys=("contig", "region"), min_af=0.7).withColumn("af", F.round("af", 4))
+
+
+@q("q_modal_insertions", ctes("reads") + """, n AS (SELECT contig, s // 50 AS region, CAST(s + l_quantity AS INT) AS pos, l_linenumber AS len, count(*) AS n FROM reads GROUP BY ALL),
+t AS (SELECT *, first_value(pos) OVER w AS top_pos, first_value(n) OVER w AS top FROM n WINDOW w AS (PARTITION BY contig, region ORDER BY n DESC, pos, len))
+SELECT contig, CAST(region AS BIGINT) AS region, pos, len, n FROM t WHERE 2 * n > top AND NOT (abs(pos - top_pos) BETWEEN 1 AND 3)""")
+def modal_insertions(spark, d):
+    """A region's frequent insertions, without those one to three bases beside the most frequent one."""
+    ins = view(spark, d, "reads").selectExpr("contig", "s div 50 as region", "cast(s + l_quantity as int) as pos", "l_linenumber as len")
+    return C.modal_insertions(ins, ["contig", "region"], "len")
+
+
 @q("q_nearest_annot", PT + f" SELECT p.id AS id, t.id AS match_id, abs(p.pos-t.pos) AS distance FROM preds p JOIN truth t ON {NEAR} QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY NOT (p.pos = t.pos AND p.ref = t.ref AND p.alt = t.alt), {KIND.format('p.')} <> {KIND.format('t.')}, abs(p.pos-t.pos), abs(length(p.ref)-length(p.alt)-length(t.ref)+length(t.alt)), t.id) = 1")
 def nearest_annot(spark, d):
     return C.nearest(view(spark, d, "preds"), view(spark, d, "truth"))
@@ -151,6 +170,12 @@ def confusion_f1(spark, d):
     return C.confusion(view(spark, d, "cls"), "actual", "predicted")
 
 
+@q("q_accuracy", ctes("cls") + " SELECT count(*) AS n, count(*) FILTER (actual = predicted) AS hits, CASE WHEN count(*) > 0 THEN round(count(*) FILTER (actual = predicted) / count(*), 4) ELSE 0 END::DOUBLE AS accuracy FROM cls WHERE actual IS NOT NULL AND predicted IS NOT NULL")
+def accuracy(spark, d):
+    """The overall share of right labels."""
+    return C.accuracy(view(spark, d, "cls"), "actual", "predicted")
+
+
 @q("q_none_rotation", P + " SELECT id FROM preds WHERE prob >= 0.4 OR id % 5 = 2")
 def none_rotation(spark, d):
     return C.rotating_sample(view(spark, d, "preds"), F.col("prob") < 0.4, 5, 7).select("id")

@@ -136,7 +136,7 @@ def read_to_columns(spark, d):
     return column_counts(view(spark, d, "reads"))
 
 
-@q("q_read_to_columns_whole")
+@q("q_read_to_columns_whole", q.sql["q_read_to_columns"])
 def read_to_columns_whole(spark, d):
     return read_to_columns(spark, d)
 

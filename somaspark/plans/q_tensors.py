@@ -140,7 +140,7 @@ def ref_onehot(spark, d):
     return view(spark, d, "refseq").select("contig", "start", F.array_join(F.transform(T.one_hot(codes, depth), lambda v: v.cast("string")), ",").alias("y"))
 
 
-@q("q_ref_onehot_whole")
+@q("q_ref_onehot_whole", q.sql["q_ref_onehot"])
 def ref_onehot_whole(spark, d):
     return ref_onehot(spark, d)
 
