@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from somaspark.functions.variants import common_prefix, variant_type
-from somaspark.operators.intervals import islands, range_join
-from somaspark.operators.stretches import kept
+from somaspark.operators.intervals import STRETCH, islands, range_join
+from somaspark.operators.stretches import kept, numbered
 
 
 def spanned(df: DataFrame) -> DataFrame:
@@ -24,26 +24,54 @@ def cluster_calls(calls: DataFrame, gap: int = 5) -> DataFrame:
     return islands(spanned(calls), gap).withColumnRenamed("island", "cluster")
 
 
-def cluster_calls_exact(calls: DataFrame, gap: int = 5) -> DataFrame:
-    """W2 by the order-dependent rule: a call joins if abs(min(ends) - max(starts)) <= gap for any
-    member, so a long overlap can keep two calls apart. Works inside the plain clusters, which hold
-    every chain of such steps; those are what one task sees."""
-
-    def split(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["s", "e", "id"])
-        groups: list[list[tuple[int, int]]] = []
-        out = []
-        for s, e in zip(part["s"], part["e"], strict=True):
-            hit = next((i for i in range(len(groups) - 1, -1, -1) if any(abs(min(e, b) - max(s, a)) <= gap for a, b in groups[i])), None)
-            if hit is None:
-                groups.append([])
-                hit = len(groups) - 1
-            groups[hit].append((s, e))
-            out.append(hit)
-        return part.assign(part=out)[["id", "contig", "cluster", "part"]]
-
-    df = cluster_calls(calls, gap).select("id", "contig", "cluster", "s", "e")
-    return df.groupBy("contig", "cluster").applyInPandas(split, "id long, contig int, cluster long, part int")
+def cluster_calls_exact(calls: DataFrame, gap: int = 5, size: int = STRETCH) -> DataFrame:
+    """W2 by the order-dependent rule: id, contig, cluster, part. In the order of start, end and id a call
+    joins the part opened last of those with a call that fits it, abs(min(ends) - max(starts)) <= gap,
+    so a long overlap can keep two calls apart; one that fits none opens a part. Parts are numbered in
+    this order within the plain cluster.
+
+    A call's part is therefore the last opened one of all openers that chains of fitting calls lead back
+    to. Each stretch of a contig follows its own chains; calls of earlier stretches that may fit
+    (guests) stay names until the table of guests is resolved, by steps of doubled length."""
+    shift = size.bit_length() - 1
+    df = kept(cluster_calls(calls, gap).select("id", "contig", "cluster", "s", "e"))
+    here, there = F.shiftright("s", shift), F.shiftright(F.col("e") + gap, shift)
+    own = df.select("contig", here.alias("stretch"), "id", "s", "e", F.lit(False).alias("guest"))
+    guests = df.where(there > here).select("contig", F.explode(F.sequence(here + 1, there)).alias("stretch"), "id", "s", "e", F.lit(True).alias("guest"))
+    kinds = dict(df.dtypes)
+    best = f"struct<s:{kinds['s']},e:{kinds['e']},id:{kinds['id']}>"
+
+    def follow(part: pd.DataFrame) -> pd.DataFrame:
+        out, active = [], []  # active: (s, e, opener, guests) of the calls that can still fit
+        for s, e, i, guest in part.sort_values(["s", "e", "id"])[["s", "e", "id", "guest"]].itertuples(index=False):
+            if guest:
+                active.append((s, e, None, frozenset([i])))
+                continue
+            active = [m for m in active if m[1] >= s - gap]
+            fits = [m for m in active if abs(min(e, m[1]) - s) <= gap]
+            opener = max((m[2] for m in fits if m[2]), default=None)
+            names = frozenset().union(*(m[3] for m in fits))
+            if not fits:
+                opener = (s, e, i)
+            active.append((s, e, opener, names))
+            out.append((part["contig"].iloc[0], i, opener and dict(zip(("s", "e", "id"), map(int, opener))), sorted(map(int, names))))
+        return pd.DataFrame(out, columns=["contig", "id", "best", "names"])
+
+    found = kept(own.unionByName(guests).groupBy("contig", "stretch").applyInPandas(follow, f"contig {kinds['contig']}, id {kinds['id']}, best {best}, names array<{kinds['id']}>"))
+    asked = found.select("contig", F.explode("names").alias("id")).distinct()
+    known = kept(found.join(asked, ["contig", "id"]))
+    while not known.where(F.size("names") > 0).isEmpty():
+        at = known.select("contig", F.col("id").alias("name"), F.col("best").alias("b"), F.col("names").alias("more"))
+        step = known.select("contig", "id", F.explode("names").alias("name")).join(at, ["contig", "name"])
+        step = step.groupBy("contig", "id").agg(F.max("b").alias("b"), F.array_distinct(F.flatten(F.collect_list("more"))).alias("more"))
+        known = kept(known.join(step, ["contig", "id"], "left").select("contig", "id", F.greatest("best", "b").alias("best"), F.coalesce("more", F.array().cast(f"array<{kinds['id']}>")).alias("names")))
+    lead = found.select("contig", "id", F.explode("names").alias("name")).join(known.select("contig", F.col("id").alias("name"), F.col("best").alias("b")), ["contig", "name"]).groupBy("contig", "id").agg(F.max("b").alias("b"))
+    opener = found.join(lead, ["contig", "id"], "left").select("contig", "id", F.greatest("best", "b")["id"].alias("opener"))
+    labelled = kept(df.join(opener, ["contig", "id"]))
+    opened = numbered(labelled.where(F.col("id") == F.col("opener")).select("contig", "cluster", "id", "s", "e"), ["contig"], F.shiftright("s", shift), "s", "e", "id")
+    first = opened.groupBy("contig", "cluster").agg(F.min("k").alias("k0"))
+    parts = opened.join(first, ["contig", "cluster"]).select("contig", F.col("id").alias("opener"), (F.col("k") - F.col("k0")).cast("int").alias("part"))
+    return labelled.join(parts, ["contig", "opener"]).select("id", "contig", "cluster", "part")
 
 
 def cluster_routes(clustered: DataFrame, min_len: int = 4) -> DataFrame:

@@ -108,7 +108,8 @@ def islands(df: DataFrame, gap: int = 0, by: tuple[str, ...] = ("contig",), size
     reach = F.greatest(F.max("e").over(w), F.col("_reach"))
     df = df.withColumn("_new", F.when(reach.isNull() | (F.col("s") > reach + gap), 1).otherwise(0)).drop("_reach")
     df = carried(df, keys, stretch, before={"_n": (F.sum, "_new")})
-    number = F.sum("_new").over(up_to(inside(keys, "s", "e"))) + F.coalesce("_n", F.lit(0))
+    ties = inside(keys, "s", "e").rangeBetween(Window.unboundedPreceding, Window.currentRow)  # equal rows get one number
+    number = F.sum("_new").over(ties) + F.coalesce("_n", F.lit(0))
     return df.withColumn("island", number).drop("_new", "_n", "stretch")
 
 

@@ -27,7 +27,11 @@ def cluster_calls(spark, d):
     return C.cluster_calls(view(spark, d, "preds")).select("id", "contig", "cluster")
 
 
-@q("q_cluster_exact")
+@q("q_cluster_exact", CL.format(k=5).replace("WITH ", "WITH RECURSIVE ", 1) + """, x AS (SELECT id, contig, cluster, s, e FROM cl),
+ed AS (SELECT c.id AS c, m.id AS m FROM x AS c JOIN x AS m ON c.contig = m.contig AND (m.s, m.e, m.id) < (c.s, c.e, c.id) AND abs(least(c.e, m.e) - greatest(c.s, m.s)) <= 5),
+r(id, f) AS (SELECT id, id FROM x WHERE id NOT IN (SELECT c FROM ed) UNION SELECT ed.c, r.f FROM r JOIN ed ON ed.m = r.id),
+l AS (SELECT r.id, max((x.s, x.e, x.id)) AS opener FROM r JOIN x ON x.id = r.f GROUP BY r.id)
+SELECT id, contig, cluster, CAST(dense_rank() OVER (PARTITION BY contig, cluster ORDER BY opener) - 1 AS INT) AS part FROM x JOIN l USING (id)""")
 def cluster_exact(spark, d):
     return C.cluster_calls_exact(view(spark, d, "preds"))
 

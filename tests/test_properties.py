@@ -146,6 +146,39 @@ def test_exact_clusters_keep_long_overlaps_apart(spark):
     assert {r.id: r.part for r in calls.cluster_calls_exact(v).collect()} == {1: 0, 2: 1, 3: 0}
 
 
+def plain_parts(rows, gap):
+    """(contig, part's opener) by id, one call after the other."""
+    parts, out = {}, {}
+    for i, c, s, e in sorted(rows, key=lambda r: (r[1], r[2], r[3], r[0])):
+        mine = parts.setdefault(c, [])
+        hit = next((p for p in reversed(mine) if any(abs(min(e, b) - max(s, a)) <= gap for _, a, b in p)), None)
+        if hit is None:
+            mine.append(hit := [])
+        hit.append((i, s, e))
+        out[i] = hit[0][0]
+    return out
+
+
+def test_exact_clusters_across_stretches(spark):
+    """Chains of calls that run over many stretches, long deletions over several, ties and a lone call."""
+    r = random.Random(8)
+    rows = [(i, r.randrange(2), s, s + r.choice([1, 1, 1, 2, 6, 12, 40, 90])) for i in range(500) for s in [r.randrange(1500)]]
+    rows += [(1000 + i, 2, 3 * i, 3 * i + 1) for i in range(200)] + [(2000, 3, 5, 6), (2001, 4, 7, 8), (2002, 4, 7, 8)]
+    v = frame(spark, [(i, c, s, "A" * (e - s), "C") for i, c, s, e in rows], "id long, contig int, pos int, ref string, alt string")
+    want = plain_parts(rows, 5)
+    for size in (1 << 16, 1 << 5):
+        got = calls.cluster_calls_exact(v, size=size).collect()
+        parts = {}
+        for x in got:
+            parts.setdefault((x.contig, x.cluster, x.part), set()).add(want[x.id])
+        assert len(got) == len(rows) and all(len(p) == 1 for p in parts.values()) and len(parts) == len(set(want.values()))
+        at = {i: (c, s, e, i) for i, c, s, e in rows}
+        for c, cluster in {(x.contig, x.cluster) for x in got}:
+            opened = [next(iter(parts[k])) for k in sorted(k for k in parts if k[:2] == (c, cluster))]
+            assert [k[2] for k in sorted(k for k in parts if k[:2] == (c, cluster))] == list(range(len(opened))) and opened == sorted(opened, key=at.get)
+    assert calls.cluster_calls_exact(v.where("id < 0")).collect() == []
+
+
 def test_tensor_helpers(spark):
     df = frame(spark, [([1.0, 5.0, 3.0],)], "x array<double>")
     r = df.select(tensors.softmax(F.col("x")), tensors.centred(F.col("x"), 6), tensors.resized(F.col("x"), 5), tensors.normalised(F.col("x")), tensors.argmax(F.col("x"))).first()
