@@ -2,12 +2,12 @@
 
 A CIGAR is an array of (op, len); places in the read and on the reference are prefix sums of its
 lengths, so that cutting, joining and merging are array expressions whose work grows with the
-array. MD tags and CIGARs meet by an as-of lookup on the places where their runs begin.
+array. MD tags and CIGARs meet in the joint order of the places where their runs begin.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cigar import ON_REFERENCE, let, parsed, rendered, starts
@@ -44,16 +44,23 @@ def md_snvs(reads: DataFrame, key: list[str]) -> DataFrame:
     subs = F.filter(F.zip_with("tokens", spots, lambda t, at: F.struct(at.alias("at"), F.lit(1).alias("side"), t["bases"].alias("ref"), t["kind"].alias("kind"))), lambda t: t["kind"] == "s")
     runs = F.zip_with(F.zip_with("ops", starts(lens(F.col("ops"), ON_REFERENCE)), lambda x, r: F.struct(x["op"].alias("op"), x["len"].alias("len"), r.alias("r"))), starts(lens(F.col("ops"), IN_READ)), lambda x, q: F.struct(x["r"].alias("at"), F.lit(0).alias("side"), x["op"].alias("op"), x["len"].alias("len"), q.alias("q")))
     runs = F.filter(runs, lambda x: x["op"].isin(*ALIGNED))
-    # both codes' break points in one order: a substitution is in the run that begins last before it
-    both = F.concat(
+    # both codes' break points in one order, gone through once: a substitution is in the run that began last
+    run, spot = "struct<at:int,len:int,q:int>", "struct<at:int,ref:string,q:int>"
+    both = F.sort_array(F.concat(
         F.transform(runs, lambda x: F.struct(x["at"].alias("at"), x["side"].alias("side"), F.lit(None).cast("string").alias("ref"), F.struct(x["at"].alias("at"), x["len"].alias("len"), x["q"].alias("q")).alias("run"))),
-        F.transform(subs, lambda t: F.struct(t["at"].alias("at"), t["side"].alias("side"), t["ref"].alias("ref"), F.lit(None).cast("struct<at:int,len:int,q:int>").alias("run"))),
-    )
-    some = df.where(F.size(subs) > 0).select(*key, "contig", "s", "seq", "quals", F.posexplode(both).alias("i", "x"))
-    order = Window.partitionBy(*key).orderBy("x.at", "x.side").rowsBetween(Window.unboundedPreceding, 0)
-    met = some.withColumn("run", F.last("x.run", ignorenulls=True).over(order)).where((F.col("x.side") == 1) & (F.col("x.at") < F.col("run.at") + F.col("run.len")))
-    place = F.col("run.q") + F.col("x.at") - F.col("run.at") + 1
-    met = met.select(*key, "contig", (F.col("s") + F.col("x.at")).cast("int").alias("pos"), F.col("x.ref").alias("ref"), F.substr("seq", place, F.lit(1)).alias("alt"), (F.ascii(F.substr("quals", place, F.lit(1))) - 33).alias("qual"))
+        F.transform(subs, lambda t: F.struct(t["at"].alias("at"), t["side"].alias("side"), t["ref"].alias("ref"), F.lit(None).cast(run).alias("run"))),
+    ))
+    start = F.struct(F.lit(None).cast(run).alias("run"), F.array().cast(f"array<{spot}>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        into = x["at"] - acc["run"]["at"]
+        found = F.array(F.struct(x["at"].alias("at"), x["ref"].alias("ref"), (acc["run"]["q"] + into).alias("q")))
+        out = F.when((x["side"] == 1) & F.coalesce(into < acc["run"]["len"], F.lit(False)), F.concat(acc["out"], found)).otherwise(acc["out"])
+        return F.struct(F.when(x["side"] == 0, x["run"]).otherwise(acc["run"]).alias("run"), out.alias("out")).cast(f"struct<run:{run},out:array<{spot}>>")
+
+    some = df.where(F.exists("tokens", lambda t: t["kind"] == "s")).select(*key, "contig", "s", "seq", "quals", F.explode_outer(F.aggregate(both, start, step, lambda acc: acc["out"])).alias("x")).where("x is not null")  # a plain explode would have the array made three times
+    at = F.col("x.q") + 1
+    met = some.select(*key, "contig", (F.col("s") + F.col("x.at")).cast("int").alias("pos"), F.col("x.ref").alias("ref"), F.substr("seq", at, F.lit(1)).alias("alt"), (F.ascii(F.substr("quals", at, F.lit(1))) - 33).alias("qual"))
     return met.where("alt <> ''")
 
 
