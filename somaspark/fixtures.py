@@ -24,6 +24,21 @@ from (select o_orderkey as k, cast(o_orderkey%22 as int) as contig, cast(1+o_ord
   cast(o_orderkey%1000 as double)/1000.0 as prob from {{orders}} where o_orderkey%3={r}) t"""
 
 
+def _sparse(records: str) -> str:
+    """A query over spaced of records, each: kind, offset in the chunk (from 1), REF, ALT."""
+    parts = []
+    for n, r in enumerate(records.split(";")):
+        kind, at, ref_alt = r.strip().split(", ", 2)
+        depth, cut = 0, 0
+        for i, c in enumerate(ref_alt):  # the comma between REF and ALT
+            depth += (c == "(") - (c == ")")
+            if c == "," and depth == 0:
+                cut = i
+                break
+        parts.append(f"select cast(k as bigint)*16+{n} as id, contig, cast(start+{at} as int) as pos, {ref_alt[:cut]} as ref, {ref_alt[cut + 2 :]} as alt from {{spaced}} where kind={kind}")
+    return " union all ".join(parts)
+
+
 TEXT = {
     "preds": _variants(0),
     "truth": _variants(1) + " union all select id+1000000000 as id, contig, pos, ref, alt, prob from {preds} where id%7=0",
@@ -66,6 +81,23 @@ from (select k, cast(k%22 as int) as contig, cast(64*floor(k/22) as int) as star
 from (select o_orderkey as k from {orders}) t) t""",
     "spots": """select k as id, cast(k%22 as int) as contig, cast(64*floor(k/22)+k%53 as int) as s, cast(64*floor(k/22)+k%53+2+k%19 as int) as e
 from (select o_orderkey as k from {orders}) t""",
+    # calls and truths a chunk apart, ten kinds: one for each rule of labelling that a record can reach
+    "spaced": """select k, contig, start, seq, cast(k%10 as int) as kind, 2+cast(k%4 as int) as u, translate(seq, 'ACGT', 'CGTA') as other
+from (select contig, start, seq, cast(floor(start/64) as int)*22+contig as k from {genome}) t""",
+    "sparse_truth": _sparse("""
+0, 30, substring(seq,30,1), substring(other,30,1); 1, 10, substring(seq,10,1+u), substring(seq,10,1);
+2, 20, substring(seq,20,3), concat(substring(other,20,1), substring(seq,21,1), substring(other,22,1));
+3, 10, substring(seq,10,1), substring(seq,10,1+u); 4, 20, substring(seq,20,1), substring(other,20,1); 4, 21, substring(seq,21,1), substring(other,21,1);
+5, 30, substring(seq,30,4), substring(seq,30,1); 6, 30, substring(seq,30,1), concat(substring(seq,30,1), substring(other,31,1));
+7, 30, substring(seq,30,1), concat(substring(seq,30,1), substring(other,31,1)); 8, 30, substring(seq,30,1), substring(other,30,1);
+9, 50, substring(seq,50,1), substring(other,50,1)"""),
+    "sparse_calls": _sparse("""
+0, 30, substring(seq,30,1), substring(other,30,1); 1, 10+u, substring(seq,10+u,1+u), substring(seq,10+u,1);
+2, 20, substring(seq,20,1), substring(other,20,1); 2, 22, substring(seq,22,1), substring(other,22,1);
+3, 10+u, substring(seq,10+u,1), concat(substring(seq,10+u,1), substring(seq,11,u)); 4, 20, substring(seq,20,2), substring(other,20,2);
+5, 32, substring(seq,32,1), substring(other,32,1); 6, 31, substring(seq,31,1), translate(substring(other,31,1), 'ACGT', 'CGTA');
+7, 31, substring(seq,31,1), concat(substring(seq,31,1), substring(other,32,1), substring(other,32,1)); 8, 31, substring(seq,31,2), substring(seq,31,1);
+8, 34, substring(seq,34,1), concat(substring(seq,34,1), substring(other,35,1)); 9, 30, substring(seq,30,1), substring(other,30,1)"""),
     "ann": """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_extendedprice/1000.0 as depth,
 l_quantity*1.6 as mq, l_discount*500 as bq, (l_tax-0.04)*5000 as nm_diff, l_discount*12 as flag, (l_quantity-25)*1.5 as rank_z from {lineitem}""",
 }

@@ -210,101 +210,102 @@ def _shifts(pos: int, ref: str, alt: str, lo: int, hi: int, base: dict[int, str]
     return first, last
 
 
-def _merged(run: list[tuple]) -> tuple[list[tuple[int, str, str]], int, int] | None:
-    """The edits of variants in order (pos, ref, alt), their begin and end; None where they overlap.
-    An indel may begin with the last base of the variant before it."""
-    edits, end = [], None
-    for pos, ref, alt in run:
-        if len(run) > 1 and "," in alt or end is not None and pos < end - (len(ref) != len(alt)):
-            return None
-        edits.append((pos, ref, alt) if end is None or pos >= end else (end, ref[1:], alt[1:]))
-        end = pos + len(ref)
-    return edits, run[0][0], end
-
-
-def _haplotype(edits: list[tuple[int, str, str]], lo: int, hi: int, base: dict[int, str], other: dict[int, str]) -> tuple[str, str] | None:
-    """Reference and changed bases of [lo, hi); bases between the edits from base, else from the REF
-    alleles of the other side; None where neither has one."""
-    ref, alt, at = [], [], lo
-    for pos, r, a in [*edits, (hi, "", "")]:
-        gap = [base.get(p, other.get(p)) for p in range(at, pos)]
-        if None in gap:
-            return None
-        ref += [*gap, r]
-        alt += [*gap, a]
-        at = pos + len(r)
-    return "".join(ref), "".join(alt)
-
-
-def equivalent(left: list[tuple], right: list[tuple], base: dict[int, str]) -> bool:
-    """Whether two runs of variants turn the reference into the same sequence."""
-    a, b = _merged(left), _merged(right)
-    if not a or not b or any("," in v[2] for v in (*left, *right)):
-        return False
-    refs = [{p + i: x for p, r, _ in edits for i, x in enumerate(r)} for edits in (a[0], b[0])]
-    lo, hi = min(a[1], b[1]), max(a[2], b[2])
-    h = _haplotype(a[0], lo, hi, base, refs[1])
-    return h is not None and h == _haplotype(b[0], lo, hi, base, refs[0])
-
-
-def _explained(js_of: dict[int, list], truths_of: dict[int, list], var: dict, truth: dict, order: list[int], base: dict[int, str]) -> set[int]:
-    """L2 of one island: the calls that, merged over consecutive runs, equal a run of truths."""
-    grown = lambda v: len(v[2]) - len(v[1])
-    done: set[int] = set()
-
-    def runs(ids: list[int], of: dict) -> Iterator[tuple[list[int], list[tuple], int]]:
-        for i in range(len(ids)):
-            for n in range(i, len(ids)):
-                part = [of[k] for k in ids[i : n + 1]]
-                if not _merged(part):
-                    break  # a longer run overlaps as well
-                yield ids[i : n + 1], part, sum(map(grown, part))
-
-    for t in order:
-        js = js_of[t]
-        if done & set(js):
-            continue
-        here: set[int] = set()
-        tried = list(runs(js, var))
-        for _, want, growth in runs(sorted({i for j in js for i in truths_of[j]}, key=lambda i: (truth[i][0], i)), truth):
-            for ids, got, g in tried:
-                if g == growth and not here & set(ids) and equivalent(want, got, base):
-                    here |= set(ids)
-            if here >= set(js):
-                break
-        done |= here
-    return done
+def hull_bases(hulls: DataFrame, reference: DataFrame, alleles: Column) -> DataFrame:
+    """hulls (contig, s, e and more) with seq, the bases [s, e) of the reference (contig, 0-based start,
+    seq). Places it lacks take their base from alleles, an array of (pos, ref), or else N."""
+    chunks = reference.select("contig", (F.col("start") + 1).alias("s"), (F.col("start") + 1 + F.length("seq")).alias("e"), "seq")
+    keys = hulls.columns
+    df = range_join(hulls.withColumn("alleles", alleles), chunks, strategy="auto")
+    parts = df.groupBy("hull").agg(F.array_sort(F.collect_set(F.struct(F.col("r_s").alias("at"), F.col("r_seq").alias("seq")))).alias("parts"))
+    df = hulls.withColumn("alleles", alleles).join(parts, "hull", "left")
+    end = F.col("s") + F.length("seq")
+
+    def put(acc: Column, x: Column) -> Column:
+        at = F.col("s") + F.length(acc)
+        gap = F.rpad(F.lit(""), F.greatest(x["at"] - at, F.lit(0)), F.lit("N"))
+        return F.concat(acc, gap, F.substr(x["seq"], F.greatest(at - x["at"], F.lit(0)) + 1, F.greatest(F.least(x["at"] + F.length(x["seq"]), F.col("e")) - F.greatest(at, x["at"]), F.lit(0))))
+
+    df = df.withColumn("seq", F.aggregate(F.coalesce("parts", F.array().cast("array<struct<at: int, seq: string>>")), F.lit(""), put))
+    df = df.withColumn("seq", F.rpad("seq", F.col("e") - F.col("s"), F.lit("N")))
+
+    def filled(p: Column) -> Column:
+        own = F.substr(F.col("seq"), p - F.col("s") + 1, F.lit(1))
+        known = F.filter("alleles", lambda x: (x["pos"] <= p) & (p < x["pos"] + F.length(x["ref"])))
+        return F.when(own != "N", own).otherwise(F.coalesce(F.get(F.transform(known, lambda x: F.substr(x["ref"], p - x["pos"] + 1, F.lit(1))), F.lit(0)), F.lit("N")))
+
+    holes = F.contains("seq", F.lit("N"))
+    return df.select(*keys, F.when(holes, F.array_join(F.transform(F.sequence(F.col("s"), F.col("e") - 1), filled), "")).otherwise(F.col("seq")).alias("seq"))
+
+
+def haplotype(edits: Column, s: Column, seq: Column) -> Column:
+    """The sequence that edits (an array of (pos, ref, alt) in order, none overlapping another) make of
+    seq, the reference from s on. An indel may begin with the last base of the edit before it."""
+    start = F.struct(s.cast("int").alias("at"), F.lit("").alias("seq"))
+
+    def put(acc: Column, x: Column) -> Column:
+        shared = x["pos"] < acc["at"]
+        made = F.concat(acc["seq"], F.substr(seq, acc["at"] - s + 1, F.greatest(x["pos"] - acc["at"], F.lit(0))), F.when(shared, F.substr(x["alt"], F.lit(2))).otherwise(x["alt"]))
+        return F.struct((x["pos"] + F.length(x["ref"])).cast("int").alias("at"), made.alias("seq"))
+
+    return F.aggregate(edits, start, put, lambda acc: F.concat(acc["seq"], F.substr(seq, acc["at"] - s + 1)))
+
+
+def variant_runs(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, s, seq, run (array of (pos, vid, ref, alt)): all runs of variants that follow each other
+    within equal ``by`` in the order of pos and vid without overlapping. Rows: by, vid, pos, ref, alt,
+    and s and seq, the reference around them; several alternatives, and a REF that is not the
+    reference's, end a run and take no part in one.
+
+    A run's variants share no base but one, so a stretch of them is no longer than its hull."""
+    w = Window.partitionBy(*by).orderBy("pos", "vid")
+    bad = F.contains("alt", F.lit(",")) | (F.substr(F.col("seq"), F.col("pos") - F.col("s") + 1, F.length("ref")) != F.col("ref"))
+    ends = F.col("pos") + F.length("ref")
+    rows = rows.withColumn("bad", bad).withColumns({"before": F.lag(ends).over(w), "bad0": F.lag("bad").over(w)})
+    apart = F.col("before").isNull() | F.col("bad") | F.col("bad0") | (F.col("pos") < F.col("before") - (F.length("ref") != F.length("alt")).cast("int"))
+    rows = rows.withColumn("stretch", F.count_if(apart).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("not bad")
+    df = rows.groupBy(*by, "stretch").agg(F.first("s").alias("s"), F.first("seq").alias("seq"), F.array_sort(F.collect_list(F.struct("pos", "vid", "ref", "alt"))).alias("all"))
+    df = df.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("all")))).withColumn("n", F.explode(F.sequence(F.lit(1), F.size("all") - F.col("i") + 1)))
+    return df.select(*by, "s", "seq", F.slice("all", F.col("i"), F.col("n")).alias("run"))
 
 
 def merged_matches(edges: DataFrame, good: DataFrame, reference: DataFrame) -> DataFrame:
     """L2: ids of the calls that, merged with their neighbours, equal a run of truths; only truths
     without a call in good are tried, in order of their first call. edges has every pair.
 
-    One task sees an island: the hulls of such truths and their calls that overlap. Every connected
-    component of the edges lies within one."""
+    Around such a truth the hull of its calls and of their truths is cut from the reference. Every run
+    of calls and every run of truths in it becomes the sequence it makes of the hull: over one hull,
+    runs that are written differently but mean the same give the same text, so that they meet by an
+    equi-join of (hull, text). A call counts for the first run that holds it and is disjoint from those
+    taken before. A truth one of whose calls an earlier truth has explained is passed over."""
     near = edges.join(good.select("id", F.lit(1).alias("hit")), "id", "left").withColumn("open", F.max("hit").over(Window.partitionBy("r_id")).isNull())
-    hulls = near.where("open").groupBy("r_id", "contig").agg(F.least(F.min("s"), F.min("r_s")).alias("s"), F.greatest(F.max("e"), F.max("r_e")).alias("e"))
-    hulls = islands(hulls).withColumnRenamed("s", "hs").withColumnRenamed("e", "he")
-    span = hulls.groupBy("contig", "island").agg(F.min("hs").alias("s"), F.max("he").alias("e"))
-    calls = near.where("open").select("id", "r_id").join(hulls.select("r_id", "island"), "r_id").select("id", "island").distinct()
-    rows = near.join(calls, "id").select("contig", "island", "id", "pos", "ref", "alt", "r_id", "r_pos", "r_ref", "r_alt", "open")
-    chunks = reference.select("contig", (F.col("start") + 1).alias("s"), (F.col("start") + 1 + F.length("seq")).alias("e"), "seq")
-    chunks = range_join(span, chunks).select("contig", "island", "r_s", "r_seq").toDF("c", "i", "at", "seq")
-
-    def solve(part: pd.DataFrame, seqs: pd.DataFrame) -> pd.DataFrame:
-        base = {at + i: x for at, seq in zip(seqs["at"], seqs["seq"], strict=True) for i, x in enumerate(seq)}
-        var, truth, js_of, truths_of, order = {}, {}, {}, {}, []
-        part = part.sort_values(["pos", "id", "r_pos", "r_id"])
-        for j, pos, ref, alt, i, r_pos, r_ref, r_alt, is_open in part[["id", "pos", "ref", "alt", "r_id", "r_pos", "r_ref", "r_alt", "open"]].itertuples(index=False, name=None):
-            var[j], truth[i] = (pos, ref, alt), (r_pos, r_ref, r_alt)
-            truths_of.setdefault(j, []).append(i)
-            if is_open:
-                if i not in js_of:
-                    order.append(i)
-                js_of.setdefault(i, []).append(j)
-        return pd.DataFrame({"id": sorted(_explained(js_of, truths_of, var, truth, order, base))}, dtype="int64")
-
-    return rows.groupBy("contig", "island").cogroup(chunks.groupBy("c", "i")).applyInPandas(solve, "id long")
+    own = kept(near.where("open").select(F.col("r_id").alias("hull"), "contig", F.lit(0).alias("side"), F.col("id").alias("vid"), "pos", "ref", "alt", F.col("r_pos").alias("t_pos")))
+    others = own.select("hull", F.col("vid").alias("id")).join(edges, "id").select("hull", "contig", F.lit(1).alias("side"), F.col("r_id").alias("vid"), F.col("r_pos").alias("pos"), F.col("r_ref").alias("ref"), F.col("r_alt").alias("alt")).distinct()
+    rows = kept(own.drop("t_pos").unionByName(others))
+    hulls = rows.groupBy("hull", "contig").agg(F.min("pos").alias("s"), F.max(F.col("pos") + F.length("ref")).alias("e"), F.array_sort(F.collect_set(F.struct("pos", "ref"))).alias("known"))
+    seqs = hull_bases(hulls, reference, F.col("known")).select("hull", "s", "seq")
+    runs = variant_runs(rows.join(seqs, "hull"), ["hull", "side"])
+    runs = kept(runs.select("hull", "side", haplotype(F.col("run"), F.col("s"), F.col("seq")).alias("made"), F.struct(F.col("run")[0]["pos"].alias("pos"), F.col("run")[0]["vid"].alias("vid"), F.size("run").alias("n")).alias("key"), F.col("run.vid").alias("ids")))
+    truths = runs.where("side = 1").groupBy("hull", "made").agg(F.min("key").alias("t_key"))
+    found = runs.where("side = 0").join(truths, ["hull", "made"]).select("hull", F.struct("t_key", "key", "ids").alias("m"))
+    taken = F.aggregate(F.array_sort(F.collect_list("m")), F.array().cast("array<bigint>"), lambda acc, m: F.when(F.arrays_overlap(acc, m["ids"]), acc).otherwise(F.concat(acc, m["ids"])))
+    here = found.groupBy("hull").agg(taken.alias("ids"))
+    order = own.groupBy("hull").agg(F.struct(F.min(F.struct("pos", "vid")).alias("call"), F.first("t_pos").alias("pos"), F.col("hull").alias("id")).alias("turn"))
+    here = kept(here.join(order, "hull"))
+
+    # a truth is passed over if one before it, itself not passed over, explains one of its calls
+    by_call = here.select(F.explode("ids").alias("vid"), F.col("hull").alias("by"), F.col("turn").alias("by_turn"))
+    stops = own.join(here.select("hull", "turn"), "hull").join(by_call, "vid").where("by_turn < turn").select("by", "hull").distinct()
+    left, taken = here.select("hull"), []
+    stops = kept(stops)
+    while not stops.isEmpty():
+        free = kept(left.join(stops, "hull", "left_anti"))
+        over = stops.join(free.select(F.col("hull").alias("by")), "by", "left_semi").select("hull").distinct()
+        left = kept(left.join(free, "hull", "left_anti").join(over, "hull", "left_anti"))
+        stops = kept(stops.join(left, "hull", "left_semi").join(left.select(F.col("hull").alias("by")), "by", "left_semi"))
+        taken.append(free)
+    for free in taken:
+        left = left.unionByName(free)
+    return here.join(left, "hull", "left_semi").select(F.explode("ids").alias("id")).distinct()
 
 
 def part_of(a: str, b: str, shifted: bool = True) -> Column:
