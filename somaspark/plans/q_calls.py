@@ -155,6 +155,56 @@ def label_cascade_whole(spark, d):
     return C.label_cascade(view(spark, d, "preds"), view(spark, d, "truth"), view(spark, d, "refseq"))
 
 
+def _moved(t: str, a: str = "") -> str:
+    """The shifts of a table's indels, whose one allele is a single base, within [lo, hi): first, last."""
+    ev = f"substring(CASE WHEN length({a}ref) > 1 THEN {a}ref ELSE {a}alt END, 2)"
+    left, right = f"(substring(seq, 1, {a}pos - start) || ev)", f"(ev || substring(seq, ({a}pos + length({a}ref) - start)::INT))"
+    back = f"(SELECT min(i) FROM range(0, 64) r(i) WHERE {a}pos - start - i < 1 OR substring({left}, ({a}pos - start + length(ev) - i)::INT, 1) <> substring({left}, ({a}pos - start - i)::INT, 1))"
+    on = f"(SELECT min(i) FROM range(0, 64) r(i) WHERE substring({right}, (i + 1)::INT, 1) <> substring({right}, (i + 1 + length(ev))::INT, 1))"
+    return f"SELECT *, CASE WHEN ev <> '' THEN {a}pos - least({a}pos - lo, {back}) ELSE {a}pos END AS first, CASE WHEN ev <> '' THEN {a}pos + least(hi - 1 - {a}pos, {on}) ELSE {a}pos END AS last FROM (SELECT *, CASE WHEN length({a}ref) = length({a}alt) THEN '' ELSE {ev} END AS ev FROM {t} JOIN (SELECT contig AS gc, start, seq FROM genome) ON gc = contig AND start = ({a}pos - 1) // 64 * 64)"
+
+
+WITHIN = "CASE WHEN {a}k = 'SNP' AND {b}k = 'DEL' THEN {b}pos < {a}pos AND {a}pos < {b}pos + length({b}ref) WHEN {a}k = 'DEL' AND {b}k = 'SNP' THEN least(first, {a}pos) < {b}pos AND {b}pos < {hi} WHEN {a}k = {b}k THEN {a}pos = {b}pos OR {b}pos BETWEEN first AND last OR ({a}k = 'DEL' AND length({a}ref) > 1 AND length({b}ref) > 1 AND least(first, {a}pos) + 1 < {b}pos + length({b}ref) AND {b}pos + 1 < {hi}) ELSE FALSE END"
+
+
+def _within(a: str, b: str) -> str:
+    return WITHIN.format(a=a, b=b, hi=f"greatest(last + greatest(length({a}ref) - length({a}alt) + 1, 1), {a}pos + length({a}ref))")
+
+
+RULES = (ctes("sparse_calls", "sparse_truth", "genome") + f""", p AS ({SIDE.format('sparse_calls')}), t AS ({SIDE.format('sparse_truth')}),
+e AS MATERIALIZED (SELECT p.*, t.id AS tid, t.pos AS tpos, t.ref AS tref, t.alt AS talt, t.k AS tk, t.c AS tc FROM p JOIN t ON {NEAR}),
+g1 AS MATERIALIZED (SELECT id, any_value(k) AS label, 1 AS rule FROM e WHERE pos = tpos AND ref = tref AND alt = talt GROUP BY id),
+op AS MATERIALIZED (SELECT * FROM e WHERE tid NOT IN (SELECT tid FROM e JOIN g1 USING (id))),
+gm AS (SELECT tid AS g, 0 AS side, contig, id, pos, ref, alt FROM op UNION SELECT op.tid, 1, e.contig, e.tid, e.tpos, e.tref, e.talt FROM op JOIN e USING (id)),
+gs AS MATERIALIZED (SELECT gm.*, start, seq, row_number() OVER (PARTITION BY g, side ORDER BY pos, id) AS rn FROM gm JOIN genome ON genome.contig = gm.contig AND start = (pos - 1) // 64 * 64),
+run AS (SELECT g, side, seq, start, pos AS p0, id AS id0, rn, pos + length(ref) AS cur, substring(seq, 1, pos - start - 1) || alt AS made, [id] AS ids FROM gs
+UNION ALL SELECT r.g, r.side, r.seq, r.start, p0, id0, s.rn, s.pos + length(s.ref), made || CASE WHEN s.pos >= cur THEN substring(r.seq, cur - r.start, s.pos - cur) || s.alt ELSE substring(s.alt, 2) END, list_append(ids, s.id)
+FROM run r JOIN gs s ON s.g = r.g AND s.side = r.side AND s.rn = r.rn + 1 AND s.pos >= cur - (length(s.ref) <> length(s.alt))::INT),
+made AS MATERIALIZED (SELECT g, side, p0, id0, len(ids) AS n, ids, made || substring(seq, cur - start) AS made FROM run),
+hit AS MATERIALIZED (SELECT c.g, c.ids, row_number() OVER (PARTITION BY c.g ORDER BY min((t.p0, t.id0, t.n)), c.p0, c.id0, c.n) AS k FROM made c JOIN made t ON c.g = t.g AND c.made = t.made AND c.side = 0 AND t.side = 1 GROUP BY c.g, c.ids, c.p0, c.id0, c.n),
+pick AS (SELECT DISTINCT g, 0::BIGINT AS k, []::BIGINT[] AS ids FROM hit UNION ALL SELECT pick.g, hit.k, CASE WHEN list_has_any(pick.ids, hit.ids) THEN pick.ids ELSE list_concat(pick.ids, hit.ids) END FROM pick JOIN hit ON hit.g = pick.g AND hit.k = pick.k + 1),
+here AS (SELECT g, arg_max(ids, k) AS ids FROM pick GROUP BY g),
+turn AS MATERIALIZED (SELECT here.ids, js, contig, site, row_number() OVER (PARTITION BY contig, site ORDER BY f, tp, g) AS k FROM here JOIN (SELECT tid AS g, any_value(contig) AS contig, any_value((tpos - 1) // 64) AS site, any_value(tpos) AS tp, min((pos, id)) AS f, list(id) AS js FROM op GROUP BY tid) USING (g)),
+done AS (SELECT DISTINCT contig, site, 0::BIGINT AS k, []::BIGINT[] AS ids FROM turn UNION ALL SELECT d.contig, d.site, t.k, CASE WHEN list_has_any(d.ids, t.js) THEN d.ids ELSE list_concat(d.ids, t.ids) END FROM done d JOIN turn t ON t.contig = d.contig AND t.site = d.site AND t.k = d.k + 1),
+g2 AS MATERIALIZED (SELECT DISTINCT e.id, e.k AS label, 2 AS rule FROM e WHERE id IN (SELECT unnest(ids) FROM done) AND id NOT IN (SELECT id FROM g1)),
+gp AS MATERIALIZED (SELECT * FROM g1 UNION ALL SELECT * FROM g2),
+hu AS MATERIALIZED (SELECT tid, any_value(contig) AS contig, any_value(tpos) AS tpos, any_value(tref) AS tref, any_value(talt) AS talt, least(min(pos), any_value(tpos)) AS lo, greatest(max(pos + length(ref)), any_value(tpos + length(tref))) AS hi FROM e GROUP BY tid),
+ts AS MATERIALIZED (SELECT tid, first, last FROM ({_moved('hu', 't')})),
+o AS MATERIALIZED (SELECT e.*, first, last FROM e JOIN ts USING (tid) WHERE id NOT IN (SELECT id FROM gp)),
+b3 AS MATERIALIZED (SELECT id, arg_min(tk, (tpos, tid)) AS label, 3 AS rule FROM o WHERE {_within('t', '')} GROUP BY id),
+pc AS MATERIALIZED (SELECT e.id, any_value(e.contig) AS contig, any_value(pos) AS pos, any_value(ref) AS ref, any_value(alt) AS alt, any_value(k) AS k, any_value(label) AS label, min(lo) AS lo, max(hi) AS hi FROM e JOIN gp USING (id) JOIN hu USING (tid) GROUP BY e.id),
+x AS (SELECT e.tid, m.id AS xid, m.pos AS xpos, m.ref AS xref, m.alt AS xalt, m.k AS xk, m.label, first, last FROM ({_moved('pc')}) m JOIN e USING (id)),
+c3 AS (SELECT o.id, arg_min(x.label, (xpos, xid)) AS label, 3 AS rule FROM o JOIN x ON o.tid = x.tid WHERE o.id NOT IN (SELECT id FROM b3) AND {_within('x', 'o.').replace('first', 'x.first').replace('last', 'x.last')} GROUP BY o.id),
+g3 AS MATERIALIZED (SELECT * FROM gp UNION ALL SELECT * FROM b3 UNION ALL SELECT * FROM c3),
+n AS""" + CASCADE.split("\nn AS")[1].replace("preds", "sparse_calls")).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@q("q_label_rules", RULES)
+def label_rules(spark, d):
+    """L1-L8 over the reference, on records each of which reaches one of the rules."""
+    return C.label_cascade(view(spark, d, "sparse_calls"), view(spark, d, "sparse_truth"), view(spark, d, "genome"))
+
+
 @q("q_class_counts", P + f", k AS (SELECT {KIND.format('')} AS kind FROM preds) SELECT kind, (SELECT count(*) FROM k WHERE k.kind = c.kind) + 1 AS n FROM (VALUES ('DEL'), ('INS'), ('NONE'), ('SNP')) c(kind)")
 def class_counts(spark, d):
     return C.class_counts(view(spark, d, "preds").select(V.variant_type().alias("kind")), "kind", ["DEL", "INS", "NONE", "SNP"])
