@@ -98,6 +98,15 @@ from (select contig, start, seq, cast(floor(start/64) as int)*22+contig as k fro
 5, 32, substring(seq,32,1), substring(other,32,1); 6, 31, substring(seq,31,1), translate(substring(other,31,1), 'ACGT', 'CGTA');
 7, 31, substring(seq,31,1), concat(substring(seq,31,1), substring(other,32,1), substring(other,32,1)); 8, 31, substring(seq,31,2), substring(seq,31,1);
 8, 34, substring(seq,34,1), concat(substring(seq,34,1), substring(other,35,1)); 9, 30, substring(seq,30,1), substring(other,30,1)"""),
+    # variants of four samples near the ends of chunks, which their groups cross
+    "phased": """select k*8 as id, 0 as sample, contig, cast(start+58 as int) as s, cast(start+59 as int) as e, substring(other,58,1) as alt from {spaced} where k%3=0
+union all select k*8+1, 0, contig, cast(start+63 as int), cast(start+63 as int), substring(other,1,u) from {spaced} where k%3=0
+union all select k*8+2, 1, contig, cast(start+57 as int), cast(start+65+k%40 as int), substring(other,57,1) from {spaced} where k%3=0
+union all select k*8+3, 1, contig, cast(start+60 as int), cast(start+61 as int), substring(other,60,1) from {spaced} where k%3=0
+union all select k*8+4, 2, contig, cast(start+60 as int), cast(start+61 as int), substring(other,60,1) from {spaced} where k%3=0
+union all select k*8+5, 2, contig, cast(start+62+k%30 as int), cast(start+64+k%30 as int), substring(other,62,2) from {spaced} where k%3=0
+union all select k*8+6, 3, contig, cast(start+58 as int), cast(start+59 as int), substring(other,58,1) from {spaced} where k%3=0
+union all select k*8+7, 3, contig, cast(start+63 as int), cast(start+63 as int), substring(other,1,u) from {spaced} where k%3=0""",
     "ann": """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_extendedprice/1000.0 as depth,
 l_quantity*1.6 as mq, l_discount*500 as bq, (l_tax-0.04)*5000 as nm_diff, l_discount*12 as flag, (l_quantity-25)*1.5 as rank_z from {lineitem}""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from somaspark.fixtures import ctes, view
 from somaspark.functions import variants as V
 from somaspark.operators import calls as C
+from somaspark.operators import haplotypes as H
 from somaspark.operators.intervals import range_anti, range_semi
 from somaspark.operators.stretches import numbered
 
@@ -101,6 +102,33 @@ def modal_insertions(spark, d):
     return C.modal_insertions(ins, ["contig", "region"], "len")
 
 
+def _common(a: str, b: str, back: bool = False) -> str:
+    """Length of the common prefix, or suffix, of two texts."""
+    at = (lambda x: f"substring({x}, length({x}) - i::INT, 1)") if back else (lambda x: f"substring({x}, i::INT + 1, 1)")
+    return f"coalesce((SELECT min(i) FROM range(0, least(length({a}), length({b}))) nn(i) WHERE {at(a)} <> {at(b)}), least(length({a}), length({b})))"
+
+
+@q("q_group_haplotypes", ctes("phased").replace("WITH ", "WITH RECURSIVE ", 1) + f""", d AS (SELECT DISTINCT sample, contig, s, e, alt FROM phased),
+o AS (SELECT *, max(e) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM d),
+cl AS MATERIALIZED (SELECT *, CAST(sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY s, e RANGE UNBOUNDED PRECEDING) AS BIGINT) AS "group" FROM o),
+sp AS MATERIALIZED (SELECT contig, "group", min(s) AS s, max(e) AS e FROM cl GROUP BY 1, 2),
+pl AS (SELECT contig, "group", s, e, unnest(range((s - 1) // 64, (e + 62) // 64)) * 64 AS start FROM sp),
+sq AS MATERIALIZED (SELECT contig, "group", s, e, substring(string_agg(coalesce(seq, repeat('N', 64)), '' ORDER BY start), s - (s - 1) // 64 * 64, e - s) AS ref FROM pl LEFT JOIN genome USING (contig, start) GROUP BY 1, 2, 3, 4),
+st AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY contig, "group", sample ORDER BY s, e, alt) AS rn FROM cl),
+w AS (SELECT contig, "group", sample, 0::BIGINT AS rn, sq.s AS s0, sq.s AS cur, '' AS made, 0 AS skipped, ref FROM sq JOIN (SELECT DISTINCT contig, "group", sample FROM st) USING (contig, "group")
+UNION ALL SELECT w.contig, w."group", w.sample, st.rn, s0, CASE WHEN st.s < cur THEN cur ELSE st.e END, CASE WHEN st.s < cur THEN made ELSE made || substring(ref, cur - s0 + 1, st.s - cur) || st.alt END, skipped + (st.s < cur)::INT, ref
+FROM w JOIN st ON st.contig = w.contig AND st."group" = w."group" AND st.sample = w.sample AND st.rn = w.rn + 1),
+l AS (SELECT contig, "group", sample, ref, made || substring(ref, cur - s0 + 1) AS alt, skipped FROM w QUALIFY row_number() OVER (PARTITION BY contig, "group", sample ORDER BY rn DESC) = 1),
+a AS (SELECT contig, "group", alt, count(*) AS n, CAST(row_number() OVER (PARTITION BY contig, "group" ORDER BY min(sample)) - 1 AS INT) AS allele FROM l GROUP BY 1, 2, 3),
+f AS (SELECT *, {_common('ref', 'alt')} AS pre FROM l JOIN a USING (contig, "group", alt) JOIN (SELECT contig, "group", s, e FROM sp) USING (contig, "group")),
+g AS (SELECT *, greatest(CASE WHEN length(ref) = length(alt) THEN least(pre, length(ref) - 1) ELSE pre - 1 END, 0)::INT AS front FROM f),
+h AS (SELECT *, substring(ref, front + 1) AS r, substring(alt, front + 1) AS x FROM g), b AS (SELECT *, greatest(least({_common('r', 'x', True)}, least(length(r), length(x)) - 1), 0)::INT AS back FROM h)
+SELECT contig, "group", s, e, sample, ref, alt, allele, n, skipped, CAST(s + front AS INT) AS pos, substring(r, 1, length(r) - back) AS short_ref, substring(x, 1, length(x) - back) AS short_alt FROM b""")
+def group_haplotypes(spark, d):
+    """Each sample's haplotype of each group of touching variants, across the reference's chunks."""
+    return H.group_haplotypes(view(spark, d, "phased"), view(spark, d, "genome"))
+
+
 @q("q_nearest_annot", PT + f" SELECT p.id AS id, t.id AS match_id, abs(p.pos-t.pos) AS distance FROM preds p JOIN truth t ON {NEAR} QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY NOT (p.pos = t.pos AND p.ref = t.ref AND p.alt = t.alt), {KIND.format('p.')} <> {KIND.format('t.')}, abs(p.pos-t.pos), abs(length(p.ref)-length(p.alt)-length(t.ref)+length(t.alt)), t.id) = 1")
 def nearest_annot(spark, d):
     return C.nearest(view(spark, d, "preds"), view(spark, d, "truth"))
