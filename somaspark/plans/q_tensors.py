@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from somaspark.fixtures import ctes, view
@@ -10,6 +12,8 @@ from somaspark.operators import decoding as D
 from somaspark.operators import network as N
 from somaspark.operators import pileup as P
 from somaspark.operators import tensors as T
+from somaspark.operators.stretches import folder
+from somaspark.sources.counts import read_counts, write_counts
 
 from .registry import Registry
 
@@ -113,6 +117,15 @@ def pileup_window(spark, d):
     return windows(spark, d).select("id", *[F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c) for c in COLS])
 
 
+@q("q_pileup_lookup", PILE + " SELECT id, " + ", ".join(f"string_agg({c}, ',' ORDER BY off) AS {c}" for c in COLS) + " FROM w GROUP BY id")
+def pileup_lookup(spark, d):
+    """q_pileup_window over the stored count table, of which only the files near a call are read."""
+    path, calls = f"{folder(spark)}/counts-{uuid.uuid4().hex}", view(spark, d, "preds")
+    write_counts(P.counts(view(spark, d, "bases").where("sample = 'tumor'")), path)
+    df = T.window_matrix(calls, read_counts(spark, path, calls, 3), 3, COLS)
+    return df.select("id", *[F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c) for c in COLS])
+
+
 @q("q_empty_fill", PILE + ", t AS (SELECT id, max(greatest(c0,c1,c2,c3,c4)) AS top FROM w GROUP BY id) SELECT id, string_agg(CASE WHEN c0+c1+c2+c3+c4 = 0 THEN top ELSE c0 END, ',' ORDER BY off) AS c0 FROM w JOIN t USING (id) GROUP BY id")
 def empty_fill(spark, d):
     return T.filled(windows(spark, d), COLS).select("id", F.array_join(F.transform("c0", lambda v: v.cast("string")), ",").alias("c0"))
