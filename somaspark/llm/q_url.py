@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .url_filter import judge_urls, mine_rules
 
-RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "allow"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
