@@ -16,13 +16,13 @@ MIN_COV = 3  # the made-up bases are thin
 TAGS = {"nm": "bq%7", "as_": "(bq*3)%100", "xs": "(bq*2)%90", "pr": "mapq%3", "cl": "bq%2"}
 
 
-def made(spark, d, insertions: bool):
-    """Tensors of all candidates; with ``insertions``, a third of the alternative bases is moved to inserted columns."""
+def made(spark, d, insertions: bool, then=None):
+    """Tensors of all candidates, or what ``then`` makes of them; with ``insertions``, a third of the alternative bases is moved to inserted columns."""
     ins = "case when code<>refcode and (bq+mapq)%3=0 then 1+bq%4 else 0 end" if insertions else "0"
     bases = view(spark, d, "bases").selectExpr("*", f"cast({ins} as int) as ins", *[f"{x} as {c}" for c, x in TAGS.items()])
     bases = bases.withColumn("refcode", F.when(F.col("ins") > 0, 0).otherwise(F.col("refcode")))
     reference = spark.range(22 * 2010).selectExpr("cast(id%22 as int) as contig", "cast(id div 22 as int) as pos", "cast(1+(id div 22)%4 as int) as code")
-    return B.tensors(view(spark, d, "preds"), B.cells(bases), reference, min_cov=MIN_COV)
+    return B.tensors(view(spark, d, "preds"), B.cells(bases), reference, min_cov=MIN_COV, then=then)
 
 
 # without inserted columns no column goes, so that plain SQL gives coverage, centre and the count channels
@@ -42,22 +42,20 @@ SQL = (
 @q("q_tensor", SQL)
 def tensor(spark, d):
     """All candidates; the sums of the count channels stand for the tensor."""
-    sums = [B.channel_sum("tensor", 1 + s).cast("long").alias(c) for s, c in enumerate(("tumor_bytes", "normal_bytes"))]
-    return made(spark, d, False).select("id", "centre", "tumor_cov", "normal_cov", *sums)
+    return made(spark, d, False, lambda df: B.channel_sums(df, {"tumor_bytes": 1, "normal_bytes": 2}))
 
 
 @q("q_tensor_insertions")
 def tensor_insertions(spark, d):
     """With inserted columns, as a digest of all bytes."""
-    return made(spark, d, True).select("id", "centre", "tumor_cov", "normal_cov", F.md5("tensor").alias("digest"))
+    return made(spark, d, True, lambda df: df.select("id", "centre", "tumor_cov", "normal_cov", F.md5("tensor").alias("digest")))
 
 
 @q("q_tensor_scored")
 def tensor_scored(spark, d):
     """N1 on real tensors: from bases to the network's output."""
-    df = B.network_input(made(spark, d, True))
-    r = N.scored(df, N.random_weights(B.CHANNELS + 3), B.CHANNELS + 3)
-    return r.select("id", "p_type", "place", "p_len")
+    weights = N.random_weights(B.CHANNELS + 3)
+    return made(spark, d, True, lambda df: N.scored(B.network_input(df), weights, B.CHANNELS + 3)).select("id", "p_type", "place", "p_len")
 
 
 GAPPED = [
