@@ -224,12 +224,11 @@ OR ({a}k = {b}k AND ({a}pos = {b}pos OR ({a}k = 'DEL' AND len(list_intersect(ran
 t AS (SELECT *, CASE WHEN length(ref) > length(alt) THEN 'DEL' WHEN length(ref) < length(alt) THEN 'INS' ELSE 'SNP' END AS k FROM truth)
 SELECT p.id AS a, t.id AS b FROM p JOIN t ON p.contig = t.contig AND p.pos < t.pos + length(t.ref) AND t.pos < p.pos + length(p.ref) WHERE {PART_OF.format(a='p.', b='t.')}""")
 def is_part_of(spark, d):
-    from somaspark.operators.intervals import range_join
+    from somaspark.operators.calls import variant_pairs
 
-    span = lambda df: df.withColumns({"s": F.col("pos"), "e": F.col("pos") + F.length("ref")})
-    df = range_join(span(view(spark, d, "preds")), span(view(spark, d, "truth")))
     c = F.col
-    return df.where(V.is_part_of(c("pos"), c("ref"), c("alt"), c("r_pos"), c("r_ref"), c("r_alt"))).select(c("id").alias("a"), c("r_id").alias("b"))
+    part = V.is_part_of(c("pos"), c("ref"), c("alt"), c("r_pos"), c("r_ref"), c("r_alt"))
+    return variant_pairs(view(spark, d, "preds"), view(spark, d, "truth"), keep=part).select(c("id").alias("a"), c("r_id").alias("b"))
 
 
 @q("q_base_clean", PR + " SELECT id, regexp_replace(upper(concat(lower(ref), 'nRx', alt)), '[^ACGT]', '-', 'g') AS seq FROM preds")
