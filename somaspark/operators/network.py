@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from somaspark.operators.stretches import kept
+
 
 #: The network's four blocks: two kernel sizes, their dilations, the stride of the pool (fixed values).
 BLOCKS = ((3, 5, 1, 1, 1), (3, 5, 1, 1, 2), (3, 5, 2, 1, 2), (3, 5, 4, 2, 2))
@@ -237,19 +239,36 @@ def jointly_aligned(df: DataFrame) -> DataFrame:
     """All reads of a group (id) in common columns: id, n, reference, read, cigar.
 
     Star alignment: each read meets the reference, then the insertions after one reference base share
-    columns, left-justified, and rows without them are gapped there. Of N11 the new CIGARs; the
-    excess ends are ``candidates.excess_ends``. Rows: id, n (the read's number within id), reference, read."""
-    one = aligned_reads(df)
-    # a column is (pos, off): reference bases up to it, and the number of the inserted base after them
-    cells = one.select("id", "n", F.posexplode(F.arrays_zip(F.split("reference", "").alias("x"), F.split("read", "").alias("y"))).alias("i", "c")).select("id", "n", "i", "c.x", "c.y")
-    so_far = Window.partitionBy("id", "n").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("pos", F.count_if(F.col("x") != "-").over(so_far))
-    cells = cells.withColumn("off", F.count_if(F.col("x") == "-").over(Window.partitionBy("id", "n", "pos").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
-    columns = cells.groupBy("id", "pos", "off").agg(F.max("x").alias("x"))
-    grid = columns.join(one.select("id", "n"), "id").join(cells.select("id", "n", "pos", "off", "y"), ["id", "n", "pos", "off"], "left")
-    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "off", F.coalesce(c, F.lit("-")).alias("b")))), lambda v: v["b"]), "")
-    rows = grid.groupBy("id", "n").agg(text("x").alias("reference"), text("y").alias("read"))
-    return rows.join(one.select("id", "n", "cigar"), ["id", "n"])
+    columns, left-justified, and rows without them are gapped there. Equal pairs of reference and read
+    are aligned once; of a group only the widths of its insertions come together. Of N11 the new CIGARs;
+    the excess ends are ``candidates.excess_ends``. Rows: id, n (the read's number within id), reference, read."""
+    df = df.where("id is not null")
+    pairs = df.groupBy("reference", "read").agg(F.min(F.struct("id", "n")).alias("k")).select("k.id", "k.n", "reference", "read")
+    named = pairs.join(aligned_reads(pairs).withColumnsRenamed({"reference": "x", "read": "y"}), ["id", "n"]).drop("id", "n")
+    one = kept(df.select("id", "n", "reference", "read").join(named, ["reference", "read"]).select("id", "n", "x", "y", "cigar"))
+    # the i-th piece between bases is what is inserted after i bases
+    widths = one.select("id", F.posexplode(F.transform(F.split("x", "[^-]"), F.length)).alias("pos", "w")).where("w > 0").groupBy("id", "pos").agg(F.max("w").alias("w"))
+    widths = widths.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "w"))).alias("wide"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [_spread(x, y, dict(wide) if wide is not None else {}) for x, y, wide in zip(b["x"], b["y"], b["wide"], strict=True)]
+            yield pd.DataFrame({"id": b["id"], "n": b["n"], "reference": [r[0] for r in rows], "read": [r[1] for r in rows], "cigar": b["cigar"]})
+
+    return one.join(widths, "id", "left").mapInPandas(run, "id long, n int, reference string, read string, cigar string")
+
+
+def _spread(x: str, y: str, wide: dict[int, int]) -> tuple[str, str]:
+    """A gapped pair in the group's columns: wide[i] of them for what is inserted after i bases of the reference."""
+    ref, read, held, pos = [], [], "", 0
+    for a, b in zip(x + "$", y + "$", strict=True):  # the end closes as a base does
+        if a == "-":
+            held += b
+            continue
+        ref += ["-" * wide.get(pos, 0), a]
+        read += [held.ljust(wide.get(pos, 0), "-"), b]
+        held, pos = "", pos + 1
+    return "".join(ref)[:-1], "".join(read)[:-1]
 
 
 def packed(df: DataFrame, tensor: str = "tensor") -> DataFrame:

@@ -71,3 +71,16 @@ def test_clusters_of_copies(spark):
     df = spark.range(20_000).selectExpr("id", "0 as contig", "cast(10 + id % 2 as int) as pos", "if(id % 3 = 0, 'ACGTACGT', 'A') as ref", "'A' as alt")
     got = C.cluster_calls_exact(df).groupBy("part").count().collect()
     assert sum(r["count"] for r in got) == 20_000
+
+
+def test_equal_pairs_are_aligned_once(spark, monkeypatch):
+    from somaspark.operators import network as N
+
+    seen, align = [], N.aligned_reads
+    monkeypatch.setattr(N, "aligned_reads", lambda df: (seen.append(df.count()), align(df))[1])
+    reads = ["ACGTTTCATGAC", "ACGTCATGGAC", "ACGTCTGAC"]
+    df = spark.createDataFrame([(i, n, "ACGTCATGAC", r) for i in range(200) for n, r in enumerate(reads)], "id long, n int, reference string, read string")
+    got = {(r.id, r.n): (r.reference, r.read, r.cigar) for r in N.jointly_aligned(df).collect()}
+    assert seen == [3] and len(got) == 600
+    assert all(got[i, n] == got[0, n] for i in range(200) for n in range(3))
+    assert [got[0, n][1].replace("-", "") for n in range(3)] == reads and len({got[0, n][0] for n in range(3)}) == 1
