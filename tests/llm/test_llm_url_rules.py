@@ -1,6 +1,8 @@
 """op9's fixed rules, word by word, and mining without a cap on a page's tokens."""
 
-from somaspark.llm import q_url
+import random
+
+from somaspark.llm import q_url, url_filter
 
 
 def test_fixed_rules_are_the_contracts(spark, tmp_path):
@@ -15,3 +17,20 @@ def test_fixed_rules_are_the_contracts(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r.page_id: (r.rule, r.verdict) for r in q_url.op9_url_filter(spark, str(tmp_path)).collect()}
     assert got == {i: (rule, verdict) for i, (_, rule, verdict) in urls.items()}
+
+
+def test_rules_of_pages_with_many_tokens(spark):
+    """20 noise tokens that are bad more often than the pair that makes a rule: a basket of the 12 most often bad lost it."""
+    r, rows = random.Random(4), []
+    for i in range(400):
+        pair = [t for t in ("left", "right") if r.random() < 0.5]
+        bad = len(pair) == 2 and r.random() < 0.95
+        noise = [f"n{chr(97 + k)}" for k in range(20) if r.random() < (0.9 if bad else 0.3)]
+        rows.append((i, "x://host/" + "/".join(pair + noise), bad))
+    pages = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    got = {tuple(x["items"]): x.confidence for x in url_filter.mine_rules(pages, max_items=2).collect()}
+    both = [b for _, u, b in rows if "/left" in u and "/right" in u]
+    assert abs(got["p=left", "p=right"] - sum(both) / len(both)) < 1e-9
+    few = spark.createDataFrame([(i, "/".join(u.split("/")[:8]), b) for i, u, b in rows], pages.schema)
+    rules = lambda **k: {(tuple(x["items"]), round(x.confidence, 9), x["first"]) for x in url_filter.mine_rules(few, **k).collect()}
+    assert len(rules()) > 1 and rules() == rules(most_items=0)
