@@ -118,12 +118,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return stored(df.where(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b"), "links")
 
 
+def met(members: DataFrame, buckets: DataFrame, hot: DataFrame) -> DataFrame:
+    """members joined with buckets (one small row a bucket). The rows of hot buckets, fewer than
+    HOT_PARTS of them, are broadcast to their members, which need not be shuffled into one task."""
+    large = [r["bucket"] for r in hot.select("bucket").collect()]
+    if not large:
+        return members.join(buckets, "bucket")
+    is_large = F.col("bucket").isin(large)
+    few, many = buckets.where(is_large), buckets.where(~is_large)
+    return members.where(~is_large).join(many, "bucket").unionByName(members.where(is_large).join(F.broadcast(few), "bucket"))
+
+
 def several(members: DataFrame) -> DataFrame:
     """The rows (bucket, b, label, ...) of buckets with more than one label. Stored."""
     groups = members.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("size"))
     hits = stored(groups.where("l1 <> l2").select("bucket", "size"), "buckets-mixed")
     total = hits.agg(F.sum("size")).first()[0] or 0
-    return stored(salted(members, hits.select("bucket"), ["bucket"], ["b"], hot_keys(hits, ["bucket"], "size", total)), "bucket-mixed")
+    return stored(met(members, hits.select("bucket"), hot_keys(hits, ["bucket"], "size", total)), "bucket-mixed")
 
 
 def rare_shingles(sets: DataFrame, percent: int = PERCENT, most: int = RARE) -> tuple[DataFrame, DataFrame]:
@@ -158,7 +169,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS_
     buckets = members.groupBy("bucket").agg(F.min(F.struct("doc_id", "n")).alias("a"), F.count("*").alias("size")).where("size > 1")
     buckets = stored(buckets.select("bucket", F.col("a.doc_id").alias("a"), F.col("a.n").alias("na"), "size"), "buckets")
     hot = hot_keys(buckets, ["bucket"], "size", buckets.agg(F.sum("size")).first()[0] or 0)
-    shared = stored(salted(members, buckets, ["bucket"], ["doc_id"], hot).select("bucket", "a", "na", F.col("doc_id").alias("b"), F.col("n").alias("nb"), "size"), "bucket-members")
+    shared = stored(met(members, buckets, hot).select("bucket", "a", "na", F.col("doc_id").alias("b"), F.col("n").alias("nb"), "size"), "bucket-members")
     pairs = estimated(shared.where((F.col("a") != F.col("b")) & alike(percent)).select("a", "b", "na", "nb").distinct(), reps, percent)
 
     ids = lambda p: p.select(F.col("a").alias("id")).union(p.select("b")).distinct()
