@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from somaspark.operators import calls as C
+from somaspark.operators import intervals as I  # noqa: E741
 
 KIND = "id long, contig int, pos int, ref string, alt string, prob double"
 COPIES = 30
@@ -84,3 +85,24 @@ def test_equal_pairs_are_aligned_once(spark, monkeypatch):
     assert seen == [3] and len(got) == 600
     assert all(got[i, n] == got[0, n] for i in range(200) for n in range(3))
     assert [got[0, n][1].replace("-", "") for n in range(3)] == reads and len({got[0, n][0] for n in range(3)}) == 1
+
+
+def test_intervals_of_one_place_meet_once(spark, monkeypatch):
+    seen, meet = [], I._met
+
+    def counted(*a):
+        df = meet(*a)
+        seen.append(df.count())
+        return df
+
+    monkeypatch.setattr(I, "_met", counted)
+    places = {"a": [(0, 5, 20), (0, 15, 90), (1, 5, 20), (0, 200, 201)], "b": [(0, 18, 30), (0, 100, 150), (1, 0, 6)]}
+    rows = {k: [(None if c == 1 else i + 100 * c, *x) for c in range(COPIES) for i, x in enumerate(v)] for k, v in places.items()}
+    a, b = (spark.createDataFrame(rows[k], "id long, contig int, s int, e int") for k in "ab")
+    want = sorted(((x[0], y[0]) for x in rows["a"] for y in rows["b"] if x[1] == y[1] and x[2] < y[3] and y[2] < x[3]), key=repr)
+    assert sorted(((r.id, r.r_id) for r in I.range_join(a, b).collect()), key=repr) == want
+    assert seen == [3]
+    assert sorted(((r.id, r.r_id) for r in I.range_join(a, b, copies=8).collect()), key=repr) == want
+    assert seen == [3, 3 * 4 * 4]
+    semi, anti = I.range_semi(a, b), I.range_anti(a, b)
+    assert (semi.count(), anti.count()) == (3 * COPIES, COPIES) and seen[2:] == [3, 3]
