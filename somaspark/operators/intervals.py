@@ -84,7 +84,8 @@ def range_join(left: DataFrame, right: DataFrame, pad: int = 0, size: int = BIN,
     """Inner join of overlapping rows after padding the left ones by pad.
 
     Columns of right get the prefix ``r_``. Only distinct places are compared; their copies, ``copies``
-    at most in a row, are spread out afterwards. strategy 'auto' takes the bins' size from the data;
+    at most in a row, are spread out afterwards; with 1, rows meet as they are, which is cheaper where
+    places have few copies. strategy 'auto' takes the bins' size from the data;
     'plain' leaves the range as a residual condition of the contig join: cheaper while one side is small
     enough to be broadcast."""
     size = bin_size(left, right, pad) if strategy == "auto" else size
@@ -92,6 +93,8 @@ def range_join(left: DataFrame, right: DataFrame, pad: int = 0, size: int = BIN,
     prefixed = lambda df: df.select(*[F.col(c).alias(f"r_{c}") for c in df.columns])
     if strategy == "plain":
         return left.join(prefixed(right), (F.col("contig") == F.col("r_contig")) & meet)
+    if copies == 1:
+        return _met(left, prefixed(right), pad, size, meet)
     df = _met(_gathered(left, "_l", copies), prefixed(_gathered(right, "l", copies)), pad, size, meet)
     df = df.withColumn("_l", F.explode("_l")).withColumn("r_l", F.explode("r_l"))
 

@@ -9,7 +9,7 @@ from somaspark.functions import variants as V
 from somaspark.operators import calls as C
 from somaspark.operators import haplotypes as H
 from somaspark.operators.intervals import range_anti, range_semi
-from somaspark.operators.stretches import numbered
+from somaspark.operators.stretches import kept, numbered
 
 from .q_calling import PART_OF
 from .q_calling import _lcp as lcp
@@ -230,7 +230,9 @@ n AS""" + CASCADE.split("\nn AS")[1].replace("preds", "sparse_calls")).replace("
 @q("q_label_rules", RULES)
 def label_rules(spark, d):
     """L1-L8 over the reference, on records each of which reaches one of the rules."""
-    return C.label_cascade(view(spark, d, "sparse_calls"), view(spark, d, "sparse_truth"), view(spark, d, "genome"))
+    spaced = kept(view(spark, d, "spaced").drop("other"), "kind").withColumn("other", F.translate("seq", "ACGT", "CGTA"))
+    calls, truth = (view(spark, d, n, spaced=spaced) for n in ("sparse_calls", "sparse_truth"))
+    return C.label_cascade(kept(calls), truth, spaced.select("contig", "start", "seq"))
 
 
 @q("q_class_counts", P + f", k AS (SELECT {KIND.format('')} AS kind FROM preds) SELECT kind, (SELECT count(*) FROM k WHERE k.kind = c.kind) + 1 AS n FROM (VALUES ('DEL'), ('INS'), ('NONE'), ('SNP')) c(kind)")

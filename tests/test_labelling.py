@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from somaspark.fixtures import view
 from somaspark.operators import calls as C
+from somaspark.operators.intervals import range_join
 
 V = "id long, contig int, pos int, ref string, alt string"
 
@@ -155,3 +156,26 @@ def test_every_rule_labels_rows(spark):
     got = C.label_cascade(calls, view(spark, d, "sparse_truth"), view(spark, d, "genome")).join(calls.select("id", (F.shiftright("id", 4) % 10).alias("kind")), "id")
     rules = {(r.kind, r.rule) for r in got.select("kind", "rule").distinct().collect()}
     assert rules == {(0, 1), (1, 2), (2, 2), (3, 2), (4, 2), (5, 3), (6, 6), (7, 7), (8, 4), (9, 8)}
+
+
+def test_a_view_is_made_from_those_at_hand(spark):
+    genome = spark.createDataFrame([(c, 64 * i, "ACGTTGCA" * 8) for c in (1, 2) for i in range(30)], "contig int, start int, seq string")
+    spaced = view(spark, "/nowhere", "spaced", genome=genome)
+    calls = view(spark, "/nowhere", "sparse_calls", spaced=spaced)  # reads no table
+    assert {r.id % 16 for r in calls.collect()} == set(range(12))
+    assert view(spark, "/nowhere", "phased", genome=genome).count() == 8 * 20
+
+
+def test_rows_that_meet_as_they_are_make_the_same_pairs(spark):
+    rng = random.Random(7)
+    sides = [spark.createDataFrame([(i, rng.randrange(2), s, s + rng.randrange(1, 9 if i % 5 else 200)) for i, s in enumerate(rng.choices(range(150), k=80))], "id int, contig int, s int, e int") for _ in range(2)]
+    for strategy in ("binned", "auto"):
+        got, want = (sorted(map(tuple, range_join(*sides, 5, strategy=strategy, copies=n).collect())) for n in (1, 2))
+        assert got == want and len(got) > 80
+
+
+def test_shifts_look_across_chunks_and_stop_at_the_hull(spark):
+    ref = spark.createDataFrame([(1, 8 * i, "ACACACAC") for i in range(4)], "contig int, start int, seq string")
+    rows = [(1, 1, 15, "ACA", "A", 5, 26), (2, 1, 15, "ACA", "A", 14, 17), (3, 9, 15, "ACA", "A", 5, 26), (4, 1, 15, "A", "C", 5, 26)]
+    got = C.shift_ranges(spark.createDataFrame(rows, V + ", lo int, hi int"), ref)
+    assert sorted(map(tuple, got.collect())) == [(1, 5, 25), (2, 14, 16), (3, 15, 15)]
