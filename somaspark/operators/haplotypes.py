@@ -75,7 +75,7 @@ def group_haplotypes(variants: DataFrame, reference: DataFrame) -> DataFrame:
     key = ["contig", "group"]
     spans = rows.groupBy(*key).agg(F.min("s").alias("s"), F.max("e").alias("e")).withColumn("hull", F.struct(*key))
     seqs = hull_bases(spans, reference, F.array().cast("array<struct<pos: int, ref: string>>")).drop("hull").withColumnRenamed("seq", "ref")
-    edits = rows.groupBy(*key, "sample").agg(F.array_sort(F.collect_list(F.struct("s", "e", "alt"))).alias("edits"))
+    edits = rows.groupBy(*key, "sample").agg(F.sort_array(F.collect_list(F.struct("s", "e", "alt"))).alias("edits"))
     made = edits.join(seqs, key).withColumn("made", stitched(F.col("edits"), F.col("s"), F.col("ref")))
     made = made.select(*key, "s", "e", "sample", "ref", F.col("made.seq").alias("alt"), F.col("made.skipped").alias("skipped"))
     made = kept(made)

@@ -126,7 +126,8 @@ h AS (SELECT *, substring(ref, front + 1) AS r, substring(alt, front + 1) AS x F
 SELECT contig, "group", s, e, sample, ref, alt, allele, n, skipped, CAST(s + front AS INT) AS pos, substring(r, 1, length(r) - back) AS short_ref, substring(x, 1, length(x) - back) AS short_alt FROM b""")
 def group_haplotypes(spark, d):
     """Each sample's haplotype of each group of touching variants, across the reference's chunks."""
-    return H.group_haplotypes(view(spark, d, "phased"), view(spark, d, "genome"))
+    genome = kept(view(spark, d, "genome"))
+    return H.group_haplotypes(view(spark, d, "phased", genome=genome), genome)
 
 
 @q("q_nearest_annot", PT + f" SELECT p.id AS id, t.id AS match_id, abs(p.pos-t.pos) AS distance FROM preds p JOIN truth t ON {NEAR} QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY NOT (p.pos = t.pos AND p.ref = t.ref AND p.alt = t.alt), {KIND.format('p.')} <> {KIND.format('t.')}, abs(p.pos-t.pos), abs(length(p.ref)-length(p.alt)-length(t.ref)+length(t.alt)), t.id) = 1")
