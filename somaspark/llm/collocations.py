@@ -1,10 +1,10 @@
-"""Phrase collocation mining by suffix sorting (suffix-sigma).
+"""Phrase collocation mining by suffixes (suffix-sigma).
 
 ``suffixes`` turns every word of every piece into its suffix of at most ``MOST`` words, equal ones of
-a block of words counted together. They are dealt by language and first word, each task sorts its
-own in reverse lexicographic order, and ``prefix_counts`` reads them once: a stack holds the open
-prefixes (one of each length), a prefix is finished when the order leaves it. The runs inside a
-batch are summed with numpy; only the prefixes that are open at its end stay on the stack.
+a block of words counted together. They are dealt by language and first word; ``tails`` sends a
+block's suffixes of one first word as one row, a list of what follows it. Each task sorts its rows by
+first word, and ``prefix_counts`` sums the prefixes of whole first words, about ``HELD`` suffixes at a
+time; a first word with more is counted in parts, whose sums are added up afterwards.
 
 A phrase is frequent only if its parts are. The first pass over the texts therefore counts words,
 pairs and triples by hash in three tables of fixed size (``BITS``); sums of a place bound the counts
@@ -27,7 +27,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -215,6 +215,32 @@ def suffixes(docs: DataFrame, heavy: set[tuple[str, ...]], often: list[np.ndarra
     """lang, w1..w4 (null after the end), n, depth, deal: the suffixes of every block, cut by often.
 
     depth is the length of the shortest prefix that is not hot; its words, but for the first, make deal."""
+    return _texts(docs).mapInArrow(_suffix_batches(heavy, often, size), "lang string, w1 string, w2 string, w3 string, w4 string, n long, depth int, deal int")
+
+
+def tails(docs: DataFrame, heavy: set[tuple[str, ...]], often: list[np.ndarray] | None = None, size: int = BLOCK_WORDS) -> DataFrame:
+    """lang, w1, depth, deal, tails, n: the same suffixes, those of a block with equal lang, w1, depth
+    and deal as one row: tails, a line each of what follows w1, and n, their counts."""
+    make = _suffix_batches(heavy, often, size)
+    return _texts(docs).mapInArrow(lambda batches: map(_listed, make(batches)), "lang string, w1 string, depth int, deal int, tails string, n array<int>")
+
+
+def _listed(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Suffixes whose first words come in runs, a row a run."""
+    new = np.ones(b.num_rows, bool)
+    for c in (keys := ["lang", "w1", "depth", "deal"]):
+        col = b.column(c)
+        new[1:] = (new[1:] if c != "lang" else False) | pc.not_equal(col.slice(1), col.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(new)
+    edges = pa.array(np.append(starts, b.num_rows), pa.int32())
+    tail = pc.utf8_rtrim(pc.binary_join_element_wise(*(b.column(w).fill_null("") for w in WORDS[1:]), " "), " ")  # no word holds a space
+    text = pc.binary_join(pa.ListArray.from_arrays(edges, tail), "\n")
+    n = pa.ListArray.from_arrays(edges, b.column("n").cast(pa.int32()))
+    return pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(starts)) for c in keys), text, n], [*keys, "tails", "n"])
+
+
+def _suffix_batches(heavy: set[tuple[str, ...]], often: list[np.ndarray] | None, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What makes suffixes of texts; first words come in runs."""
     packed = None if often is None else [np.packbits(x) for x in often]
     names = ["lang", *WORDS, "n", "depth", "deal"]
 
@@ -244,7 +270,8 @@ def suffixes(docs: DataFrame, heavy: set[tuple[str, ...]], often: list[np.ndarra
                 deal[rows] = (deal[rows] + block.hashes[words[k][rows]]) * ODD
             out = pa.RecordBatch.from_arrays([lang_text, *text, pa.array(n.astype(np.int64)), pa.array(depth), pa.array((deal >> np.uint64(33)).astype(np.int32))], names)
             short = words[2] == 0
-            yield out.filter(pa.array(~short))
+            if not short.all():
+                yield out.filter(pa.array(~short))
             held.append(out.filter(pa.array(short)))  # short ones fold over several blocks
             if sum(h.num_rows for h in held) > HELD:
                 held = _folded(held)
@@ -252,18 +279,19 @@ def suffixes(docs: DataFrame, heavy: set[tuple[str, ...]], often: list[np.ndarra
                     yield held.pop()
         yield from _folded(held)
 
-    return _texts(docs).mapInArrow(run, "lang string, w1 string, w2 string, w3 string, w4 string, n long, depth int, deal int")
+    return run
 
 
 def _folded(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
-    """Equal suffixes of two words at most, of several blocks, counted together."""
+    """Equal suffixes of two words at most, of several blocks, counted together, first words in runs."""
     if not held:
         return []
     t = pa.Table.from_batches(held)
     got = t.group_by(["lang", "w1", "w2", "depth", "deal"]).aggregate([("n", "sum")])
     none = pa.nulls(got.num_rows, pa.string())
     cols = [got["lang"], got["w1"], got["w2"], none, none, got["n_sum"], got["depth"], got["deal"]]
-    return pa.table(cols, t.schema.names).combine_chunks().to_batches() or []
+    order = np.lexsort([got[c].fill_null("\n").combine_chunks().dictionary_encode().indices.to_numpy() for c in ("w2", "w1", "lang")])
+    return pa.table(cols, t.schema.names).take(pa.array(order)).combine_chunks().to_batches() or []
 
 
 def hash_of(word: str | None) -> int:
@@ -273,62 +301,85 @@ def hash_of(word: str | None) -> int:
     return xxhash.xxh64_intdigest((word or "\n").encode())
 
 
-def prefix_counts(sufs: DataFrame, min_count: int) -> DataFrame:
-    """lang, w1..w4, n: the prefixes of sorted suffixes found min_count times; counts of hot ones are
-    parts of their sums, of whatever size."""
-    names = ["lang", *WORDS]
-
-    def rows(k: int, lead: pa.RecordBatch, n: np.ndarray, depth: np.ndarray) -> pa.RecordBatch | None:
-        keep = pa.array(np.flatnonzero((n >= min_count) | (depth > k)))
-        if not len(keep):
-            return None
-        cols = [lead.column(c).take(keep) for c in names[: k + 1]] + [pa.nulls(len(keep), pa.string())] * (MOST - k)
-        return pa.RecordBatch.from_arrays([*cols, pa.array(n).take(keep)], [*names, "n"])
+def prefix_counts(lists: DataFrame, min_count: int, most: int = HELD) -> DataFrame:
+    """lang, w1..w4, n: the prefixes of tails, sorted by lang, w1 and deal, found min_count times; counts
+    of hot ones, and of first words with over most suffixes, are parts of their sums, of whatever size."""
+    names, keys = ["lang", *WORDS], ["lang", "w1", "deal"]
+
+    def counted(t: pa.Table, part: bool) -> Iterator[pa.RecordBatch]:
+        if not t.num_rows:
+            return
+        b = t.combine_chunks().to_batches()[0]
+        lines = pc.split_pattern(b.column("tails"), "\n")
+        parent, n = pc.list_parent_indices(lines), pc.list_flatten(b.column("n")).to_numpy()
+        words = pc.split_pattern(pc.list_flatten(lines), " ")
+        at, length = words.offsets.to_numpy(), pc.list_value_length(words).to_numpy()
+        up, depth = parent.to_numpy(), b.column("depth").to_numpy()
+        live, code = np.arange(len(n)), np.zeros(len(n), np.int64)
+        for k in range(MOST + 1):
+            if k < 2:
+                coded = b.column(names[k]).dictionary_encode()
+                word = coded.indices.to_numpy()[up[live]]
+            else:  # the empty text is one empty word
+                coded = words.values.dictionary_encode() if k == 2 else coded
+                stay = length[live] >= k - 1
+                live, code = live[stay], code[stay]
+                word = coded.indices.to_numpy()[at[live] + k - 2]
+                empty = coded.dictionary.index("").as_py()
+                live, code, word = (x[word != empty] for x in (live, code, word))
+            _, first, code = np.unique(code * len(coded.dictionary) + word, return_index=True, return_inverse=True)
+            if k == 0 or not len(live):
+                continue
+            sums = np.bincount(code, n[live]).astype(np.int64)
+            lead = live[first]
+            keep = np.flatnonzero((sums >= min_count) | (depth[up[lead]] > k) | part)
+            lead = lead[keep]
+            cols = [b.column(c).take(pa.array(up[lead])) for c in names[:2]] + [words.values.take(pa.array(at[lead] + i)) for i in range(k - 1)]
+            yield pa.RecordBatch.from_arrays([*cols, *[pa.nulls(len(keep), pa.string())] * (MOST - k), pa.array(sums[keep])], [*names, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: list[tuple[pa.RecordBatch, int, int] | None] = [None] * MOST  # of each length the open prefix, its count and depth
+        held: list[pa.RecordBatch] = []
+        size, begun = 0, None  # the first word a part of which is counted
+
+        def same(t: pa.Table, key: tuple | None) -> np.ndarray:
+            if key is None:
+                return np.zeros(t.num_rows, bool)
+            return np.all([pc.equal(t[c], pa.scalar(x, t[c].type)).to_numpy() for c, x in zip(keys, key, strict=True)], axis=0)
+
+        def whole(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            rest = int(np.sum(same(t, begun)))  # rows are in order, so these lead
+            yield from counted(t.slice(0, rest), True)
+            yield from counted(t.slice(rest), False)
+
         for b in batches:
             if not b.num_rows:
                 continue
-            size, n, depth = b.num_rows, b.column("n").to_numpy(), b.column("depth").to_numpy()
-            new = np.zeros(size, bool)  # whether a prefix of this length begins
-            live = np.ones(size, bool)
-            for k in range(MOST + 1):
-                col = b.column(names[k]).fill_null("\n")
-                new[1:] |= pc.not_equal(col.slice(1), col.slice(0, size - 1)).to_numpy(zero_copy_only=False)
-                if k == 0:
-                    prior = next((s for s in stack if s), None)
-                    new[0] = prior is None or prior[0].column("lang")[0] != b.column("lang")[0]
-                    continue
-                live &= b.column(names[k]).is_valid().to_numpy(zero_copy_only=False)
-                held = stack[k - 1]
-                new[0] = new[0] or held is None or held[0].column(names[k])[0] != b.column(names[k])[0]
-                starts = np.flatnonzero(new)
-                if held and new[0]:
-                    if got := rows(k, held[0], np.array([held[1]]), np.array([held[2]])):
-                        yield got
-                    held = None
-                edges = starts if len(starts) and starts[0] == 0 else np.append(0, starts)
-                sums = np.add.reduceat(n, edges)
-                if held:
-                    sums[0] += held[1]
-                stack[k - 1] = (b.slice(edges[-1], 1), int(sums[-1]), int(depth[edges[-1]])) if live[edges[-1]] else None
-                done = np.flatnonzero(live[edges[:-1]])
-                if len(done) and (got := rows(k, b.take(pa.array(edges[done])), sums[done], depth[edges[done]])):
-                    yield got
-        for k, held in enumerate(stack, 1):
-            if held and (got := rows(k, held[0], np.array([held[1]]), np.array([held[2]]))):
-                yield got
-
-    return sufs.mapInArrow(run, ", ".join(f"{c} string" for c in names) + ", n long")
+            held.append(b)
+            size += len(pc.list_flatten(b.column("n")))
+            if size < most:
+                continue
+            t = pa.Table.from_batches(held)
+            last = tuple(t[c][-1].as_py() for c in keys)
+            cut = t.num_rows - int(np.sum(same(t, last)))
+            if cut:
+                yield from whole(t.slice(0, cut))
+                held, begun = t.slice(cut).to_batches(), begun if begun == last else None
+            else:
+                yield from counted(t, True)
+                held, begun = [], last
+            size = sum(len(pc.list_flatten(x.column("n"))) for x in held)
+        if held:
+            yield from whole(pa.Table.from_batches(held))
+
+    return lists.mapInArrow(run, ", ".join(f"{c} string" for c in names) + ", n long")
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, parts: int = HOT_PARTS, size: int = BLOCK_WORDS) -> tuple[DataFrame, dict[str, int]]:
     """lang, words (array of 1 to MOST), n of all phrases found min_count times, and each language's words. Stored."""
     found, totals, often = survey(docs, min_count, parts, size)
     heavy = {tuple(x for x in r if x is not None) for r in found.select("lang", *WORDS[:3]).collect()}  # under 3 * parts
-    dealt = suffixes(docs, heavy, often, size).repartition("lang", "w1", "deal").sortWithinPartitions("lang", *[F.desc(w) for w in WORDS])
-    counts = prefix_counts(dealt.select("lang", *WORDS, "n", "depth"), min_count)
+    dealt = tails(docs, heavy, often, size).repartition("lang", "w1", "deal").sortWithinPartitions("lang", "w1", "deal")
+    counts = prefix_counts(dealt, min_count)
     counts = counts.groupBy("lang", F.filter(F.array(*WORDS), lambda x: x.isNotNull()).alias("words")).agg(F.sum("n").alias("n"))
     return stored(counts.where(F.col("n") >= min_count), "phrases"), totals
 

@@ -143,6 +143,27 @@ def test_suffixes_are_cut_before_what_cannot_be_frequent(spark, monkeypatch):
     assert rows == {("often", "seen", "here", None, 40), ("often", "seen", None, None, 40), ("seen", "here", None, None, 40), ("seen", None, None, None, 40), ("here", None, None, None, 40)}
 
 
+def test_suffixes_of_a_first_word_travel_as_one_row(spark):
+    docs = make(spark, [(i, f"often seen here x{i} once{i} often seen {prose(i, 30)}", "en") for i in range(40)]).coalesce(1)
+    heavy = {("en", "often")}
+    rows = collocations.suffixes(docs, heavy, None, 100).collect()
+    lists = collocations.tails(docs, heavy, None, 100).collect()
+    got = [(r.lang, r.w1, r.depth, r.deal, *x.split(" "), n) for r in lists for x, n in zip(r.tails.split("\n"), r.n, strict=True)]
+    want = [(r.lang, r.w1, r.depth, r.deal, *([w for w in (r.w2, r.w3, r.w4) if w is not None] or [""]), r.n) for r in rows]
+    assert collections.Counter(got) == collections.Counter(want) and len(lists) < len(rows)
+
+
+def test_first_words_with_more_suffixes_than_are_held_are_counted_in_parts(spark):
+    rows = [("en", "a", 1, 0, "b c\nb", [2, 1])] * 30 + [("en", "a", 1, 5, "b d", [4])] + [("en", "z", 1, 0, "\nb", [3, 9])] * 2
+    lists = spark.createDataFrame(rows, "lang string, w1 string, depth int, deal int, tails string, n array<int>").coalesce(1)
+    for held in (1, 4, 1000):
+        got = collocations.prefix_counts(lists, 10, held).collect()
+        sums = collections.Counter()
+        for r in got:
+            sums[tuple(w for w in (r.w1, r.w2, r.w3) if w)] += r.n
+        assert {k: v for k, v in sums.items() if v >= 10} == {("a",): 94, ("a", "b"): 94, ("a", "b", "c"): 60, ("z",): 24, ("z", "b"): 18}
+
+
 # ---- lexical search
 
 
