@@ -1,9 +1,9 @@
 """Phrase collocation mining by suffixes (suffix-sigma).
 
 ``suffixes`` turns every word of every piece into its suffix of at most ``MOST`` words, equal ones of
-a block of words counted together. They are dealt by language and first word; ``tails`` sends a
-block's suffixes of one first word as one row, a list of what follows it. Each task sorts its rows by
-first word, and ``prefix_counts`` sums the prefixes of whole first words, about ``HELD`` suffixes at a
+a task counted together (``Held``, up to ``KEPT`` distinct ones at a time). They are dealt by language
+and first word; ``tails`` sends a task's suffixes of one first word as one row, a list of what follows
+it: its rows are bounded by the first words that a task meets. Each task sorts its rows by first word, and ``prefix_counts`` sums the prefixes of whole first words, about ``HELD`` suffixes at a
 time; a first word with more is counted in parts, whose sums are added up afterwards.
 
 A phrase is frequent only if its parts are. The first pass over the texts therefore counts words,
@@ -12,7 +12,7 @@ of all that fall there. A suffix is cut before the first word, pair or triple wh
 the least count: no frequent phrase is lost, whatever falls together, and the cut suffixes fold well.
 
 A first word with more than a ``HOT_PARTS``-th of all words is dealt by its second word too, a hot
-pair by its third word, and so on; the counts of such hot prefixes are sums over tasks. ``survey``
+pair by its third word, and so on, each over ``2**DEAL_BITS`` parts of the first word; the counts of such hot prefixes are sums over tasks. ``survey``
 finds them; which prefixes are hot changes where rows go, not what is counted.
 
 ``collocations`` cuts each candidate in two at every place, joins the parts' counts, scores the
@@ -40,8 +40,8 @@ from .common import HOT_PARTS, hot_keys, salted, stored
 
 MOST, MIN_COUNT, PERCENT, TOP = 4, 30, 80, 2000
 WORDS = ["w1", "w2", "w3", "w4"]
-BLOCK_WORDS, SLICE, HELD = 1 << 18, 1 << 22, 1 << 19
-BITS, CHUNK, FAN = 24, 1 << 16, 64
+BLOCK_WORDS, SLICE, HELD, KEPT = 1 << 18, 1 << 22, 1 << 19, 1 << 20
+BITS, CHUNK, FAN, DEAL_BITS = 24, 1 << 16, 64, 7
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: A-Z lower-cased, the pieces' ends to a full stop, tabs to spaces.
 TABLE = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -103,14 +103,57 @@ class Block:
         at = np.flatnonzero(self.after[0][:end])
         a, v = [x[at] for x in self.after], len(self.names)
         high, low = (self.lang[at] * v + a[0]) * v + a[1], a[2] * v + a[3]
-        order = np.lexsort((low, high))
-        first = np.ones(len(order), bool)
-        first[1:] = (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0)
-        starts = np.flatnonzero(first)
+        order, starts = _runs(high, low)
         pick = order[starts]
         return self.lang[at][pick], [x[pick] for x in a], np.diff(np.append(starts, len(order)))
 
 
+def _runs(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows by both keys and where each distinct one begins in it."""
+    order = np.lexsort((low, high))
+    first = np.ones(len(order), bool)
+    first[1:] = (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0)
+    return order, np.flatnonzero(first)
+
+
+class Held:
+    """The distinct suffixes of several blocks, coded alike, with their counts."""
+
+    def __init__(self):
+        self.names, self.hashes = pa.array([None], pa.string()), np.array([hash_of(None)], np.uint64)
+        self.langs: dict[str, int] = {}
+        self.codes, self.n = [np.zeros((MOST + 1, 0), np.int32)], [np.zeros(0, np.int64)]
+        self.size = self.found = 0  # distinct suffixes, in all
+
+    def add(self, block: Block, end: int) -> None:
+        lang, words, n = block.suffixes(end)
+        used = np.zeros(len(block.names), bool)
+        for x in words:
+            used[x] = True
+        used = np.flatnonzero(used)
+        names = block.names.take(pa.array(used))
+        ids = pc.index_in(names, value_set=self.names).fill_null(-1).to_numpy().copy()
+        new = np.flatnonzero(ids < 0)
+        ids[new] = len(self.names) + np.arange(len(new))
+        self.names = pa.concat_arrays([self.names, names.take(pa.array(new))])
+        self.hashes = np.append(self.hashes, block.hashes[used[new]])
+        code = np.zeros(len(block.names), np.int32)
+        code[used] = ids
+        langs = np.array([self.langs.setdefault(x, len(self.langs)) for x in block.langs.dictionary.to_pylist()], np.int32)
+        self.codes.append(np.stack([langs[lang], *(code[x] for x in words)]))
+        self.n.append(n)
+        self.size += len(n)
+        self.found += int(n.sum())
+
+    def fold(self) -> None:
+        """Count equal suffixes together, in order."""
+        codes, n, v = np.concatenate(self.codes, axis=1), np.concatenate(self.n), len(self.names)
+        order, starts = _runs((codes[0].astype(np.int64) * v + codes[1]) * v + codes[2], codes[3].astype(np.int64) * v + codes[4])
+        if len(starts):
+            self.codes, self.n = [codes[:, order[starts]]], [np.add.reduceat(n[order], starts)]
+        self.size = len(starts)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[Block, int]]:
     """Blocks of about size words and how many of them are new; the last words of one begin the next."""
     langs, counts, words = [], [], []
@@ -212,14 +255,15 @@ def _prefixes(block: Block, lang: np.ndarray, n: np.ndarray, words: list[np.ndar
 
 
 def suffixes(docs: DataFrame, heavy: set[tuple[str, ...]], often: list[np.ndarray] | None = None, size: int = BLOCK_WORDS) -> DataFrame:
-    """lang, w1..w4 (null after the end), n, depth, deal: the suffixes of every block, cut by often.
+    """lang, w1..w4 (null after the end), n, depth, deal: the suffixes of every task, cut by often.
 
-    depth is the length of the shortest prefix that is not hot; its words, but for the first, make deal."""
+    depth is the length of the shortest prefix that is not hot; its words, but for the first, make deal,
+    one of 2**DEAL_BITS numbers. Rows with equal lang, w1, depth and deal come in runs."""
     return _texts(docs).mapInArrow(_suffix_batches(heavy, often, size), "lang string, w1 string, w2 string, w3 string, w4 string, n long, depth int, deal int")
 
 
 def tails(docs: DataFrame, heavy: set[tuple[str, ...]], often: list[np.ndarray] | None = None, size: int = BLOCK_WORDS) -> DataFrame:
-    """lang, w1, depth, deal, tails, n: the same suffixes, those of a block with equal lang, w1, depth
+    """lang, w1, depth, deal, tails, n: the same suffixes, those of a task with equal lang, w1, depth
     and deal as one row: tails, a line each of what follows w1, and n, their counts."""
     make = _suffix_batches(heavy, often, size)
     return _texts(docs).mapInArrow(lambda batches: map(_listed, make(batches)), "lang string, w1 string, depth int, deal int, tails string, n array<int>")
@@ -240,21 +284,31 @@ def _listed(b: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _suffix_batches(heavy: set[tuple[str, ...]], often: list[np.ndarray] | None, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """What makes suffixes of texts; first words come in runs."""
+    """What makes suffixes of texts, those of a task in runs."""
     packed = None if often is None else [np.packbits(x) for x in often]
     names = ["lang", *WORDS, "n", "depth", "deal"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        able = None if packed is None else [np.unpackbits(x).astype(bool) for x in packed]
-        held: list[pa.RecordBatch] = []
+        able, held = None if packed is None else [np.unpackbits(x).astype(bool) for x in packed], Held()
         for block, end in _blocks(batches, size):
             if able is not None:
                 block.cut(able)
-            lang, words, n = block.suffixes(end)
-            if not len(n):
-                continue
-            lang_text = block.langs.dictionary.take(pa.array(lang))
-            text = [block.names.take(pa.array(w)) for w in words]
+            held.add(block, end)
+            del block
+            if held.size > KEPT or held.names.nbytes > 8 * KEPT or held.found > 1 << 30:
+                held.fold()
+                if held.size > KEPT - KEPT // 4 or held.names.nbytes > 8 * KEPT or held.found > 1 << 30:
+                    yield from dealt(held)
+                    held = Held()
+        held.fold()
+        yield from dealt(held)
+
+    def dealt(held: Held) -> Iterator[pa.RecordBatch]:
+        langs = pa.array(held.langs, pa.string())
+        for i in range(0, held.size, BLOCK_WORDS):
+            (lang, *words), n = held.codes[0][:, i : i + BLOCK_WORDS], held.n[0][i : i + BLOCK_WORDS]
+            lang_text = langs.take(pa.array(lang))
+            text = [held.names.take(pa.array(w)) for w in words]
             depth, live = np.ones(len(n), np.int32), np.arange(len(n))
             deal = np.zeros(len(n), np.uint64)
             for k in range(1, MOST) if heavy else ():  # rows are in order, so a prefix is one run
@@ -267,33 +321,14 @@ def _suffix_batches(heavy: set[tuple[str, ...]], often: list[np.ndarray] | None,
                 depth[live] = k + 1
             for k in range(1, MOST):
                 rows = np.flatnonzero(depth > k)
-                deal[rows] = (deal[rows] + block.hashes[words[k][rows]]) * ODD
-            out = pa.RecordBatch.from_arrays([lang_text, *text, pa.array(n.astype(np.int64)), pa.array(depth), pa.array((deal >> np.uint64(33)).astype(np.int32))], names)
-            short = words[2] == 0
-            if not short.all():
-                yield out.filter(pa.array(~short))
-            held.append(out.filter(pa.array(short)))  # short ones fold over several blocks
-            if sum(h.num_rows for h in held) > HELD:
-                held = _folded(held)
-                if held[0].num_rows > HELD // 2:
-                    yield held.pop()
-        yield from _folded(held)
+                deal[rows] = (deal[rows] + held.hashes[words[k][rows]]) * ODD
+            deal = (deal >> np.uint64(64 - DEAL_BITS)).astype(np.int32)
+            out = pa.RecordBatch.from_arrays([lang_text, *text, pa.array(n), pa.array(depth), pa.array(deal)], names)
+            yield out.take(pa.array(np.lexsort((deal, depth, words[0], lang))))
 
     return run
 
 
-def _folded(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
-    """Equal suffixes of two words at most, of several blocks, counted together, first words in runs."""
-    if not held:
-        return []
-    t = pa.Table.from_batches(held)
-    got = t.group_by(["lang", "w1", "w2", "depth", "deal"]).aggregate([("n", "sum")])
-    none = pa.nulls(got.num_rows, pa.string())
-    cols = [got["lang"], got["w1"], got["w2"], none, none, got["n_sum"], got["depth"], got["deal"]]
-    order = np.lexsort([got[c].fill_null("\n").combine_chunks().dictionary_encode().indices.to_numpy() for c in ("w2", "w1", "lang")])
-    return pa.table(cols, t.schema.names).take(pa.array(order)).combine_chunks().to_batches() or []
-
-
 def hash_of(word: str | None) -> int:
     """The same on every executor, unlike Python's own."""
     import xxhash

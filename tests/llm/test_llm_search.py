@@ -153,6 +153,26 @@ def test_suffixes_of_a_first_word_travel_as_one_row(spark):
     assert collections.Counter(got) == collections.Counter(want) and len(lists) < len(rows)
 
 
+def test_suffixes_of_a_task_are_folded_over_its_blocks(spark, monkeypatch):
+    docs = make(spark, [(i, f"of the w{i % 100} or the end", "en") for i in range(400)]).coalesce(1)
+    want = collections.Counter()
+    for r in collocations.suffixes(docs, set(), None, 10_000).collect():
+        want[r.w1, r.w2, r.w3, r.w4] += r.n
+    for heavy in (set(), {("en", "of"), ("en", "of", "the")}):
+        rows = collocations.suffixes(docs, heavy, None, 20).collect()
+        assert len(rows) == len(want) and {(r.w1, r.w2, r.w3, r.w4): r.n for r in rows} == want
+        lists = collocations.tails(docs, heavy, None, 20).collect()
+        firsts = collections.Counter(r.w1 for r in lists)
+        assert set(firsts) == {w[0] for w in want} and all(n == 1 or heavy and w == "of" for w, n in firsts.items())
+        assert len(lists) == len({(r.lang, r.w1, r.depth, r.deal) for r in lists}) and 0 < firsts["of"] <= 2**collocations.DEAL_BITS
+        assert bool(heavy) == (firsts["of"] > 1)
+    monkeypatch.setattr(collocations, "KEPT", 50)  # given away when full, nothing is lost
+    got = collections.Counter()
+    for r in collocations.suffixes(docs, set(), None, 20).collect():
+        got[r.w1, r.w2, r.w3, r.w4] += r.n
+    assert got == want
+
+
 def test_first_words_with_more_suffixes_than_are_held_are_counted_in_parts(spark):
     rows = [("en", "a", 1, 0, "b c\nb", [2, 1])] * 30 + [("en", "a", 1, 5, "b d", [4])] + [("en", "z", 1, 0, "\nb", [3, 9])] * 2
     lists = spark.createDataFrame(rows, "lang string, w1 string, depth int, deal int, tails string, n array<int>").coalesce(1)
