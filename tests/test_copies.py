@@ -106,3 +106,17 @@ def test_intervals_of_one_place_meet_once(spark, monkeypatch):
     assert seen == [3, 3 * 4 * 4]
     semi, anti = I.range_semi(a, b), I.range_anti(a, b)
     assert (semi.count(), anti.count()) == (3 * COPIES, COPIES) and seen[2:] == [3, 3]
+
+
+def test_pairs_are_dealt_over_many_tasks(spark):
+    """A few bytes in, many pairs out: no task holds a core's share of the pairs, whichever join it is."""
+    df = spark.range(40_000).selectExpr("id", "cast(id % 4 as int) as contig", "cast(id % 4000 * 16 as int) as s", "cast(id % 4000 * 16 + 20 as int) as e")
+    limit, key = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), "spark.sql.autoBroadcastJoinThreshold"
+    try:
+        for most in (limit, "-1"):
+            spark.conf.set(key, most)
+            made = I.range_join(df, df).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+            total = sum(r.n for r in made)
+            assert total == 40_000 * 10 and max(r.n for r in made) < total / (4 * 4)
+    finally:
+        spark.conf.set(key, limit)
